@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op5_urls, op6_mixing, op7_chat, op9_sharding, op10_warc
+from tidemark.llm import op3_quality, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
 from tidemark.llm.text import n_words, utf8_bytes
 
 
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    out = op3_quality.judge(docs.select("doc_id", "text"), trusted, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, fetched on a day that follows from page_id, against a list that follows from their hosts."""
     pages = table(spark, sf_dir, "pages")
@@ -97,6 +104,27 @@ FROM p GROUP BY conv_id
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    out = op8_decontamination.decontaminate(docs, bench, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item_id, w, least(len(w), 13) AS l FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM sized)),
+dw AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM sized) WHERE len(w) >= l)),
+hit AS (SELECT doc_id, item_id, i, l FROM dw JOIN bw USING (l, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM (SELECT DISTINCT doc_id, i, l FROM hit)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op9_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", (utf8_bytes(text) + 1).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
@@ -109,10 +137,12 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_llr": op3_quality_llr,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing_query,
     "op7_chat_format": op7_chat_format,
+    "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding_query,
     "op10_warc_zstd": op10_warc_zstd,
 }
-ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
