@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op3_quality, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
+from tidemark.llm import op1_ngram_join, op2_tokens, op3_quality, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
 from tidemark.llm.text import n_words, utf8_bytes
 
 
@@ -15,6 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op1_ngram_join.similar_components(docs, keep=["doc_id"])
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT x AS node, x AS label FROM (SELECT DISTINCT x FROM u) UNION SELECT u.y, r.label FROM r JOIN u ON r.node = u.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(l.label, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(label) AS label FROM r GROUP BY 1) l USING (doc_id)
+"""
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op2_tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
@@ -137,6 +162,8 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_similar_documents": op1_similar_documents,
+    "op2_token_counts": op2_token_counts,
     "op3_quality_llr": op3_quality_llr,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing_query,
@@ -145,4 +172,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding_query,
     "op10_warc_zstd": op10_warc_zstd,
 }
-ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_similar_documents": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
