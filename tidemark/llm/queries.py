@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_ngram_join, op2_tokens, op3_quality, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
+from tidemark.llm import op1_ngram_join, op2_tokens, op3_quality, op4_html, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
 from tidemark.llm.text import n_words, utf8_bytes
 
 
@@ -47,6 +47,10 @@ def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, fetched on a day that follows from page_id, against a list that follows from their hosts."""
     pages = table(spark, sf_dir, "pages")
@@ -165,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_similar_documents": op1_similar_documents,
     "op2_token_counts": op2_token_counts,
     "op3_quality_llr": op3_quality_llr,
+    "op4_main_text": op4_main_text,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing_query,
     "op7_chat_format": op7_chat_format,
