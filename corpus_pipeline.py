@@ -16,6 +16,7 @@ from tidemark.llm.op3_quality import judge
 from tidemark.llm.op6_mixing import mix_sources
 from tidemark.llm.op8_decontamination import decontaminate
 from tidemark.llm.op9_sharding import shard_rows
+from tidemark.llm.text import rows_where
 from tidemark.shared import shared_dir, stored
 
 #: Ids to leave out up to which they are broadcast.
@@ -26,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Trusted are those that labels call good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    return judge(docs, trusted).where("kept").select(*docs.columns)
+    return rows_where(judge(docs, trusted), "kept", docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
         sizes.withColumn("_rank", rank)
         .withColumns({"_weight": weight, "_cap": (F.col(size) * repeats).cast("double")})
         .withColumn("_level", level)
-        .withColumn("_level", F.min(F.when(F.col("_level") <= ratio, F.col("_level"))).over(whole))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= ratio, F.col("_level"))).over(whole))
         .select(source, F.col("_rank").alias("source_rank"), F.col(size).alias("source_size"), F.coalesce(F.least("_cap", F.col("_level") * F.col("_weight")), "_cap").alias("target"))
     )
 

@@ -102,7 +102,7 @@ s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY sour
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, (2 * size)::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, rank, size AS source_size, coalesce(least(cap, (SELECT min(level) FROM l WHERE level <= cap / weight) * weight), cap) AS target FROM l),
+t AS (SELECT source, rank, size AS source_size, coalesce(least(cap, (SELECT max(level) FROM l WHERE level <= cap / weight) * weight), cap) AS target FROM l),
 q AS (SELECT doc_id, d.size, k, rank, source_size, target, sum(d.size) OVER (PARTITION BY rank ORDER BY k, d.size ROWS UNBOUNDED PRECEDING) AS run
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT doc_id, k, size, rank, c, CAST(run + source_size * c AS DOUBLE) / target AS finish FROM q, range(2) r(c) WHERE size > 0),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: what stands between space, tab, line feed, vertical tab, form feed and carriage return.
@@ -23,3 +23,11 @@ def words(text: Column) -> Column:
 def utf8_bytes(text: Column) -> Column:
     """Length in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def rows_where(df: DataFrame, condition: str, columns: list[str]) -> DataFrame:
+    """columns of the rows of df that meet condition, a boolean column. where() would be pushed down
+    with the whole computation of that column in it, once for every time the column's parts are used;
+    an exploded filter stays where it is."""
+    row = F.explode(F.filter(F.array(F.struct(*columns)), lambda _: F.col(condition)))
+    return df.select(row.alias("_row")).select("_row.*")
