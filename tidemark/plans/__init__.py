@@ -1 +1,4 @@
+"""Registered queries of the engine."""
 
+from tidemark.plans import scalar_queries  # noqa: F401  registers queries
+from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
