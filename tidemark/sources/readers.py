@@ -41,11 +41,11 @@ def read_graphml(texts: DataFrame) -> DataFrame:
     """(graph_id, nodes, edges, bad) from (graph_id, xml): nodes (id, attrs) and edges (src, dst, attrs) as arrays,
     attribute keys resolved to their names; bad holds a text that does not parse."""
     parsed = texts.withColumn("g", F.from_xml("xml", GRAPHML, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "attributePrefix": "_", "valueTag": "_VALUE"}))
-    names = F.map_from_entries(F.coalesce(F.transform("g.key", lambda k: F.struct(k["_id"], k["_attr.name"])), F.array().cast("array<struct<a:string,b:string>>")))
+    names = F.map_from_entries(F.coalesce(F.transform("g.key", lambda k: F.struct(k["_id"].alias("a"), k["_attr.name"].alias("b"))), F.array().cast("array<struct<a:string,b:string>>")))
     parsed = parsed.withColumn("names", names)
 
     def attrs(data: Column) -> Column:
-        pairs = F.transform(F.coalesce(data, F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]), d["_VALUE"]))
+        pairs = F.transform(F.coalesce(data, F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]).alias("a"), d["_VALUE"].alias("b")))
         return F.map_from_entries(pairs)
 
     nodes = F.transform("g.graph.node", lambda n: F.struct(n["_id"].alias("id"), attrs(n["data"]).alias("attrs")))
