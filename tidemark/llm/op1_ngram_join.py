@@ -7,9 +7,10 @@ prefix shingle are candidates, filtered by size and by the places of the shared
 members are verified on their whole texts.
 
 What is asked for are components, so that links inside what is already connected need not be found
-again. First each prefix shingle's groups are compared with one of them (a star, linear in the
-list), then only pairs of documents that are still in different components are listed: a family of
-near copies never becomes all pairs, and no link between two components is lost.
+again. First each group is compared with one other of its lists (a star), then, some times, each
+document with one of another component, and at last all pairs of documents that are still in
+different components are listed: a family of near copies never becomes all pairs, and no link
+between two components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.shared import bounded_batches, fixed, stored
@@ -30,6 +31,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Counters of the frequency sketch that orders shingles: its size is fixed, so it can be broadcast.
 SKETCH_BITS, SLICES = 20, 256
+#: Rounds of one candidate for each document, before all remaining pairs are listed.
+PARTNER_ROUNDS = 2
 #: Documents to verify up to which their ids are broadcast.
 BROADCAST = 1_000_000
 
@@ -192,22 +195,42 @@ def shared_prefixes(base: DataFrame) -> DataFrame:
     return tokens.join(ends, "token").distinct()
 
 
-def cross_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes in different components, of lists that have several."""
-    named = nodes.join(labels, "node", "left").select("_group", "node", F.coalesce("label", "node").alias("label"))
-    lists = shared.select("token", "_group", "_n", "at").join(named, "_group").select("token", "node", "label", "_n", "at")
+def labelled_lists(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, node, label, _n, at) of the lists that hold several components; a group's nodes are a list too."""
+    named = nodes.join(labels, "node", "left").select("_group", "node", "_n", F.coalesce("label", "node").alias("label"))
+    lists = shared.select("token", "_group", "at").join(named, "_group").select("token", "node", "label", "_n", "at")
+    groups = named.select(F.col("_group").alias("token"), "node", "label", "_n", F.lit(0).alias("at"))
+    lists = lists.unionByName(groups)
     mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    lists = stored(lists.join(mixed, "token"))
-    left = lists.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "_n", "at")))
-    right = lists.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "_n", "at")))
+    return stored(lists.join(mixed, "token"))
+
+
+def ordered_pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+
+def sizes_fit(n: str, m: str) -> Column:
+    return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+
+
+def one_partner_each(lists: DataFrame) -> DataFrame:
+    """A candidate for each node: of its lists' first or last component, one node that is not of its own."""
+    firsts = lists.groupBy("token", "label").agg(F.min(F.struct("node", "_n")).alias("f"))
+    ends = firsts.groupBy("token").agg(F.min(F.struct("f", "label")).alias("x"), F.max(F.struct("f", "label")).alias("y"))
+    rows = lists.join(ends, "token")
+    partner = F.when(F.col("label") != F.col("x.label"), F.col("x.f")).otherwise(F.col("y.f"))
+    rows = rows.select("node", "_n", partner.alias("p")).where(sizes_fit("_n", "p._n"))
+    return ordered_pairs(rows.groupBy("node").agg(F.min("p.node").alias("b")).withColumnRenamed("node", "a"))
+
+
+def cross_pairs(lists: DataFrame) -> DataFrame:
+    """All candidate pairs of nodes in different components."""
+    left, right = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "_n", "at"))) for x in "ab")
     # the overlap that is still possible if this is the first shared shingle, against the one needed
     most = F.least(F.col("_n_a") - F.col("at_a"), F.col("_n_b") - F.col("at_b"))
-    fits = (most * (NUM + DEN) >= (F.col("_n_a") + F.col("_n_b")) * NUM) & (F.least("_n_a", "_n_b") * DEN >= F.greatest("_n_a", "_n_b") * NUM)
+    fits = (most * (NUM + DEN) >= (F.col("_n_a") + F.col("_n_b")) * NUM) & sizes_fit("_n_a", "_n_b")
     pairs = left.join(right, "token").where((F.col("label_a") < F.col("label_b")) & fits)
-    own = nodes.join(labels, "node", "left").select("_group", "node", F.coalesce("label", "node").alias("label"))
-    inside = own.join(own.withColumnsRenamed({"node": "other", "label": "other_label"}), "_group").where("label < other_label")
-    pairs = pairs.select("node_a", "node_b").unionByName(inside.select(F.col("node").alias("node_a"), F.col("other").alias("node_b")))
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).where("a != b").distinct()
+    return ordered_pairs(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 RESULTS = ["n_shingles", "component_id"]
@@ -227,30 +250,35 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    texts = docs.select("_id", "_text")
     base = stored(prefixes(docs, frequency_sketch(docs)))
     filled = base.where("_id IS NOT NULL AND _n > 0")
     nodes = stored(filled.groupBy("_set").agg(F.min("_id").alias("node"), F.first("_group").alias("_group"), F.first("_n").alias("_n")))
     reps = nodes.groupBy("_group").agg(F.min("node").alias("rep"), F.first("_n").alias("_n"))
 
-    # stars: each group against the pivot of each of its prefix shingles, each node against its group's first
-    shared = stored(shared_prefixes(filled))
-    stars = shared.where("_group != pivot").select("_group", "pivot").distinct()
-    other = reps.select(F.col("_group").alias("pivot"), F.col("rep").alias("b"), F.col("_n").alias("m"))
-    stars = stars.join(reps, "_group").join(other, "pivot").where(F.least("_n", "m") * DEN >= F.greatest("_n", "m") * NUM).select(F.col("rep").alias("a"), "b")
-    inside = nodes.join(reps.select("_group", "rep"), "_group").where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    stars = stored(stars.unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     # an id with several sets joins their nodes
     of = filled.select("_id", "_set").join(nodes.select("_set", "node"), "_set").select("_id", "node")
     several = of.groupBy("_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("_id")
-    same = of.join(several, "_id").select(F.col("_id").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(verified(stars, docs.select("_id", "_text")).unionByName(same))
-    labels = stored(components(first))
-
-    rest = cross_pairs(shared, nodes.select("_group", "node"), labels)
-    rest = stored(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    more = stored(verified(rest, docs.select("_id", "_text")))
-    if more.limit(1).count():
-        labels = stored(components(first.unionByName(more)))
+    edges = of.join(several, "_id").select(F.col("_id").alias("a"), F.col("node").alias("b")).distinct()
+
+    # a star: each group against one pivot of its prefix shingles, each node against its group's first
+    shared = stored(shared_prefixes(filled))
+    stars = shared.where("_group != pivot").groupBy("_group").agg(F.min("pivot").alias("pivot"))
+    other = reps.select(F.col("_group").alias("pivot"), F.col("rep").alias("b"), F.col("_n").alias("m"))
+    stars = stars.join(reps, "_group").join(other, "pivot").where(sizes_fit("_n", "m")).select(F.col("rep").alias("a"), "b")
+    inside = nodes.join(reps.select("_group", "rep"), "_group").where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    done = stored(ordered_pairs(stars.unionByName(inside)))
+    edges = stored(verified(done, texts).unionByName(edges))
+    labels = stored(components(edges))
+    # then one partner in another component for each node, some times over, and at last all that is left
+    for last in (*[False] * PARTNER_ROUNDS, True):
+        lists = labelled_lists(shared, nodes, labels)
+        pairs = stored((cross_pairs if last else one_partner_each)(lists).join(done, ["a", "b"], "left_anti"))
+        more = stored(verified(pairs, texts))
+        done = done.unionByName(pairs)
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            labels = stored(components(edges))
 
     ids = nodes.select("_set", "node").join(labels, "node", "left").select(F.col("_set").alias("_of"), F.coalesce("label", "node").alias("_label"))
     named = base.select("_id", "_hash", "_n", "_set").join(ids, F.col("_set") == F.col("_of"), "left")
