@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.operators import profile
-from tidemark.plans.audit_queries import FEATURES, JOINED, KEY, joined
+from tidemark.plans.audit_queries import JOINED, joined
 from tidemark.plans.registry import SAMPLES, query, samples, table
 
 
@@ -149,6 +149,3 @@ def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").groupBy("event_type", (F.col("event_id") % 5).alias("seed")).agg(F.avg("value").alias("v"))
     return rounded(profile.stability(runs.drop("seed"), ["event_type"], ["v"]), "mean", "std", "min", "max", "range")
-
-
-__all__ = ["FEATURES", "KEY"]
