@@ -11,6 +11,7 @@ from tidemark.plans.audit_queries import FEATURES, MEMBERS
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
 from tidemark.plans.registry import query, samples, table
+from tidemark.shared import stored
 
 # two systems score every event; a split is a user's day of the week
 PRED = """pred AS (SELECT sys AS system, 'u' || (user_id % 40) || 'd' || dayofweek(ts) AS split_id, user_id % 7 AS repository, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y_true, score AS y_score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS y_pred
@@ -158,11 +159,11 @@ def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.fitted(long).select("split_id", "feature", "median", F.coalesce("reason", F.lit("used")).alias("reason"))
 
 
-@query("m03_scaled_tests", f"WITH {FITTED}, te AS ({' UNION ALL '.join(f'SELECT split_id, {chr(39)}{c}{chr(39)} AS feature, {c} AS value FROM mm WHERE partition = {chr(39)}test{chr(39)}' for c in FEATURES)}) SELECT te.split_id, te.feature, count(*) AS n, round(sum((coalesce(value, median) - mean) / std), 4) AS total FROM te JOIN fit ON te.split_id = fit.split_id AND te.feature = fit.feature AND reason IS NULL GROUP BY 1, 2")
+@query("m03_scaled_tests", f"WITH {FITTED}, te AS ({' UNION ALL '.join(f'SELECT split_id, {chr(39)}{c}{chr(39)} AS feature, {c} AS value FROM mm WHERE partition = {chr(39)}test{chr(39)}' for c in FEATURES)}) SELECT te.split_id, te.feature, count(*) AS n, round(sum((coalesce(value, median) - mean) / std), 4) + 0.0 AS total FROM te JOIN fit ON te.split_id = fit.split_id AND te.feature = fit.feature AND reason IS NULL GROUP BY 1, 2")
 def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = prep.long_features(members(spark, sf_dir), FEATURES, ["split_id", "partition"])
     out = prep.transformed(long.where("partition = 'test'"), prep.fitted(long.where("partition = 'train'").drop("partition")))
-    return out.groupBy("split_id", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.groupBy("split_id", "feature").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
 
 
 @query("a23_selection_frequency", f"WITH {FITTED} SELECT feature, count(DISTINCT split_id) FILTER (reason IS NULL) AS used, count(DISTINCT split_id) FILTER (reason IS NOT NULL) AS removed FROM fit GROUP BY 1")
@@ -175,7 +176,7 @@ def walk_forward_scores(spark: SparkSession, sf_dir: str, features: list[str], s
     """Naive Bayes on every valid split at once: split_id, sample_id, y_true, y_score, y_pred of all test rows.
     Test rows that are equal in all columns are one row here."""
     keys = ["split_id", "partition", "sample_id", "label"]
-    long = prep.long_features(members(spark, sf_dir).dropDuplicates(["split_id", "sample_id"]), features, keys)
+    long = stored(prep.long_features(members(spark, sf_dir).dropDuplicates(["split_id", "sample_id"]), features, keys))
     train = long.where("partition = 'train'").drop("partition")
     fit = prep.fitted(train.select("split_id", "feature", "value"))
     test = prep.transformed(long.where("partition = 'test'").drop("partition").withColumnRenamed("label", "y_true"), fit, scale)
@@ -195,6 +196,7 @@ def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, columns in families.items():
         part = walk_forward_scores(spark, sf_dir, columns).withColumn("run", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
+    rows = stored(rows)
     m = evaluate.metrics(rows, ["run"])
     rates = rows.groupBy("run").agg(F.avg("y_true").alias("true_rate"), F.avg("y_pred").alias("predicted_rate"), F.countDistinct("split_id").alias("splits"))
     return m.join(rates, "run")
