@@ -165,6 +165,15 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: Base 32 from the hex digest: five hex digits are twenty bits, four letters.
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT page_id, first, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS d FROM p),
+f AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(d, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS twenties FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((twenties[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_similar_documents": op1_similar_documents,
     "op2_token_counts": op2_token_counts,
@@ -177,4 +186,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding_query,
     "op10_warc_zstd": op10_warc_zstd,
 }
-ORACLES: dict[str, str] = {"op1_similar_documents": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_similar_documents": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_warc_zstd": OP10_SQL}
