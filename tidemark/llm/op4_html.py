@@ -123,7 +123,8 @@ class Page:
         if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
             return True
         words = set(re.split(r"[^a-z]+", f"{said.get('class', '')} {said.get('id', '')}"))
-        return None if words & HINTS or said.get("role") in ROLES else False
+        within = any(self.tag[i] in ("article", "main") for i in self.stack)
+        return None if words & HINTS or said.get("role") in ROLES or ("header" in words and not within) else False
 
 
 def log_base(x: float, base: float) -> float:
