@@ -32,7 +32,7 @@ NUM, DEN = 3, 4
 #: Counters of the frequency sketch that orders shingles: its size is fixed, so it can be broadcast.
 SKETCH_BITS, SLICES = 20, 256
 #: Rounds of one candidate for each document, before all remaining pairs are listed.
-PARTNER_ROUNDS = 2
+PARTNER_ROUNDS = 1
 #: Documents to verify up to which their ids are broadcast.
 BROADCAST = 1_000_000
 
@@ -163,7 +163,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node with an edge (a, b). Large-star and
-    small-star steps, until nothing changes; each round is written to the shared folder."""
+    small-star steps, until every node has one edge to a root; each round is written to the shared folder."""
 
     def star(rows: DataFrame, ahead: bool) -> DataFrame:
         """rows (u, v): v's under the least of u and its v's. ahead: only v > u move, else u too."""
@@ -174,16 +174,15 @@ def components(edges: DataFrame) -> DataFrame:
         moved = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         return moved.select("e.a", "e.b").where("a != b")
 
-    now = fixed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    told = None
+    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, True).where("a != b").distinct()
         now = fixed(star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == told:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if not ends.where("up > 1 OR (up > 0 AND down > 0)").limit(1).count():
             break
-        told = state
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
