@@ -141,8 +141,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of ids, those whose texts are similar enough. Each pair is checked on the whole
     sets; rows that share an id are one document."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    near = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    texts = stored(docs.join(near, "_id", "left_semi"))
+    few = ids.count() <= BROADCAST
+    texts = docs.join(F.broadcast(ids), "_id", "left_semi") if few else stored(docs.join(ids, "_id", "left_semi"))
     both = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_right")), "b")
     both = both.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_left")), "a").select("a", "b", "_left", "_right")
 
@@ -188,8 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_prefixes(base: DataFrame) -> DataFrame:
-    """(token, _group, _n, at, pivot): places of prefix shingles that two groups or more have; pivot is the least of them."""
-    tokens = base.select("_group", "_n", F.posexplode("_prefix").alias("at", "token"))
+    """(token, _group, at, pivot): places of prefix shingles that two groups or more have; pivot is the least of them."""
+    tokens = base.select("_group", F.posexplode("_prefix").alias("at", "token"))
     ends = tokens.groupBy("token").agg(F.min("_group").alias("pivot"), F.max("_group").alias("last")).where("pivot != last").drop("last")
     return tokens.join(ends, "token").distinct()
 
