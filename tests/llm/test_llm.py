@@ -129,6 +129,24 @@ def test_op4_main_text(spark):
     assert got.count() == 7 and by[2] == by[3] == by[4] == ("", 0) and by[5] == ("a < b < c", 9) and by[6] == ("deep", 4)
 
 
+def test_op4_article_within_form_or_hinted_element():
+    block = "<p>Some words that make a paragraph of text, quite long.</p>" * 3
+    want = "\n\n".join(["Head line here"] + ["Some words that make a paragraph of text, quite long."] * 3)
+    inner = "<h2>Head line here</h2>" + block
+    for page in (
+        f"<body><form id=aspnetForm><div class=menu><a href=a>x</a></div><article><h1>Head line here</h1>{block}</article><label>Find</label><input></form>",
+        f"<body><form><div class=menu><a href=a>x</a></div><div id=content>{inner}</div><div class=sidebar><p>Side words</p></div><button>Go</button></form>",
+        f"<body><form>{inner}<section class=comments>{block * 3}</section></form>",
+        f"<body><div class='layout no-sidebar'>{inner}</div><div class=sidebar>Side words</div>",
+        f"<body><div>Foot</div><div class='header-fixed content'>{inner}</div>",
+        f"<body><div class=share>{inner}</div><div class=related><a href=a>Other page</a></div>",
+        f"<body><div id=content>{inner}</div><div class=comments>{block * 3}</div><form><p>Sign up</p></form>",
+    ):
+        assert main_text(page) == want, page
+    widgets = "".join(f"<div class=page-widget><p>Paragraph {i} of the text, quite long as these go.</p></div>" for i in range(4))
+    assert main_text(f"<body>{widgets}<form hidden>{block}</form>") == "\n\n".join(f"Paragraph {i} of the text, quite long as these go." for i in range(4))
+
+
 def test_op5_as_of(spark):
     day = lambda c: F.col(c).cast("date")
     lists = [("a.com", "spam", "2023-01-10", True), ("a.com", "spam", "2023-02-10", False), ("a.com", "adult", "2023-03-10", True), ("x.a.com/p/", "phish", "2023-01-01", True), (None, "spam", "2023-01-01", True), ("b.org", "spam", None, True)]

@@ -5,8 +5,9 @@ tag, turned down where much of the text is links. A node's density sum is that o
 subtree of the largest sum is the article; the least density on the way from it up to body is the
 threshold above which other subtrees count as content too.
 
-Elements that say themselves that they are not the article (navigation, footers, forms, scripts, and
-those whose class, id or role names an advert, a menu, comments and the like) are left out first.
+Elements that are never the article (navigation, footers, controls, scripts, what is hidden) are left
+out first. Forms and elements whose class, id or role names an advert, a menu, comments and the like
+are left out too, unless they hold the article: then only what they hold is judged.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ CLOSES_P = frozenset("address article aside blockquote body center details dialo
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # fixed values: elements, roles and words of a class or id that mark what is not the article
-DROPPED = RAW | frozenset("head nav footer aside form button select option input datalist menu dialog svg canvas object audio video map".split())
+DROPPED = RAW | frozenset("head nav footer aside button select option input datalist menu dialog svg canvas object audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner "
@@ -46,6 +47,10 @@ HINTS = frozenset(
     "breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus replies respond".split()
 )
 KEPT = frozenset("html body main article".split())
+# words before a hint that say what a page has or lacks, not what the element is: no-sidebar, has-menu
+ABOUT = frozenset("no not non has have with without hide hides show shows".split())
+#: Characters, and share of a doubtful element's text, from which on a paragraph or headline outside it counts as the article.
+ENOUGH, SHARE = 200, 0.1
 
 
 class Page:
@@ -112,19 +117,25 @@ class Page:
             self.pieces.append((node, " "))
 
     def unwanted(self, name: str, attrs: str) -> bool | None:
-        """True: not the article. None: so it says, unless an article stands in it."""
+        """True: not the article. None: so it says, unless the article stands in it."""
         if name in DROPPED:
             return True
         if name == "header":
             return not any(self.tag[i] in ("article", "main") for i in self.stack)
+        if name == "label" and any(self.tag[i] == "form" for i in self.stack):
+            return True
+        doubt = None if name == "form" else False
         if not attrs or name in KEPT:
-            return False
+            return doubt
         said = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)}
         if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
             return True
-        words = set(re.split(r"[^a-z]+", f"{said.get('class', '')} {said.get('id', '')}"))
+        words = set()
+        for token in f"{said.get('class', '')} {said.get('id', '')}".split():
+            parts = re.split(r"[^a-z]+", token)
+            words.update(w for before, w in zip(["", *parts], parts) if before not in ABOUT)
         within = any(self.tag[i] in ("article", "main") for i in self.stack)
-        return None if words & HINTS or said.get("role") in ROLES or ("header" in words and not within) else False
+        return None if words & HINTS or said.get("role") in ROLES or ("header" in words and not within) else doubt
 
 
 def log_base(x: float, base: float) -> float:
@@ -135,21 +146,74 @@ def main_text(source: str | None) -> str:
     """The article's blocks, white space in each turned into one space, joined by two line feeds."""
     page = Page(source or "")
     n = len(page.tag)
-    has_article = [t in ("article", "main", "h1") for t in page.tag]
-    for i in range(n - 1, 0, -1):
-        has_article[page.parent[i]] |= has_article[i]
-    gone, link = [False] * n, [False] * n
+    never, link = [False] * n, [False] * n
     for i in range(1, n):
         up = page.parent[i]
-        gone[i] = gone[up] or page.drop[i] is True or (page.drop[i] is None and not has_article[i])
+        never[i] = never[up] or page.drop[i] is True
         link[i] = link[up] or page.tag[i] == "a"
+    pieces = [(node, html.unescape(piece)) for node, piece in page.pieces if not never[node]]
+    sized = [(node, piece, len("".join(piece.split()))) for node, piece in pieces]
+    gone = left_out(page, never, link, sized)
+    text = densest(page, gone, link, sized)
+    return text if text or gone == never else densest(page, never, link, sized)
+
+
+def left_out(page: Page, never: list[bool], link: list[bool], sized: list[tuple[int, str, int]]) -> list[bool]:
+    """never, and the doubtful elements that do not hold the article.
+
+    A doubtful element stays where an article, main or h1 stands in it, or where it holds most of the
+    page's text outside links and what is not doubtful has no article. Where all of them together leave
+    no article, they all stay, and density alone decides.
+    """
+    n = len(page.tag)
+    doubtful = [page.drop[i] is None and not never[i] for i in range(n)]
+    if not any(doubtful):
+        return never
+    # text outside links: all of a node's, and what does not stand in a doubtful element below it
+    whole, sure = [0] * n, [0] * n
+    for node, _, size in sized:
+        if not link[node]:
+            whole[node] += size
+            sure[node] += size
+    named = [page.tag[i] in ("article", "main") and not never[i] for i in range(n)]
+    headed = [page.tag[i] in ("article", "main", "h1") for i in range(n)]
+    # some text outside links in an article or main (2), a paragraph or headline (1), outside doubtful elements below
+    best = [0] * n
+    for i in range(n - 1, -1, -1):
+        if sure[i]:
+            best[i] = max(best[i], 2 if named[i] else page.tag[i] in ("p", "h1"))
+        if i:
+            up = page.parent[i]
+            headed[up] |= headed[i]
+            if not never[i]:
+                whole[up] += whole[i]
+            if not never[i] and not doubtful[i]:
+                sure[up] += sure[i]
+                best[up] = max(best[up], best[i])
+
+    def article(text: int, kind: int, than: int) -> bool:
+        return kind == 2 or (kind == 1 and text >= min(ENOUGH, SHARE * than))
+
+    gone, text, kind, dropped = never[:], sure[0], best[0], 0
+    for i in range(1, n):
+        gone[i] |= gone[page.parent[i]]
+        if doubtful[i] and not gone[i]:
+            if headed[i] or (2 * whole[i] > whole[0] and not article(text, kind, whole[i])):
+                text, kind = text + sure[i], max(kind, best[i])
+            else:
+                gone[i] = True
+                dropped += whole[i]
+    return gone if text >= dropped or article(text, kind, dropped) else never
+
+
+def densest(page: Page, gone: list[bool], link: list[bool], sized: list[tuple[int, str, int]]) -> str:
+    """The text of the subtree of the largest density sum, and of others above the threshold."""
+    n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     kept = []
-    for node, piece in page.pieces:
+    for node, piece, size in sized:
         if not gone[node]:
-            piece = html.unescape(piece)
             kept.append((node, piece))
-            size = len("".join(piece.split()))
             chars[node] += size
             link_chars[node] += size * link[node]
     for i in range(n - 1, 0, -1):
