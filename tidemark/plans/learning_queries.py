@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.operators import evaluate, graph, models, prep, splits
-from tidemark.plans.audit_queries import FEATURES, MEMBERS
+from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
 from tidemark.plans.registry import query, samples, table
@@ -172,34 +172,80 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.fitted(long).groupBy("feature").agg(F.countDistinct(F.when(F.col("reason").isNull(), F.col("split_id"))).alias("used"), F.countDistinct(F.when(F.col("reason").isNotNull(), F.col("split_id"))).alias("removed"))
 
 
-def walk_forward_scores(spark: SparkSession, sf_dir: str, features: list[str], scale: str = "standard") -> DataFrame:
-    """Naive Bayes on every valid split at once: split_id, sample_id, y_true, y_score, y_pred of all test rows.
-    Test rows that are equal in all columns are one row here."""
-    keys = ["split_id", "partition", "sample_id", "label"]
-    long = stored(prep.long_features(members(spark, sf_dir).dropDuplicates(["split_id", "sample_id"]), features, keys))
-    train = long.where("partition = 'train'").drop("partition")
-    fit = prep.fitted(train.select("split_id", "feature", "value"))
-    test = prep.transformed(long.where("partition = 'test'").drop("partition").withColumnRenamed("label", "y_true"), fit, scale)
-    return prep.naive_bayes(prep.transformed(train, fit, scale), test, ["split_id", "sample_id", "y_true"])
+GRAPH_FEATURES = [*FEATURES, "nodes", "edges"]
+#: Sizes a sample's graph has at least; without: samples without a graph count too.
+THRESHOLDS = {"none": None, "3:2": (3, 2), "5:4": (5, 4), "8:6": (8, 6), "10:6": (10, 6)}
+#: (sweep, run, strategy, seed, threshold, features): each sweep changes one thing of the first run.
+BASE = ("base", "e1", "random_oversampling", 42, "none", FEATURES)
+RUNS = [
+    BASE,
+    *(("balance", x, x, 42, "none", FEATURES) for x in ("none", "random_undersampling")),
+    *(("seed", str(x), "random_oversampling", x, "none", FEATURES) for x in (7, 123)),
+    *(("threshold", x, "random_oversampling", 42, x, FEATURES) for x in THRESHOLDS if x != "none"),
+    ("family", "process", "random_oversampling", 42, "none", ["quantity", "price"]),
+    ("family", "product", "random_oversampling", 42, "none", ["discount", "tax"]),
+    ("experiment", "e2", "random_oversampling", 42, "none", GRAPH_FEATURES),
+]
+
+
+def sweep(spark: SparkSession, sf_dir: str, runs: list[tuple]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Balance, impute, scale, select and fit naive Bayes on every valid split of every run in one keyed job.
+
+    (splits: threshold, split_id of valid ones, reason), (models: run, split_id, used features) and (test rows: run,
+    split_id, sample_id, y_true, y_score, y_pred). Rows count each, equal ones too."""
+    same = Window.partitionBy("commit", "filepath", "l_partkey", "l_suppkey", "quantity").orderBy("price", "discount", "tax", "label")
+    rows = samples(spark, sf_dir).withColumn("_nth", F.row_number().over(same))
+    sizes = status(spark, sf_dir).select("repository", "commit", "filepath", "nodes", "edges")
+    rows = rows.join(sizes, ["repository", "commit", "filepath"], "left")
+    wanted = {x[4] for x in runs}
+    held = [F.when(F.lit(True) if least is None else (F.col("nodes") >= least[0]) & (F.col("edges") >= least[1]), F.lit(x)) for x, least in THRESHOLDS.items() if x in wanted]
+    rows = rows.withColumn("threshold", F.explode(F.array_compact(F.array(*held))))
+    rows = stored(rows.withColumn("repository", F.concat_ws("|", "threshold", "repository")))
+    found = splits.walk_forward(rows)
+    name = F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
+    all_splits = found.select(F.substring_index("repository", "|", 1).alias("threshold"), name.alias("split_id"), "reason")
+    part = splits.members(rows, found).withColumn("price", F.expr("CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE price END"))
+    part = part.withColumn("sample_id", F.concat_ws("::", "commit", "filepath", "l_partkey", "l_suppkey", "quantity", "_nth"))
+    part = stored(part.select("threshold", "split_id", "partition", "sample_id", "label", *GRAPH_FEATURES))
+    keys = ["strategy", "seed", "threshold", "split_id"]
+    fits = None
+    for strategy, seed in dict.fromkeys(x[2:4] for x in runs):
+        some = [x[4] for x in runs if x[2:4] == (strategy, seed)]
+        train = part.where((F.col("partition") == "train") & F.col("threshold").isin(some))
+        train = prep.balanced(train, strategy, seed, keys=["threshold", "split_id"]).withColumns({"strategy": F.lit(strategy), "seed": F.lit(seed)})
+        fit = prep.ranked_bayes(train, GRAPH_FEATURES, keys)
+        fits = fit if fits is None else fits.unionByName(fit)
+    grid = spark.createDataFrame([(f"{x[0]}:{x[1]}", *x[2:]) for x in runs], "run string, strategy string, seed int, threshold string, features array<string>")
+    fits = stored(fits).join(F.broadcast(grid), keys[:3]).withColumn("ranked", F.filter("ranked", lambda f: F.array_contains("features", f["feature"])))
+    fits = fits.where(F.size("ranked") > 0).select("run", "threshold", "split_id", "prior", "ranked")
+    odds = prep.prefix_log_odds(part.where("partition <> 'train'").join(fits, ["threshold", "split_id"]), GRAPH_FEATURES)
+    odds = stored(odds.select("run", "split_id", "partition", "sample_id", "label", "log_odds"))
+    best = stored(prep.best_prefix(odds.where("partition = 'validation'"), ["run", "split_id"]))
+    used = fits.join(best, ["run", "split_id"]).select("run", "split_id", F.expr("transform(slice(ranked, 1, size), f -> f.feature)").alias("used"))
+    test = odds.where("partition = 'test'").join(best, ["run", "split_id"]).withColumn("y_score", 1 / (1 + F.exp(-F.element_at("log_odds", F.col("size")))))
+    test = test.select("run", "split_id", "sample_id", F.col("label").alias("y_true"), "y_score", F.when(F.col("y_score") >= 0.5, 1).otherwise(0).alias("y_pred"))
+    return all_splits, used, test
 
 
 @query("m06_m07_walk_forward_bayes")
 def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(walk_forward_scores(spark, sf_dir, FEATURES), "y_score", places=4)
+    test = sweep(spark, sf_dir, [BASE])[2]
+    return rounded(test.select(F.substring_index("split_id", "|", -1).alias("split_id"), "sample_id", "y_true", "y_score", "y_pred"), "y_score", places=4)
 
 
 @query("a21_v14_feature_family_sweep")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pooled metrics of each feature family: a configuration column through one evaluation."""
-    families = {"all": FEATURES, "process": ["quantity", "price"], "product": ["discount", "tax"]}
-    rows = None
-    for name, columns in families.items():
-        part = walk_forward_scores(spark, sf_dir, columns).withColumn("run", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = stored(rows)
-    m = evaluate.metrics(rows, ["run"])
-    rates = rows.groupBy("run").agg(F.avg("y_true").alias("true_rate"), F.avg("y_pred").alias("predicted_rate"), F.countDistinct("split_id").alias("splits"))
-    return m.join(rates, "run")
+    """Pooled metrics, rates, valid and skipped splits and feature usage of each run: a configuration column through one job."""
+    all_splits, used, test = sweep(spark, sf_dir, RUNS)
+    test = stored(test)
+    rates = test.groupBy("run").agg(F.avg("y_true").alias("true_rate"), F.avg("y_pred").alias("predicted_rate"), F.countDistinct("split_id").alias("splits"))
+    counts = all_splits.groupBy("threshold").agg(F.count("*").alias("_all"))
+    usage = used.select("run", F.explode("used").alias("feature")).groupBy("run", "feature").agg(F.count("*").alias("n"))
+    usage = usage.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "feature", F.col("n").cast("string")))), ",").alias("feature_usage"))
+    grid = spark.createDataFrame([(f"{x[0]}:{x[1]}", *x[2:5], len(x[5])) for x in RUNS], "run string, strategy string, seed int, threshold string, feature_count int")
+    out = grid.join(counts, "threshold", "left").join(evaluate.metrics(test, ["run"]), "run", "left").join(rates, "run", "left").join(usage, "run", "left")
+    splits_used = F.coalesce("splits", F.lit(0))
+    return out.withColumn("skipped_splits", F.coalesce("_all", F.lit(0)) - splits_used).withColumn("splits", splits_used).drop("_all")
 
 
 def temporal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
