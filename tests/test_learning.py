@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import prep
+from tidemark.operators import models, prep
 from tidemark.plans import learning_queries as learning
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,23 @@ def test_equal_rows_all_count(spark, monkeypatch):
     test = learning.sweep(spark, SF, [learning.BASE])[2]
     n = learning.members(spark, SF).where("partition = 'test'").count()
     assert test.count() == n == test.select("split_id", "sample_id").distinct().count()
+
+
+def test_selectors_try_every_size(spark, monkeypatch):
+    assert models.candidate_counts(5, 0.1) == [1, 2, 3, 4, 5] and models.candidate_counts(25, 0.1) == [*range(1, 26, 3)]
+    assert models.ranking([["a", "b", "c", "d"], ["a", "c"], ["c"]], ["a", "b", "c", "d"]) == ["c", "a", "b", "d"]
+    rng = random.Random(3)
+    rows = [(float(y), *((y + 0.1 * rng.random()) if i < 3 and rng.random() < 0.9 else rng.random() for i in range(5)), 1.0) for y in (0, 1) for _ in range(60)]
+    names = ["a", "b", "c", "d", "e", "same"]
+    df = spark.createDataFrame(rows, f"label double, {', '.join(f'{c} double' for c in names)}").coalesce(1)
+    assert models.select_features(df, df, names, method="variance_threshold") == names[:5]
+    dealt = models.folds(df, 3, 1).groupBy("label", "fold").count().collect()
+    assert len(dealt) == 6 and sum(r["count"] for r in dealt) == 120
+    monkeypatch.setattr(models, "FOREST", {"numTrees": 5})
+    assert set(models.select_features(df, df, names[:5], method="rfe")) < {"a", "b", "c"}  # half of five
+    tried, real = [], models.forest
+    monkeypatch.setattr(models, "forest", lambda t, f, *x: tried.append(len(f)) or real(t, f, *x))
+    monkeypatch.setattr(models, "validation_score", lambda rows: 1.0 if tried[-1] == 3 else 0.0)
+    assert set(models.select_features(df, df, names[:5])) == {"a", "b", "c"} and set(tried) == {1, 2, 3, 4, 5}
+    monkeypatch.setattr(models, "mcc", lambda rows: 1.0 if tried[-1] == 4 else 0.0)
+    assert len(models.select_features(df, df, names[:5], method="rfecv")) == 4

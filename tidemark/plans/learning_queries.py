@@ -11,7 +11,7 @@ from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
 from tidemark.plans.registry import query, samples, table
-from tidemark.shared import stored
+from tidemark.shared import fixed, stored
 
 # two systems score every event; a split is a user's day of the week
 PRED = """pred AS (SELECT sys AS system, 'u' || (user_id % 40) || 'd' || dayofweek(ts) AS split_id, user_id % 7 AS repository, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y_true, score AS y_score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS y_pred
@@ -276,10 +276,12 @@ def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m05_feature_selection")
 def m05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each selector keeps each feature."""
     train, validation, _ = temporal(spark, sf_dir)
-    chosen = models.select_features(train, validation, [*FEATURES, "part"])
-    names = F.explode(F.array(*map(F.lit, [*FEATURES, "part"]))).alias("feature")
-    return train.agg(F.count("*").alias("train_rows")).select("train_rows", names).withColumn("selected", F.col("feature").isin(chosen))
+    train, validation = fixed(train), fixed(validation)
+    names = [*FEATURES, "part"]
+    found = [(m, f, f in chosen) for m in models.SELECTORS for chosen in [models.select_features(train, validation, names, method=m)] for f in names]
+    return train.agg(F.count("*").alias("train_rows")).crossJoin(spark.createDataFrame(found, "selector string, feature string, selected boolean"))
 
 
 @query("m11_best_epoch", "WITH h AS (SELECT user_id % 50 AS run, event_id % 20 AS epoch, avg(value) AS loss, CASE WHEN event_id % 20 > 12 THEN NULL ELSE round(avg(value) / 100, 3) END AS mcc FROM events GROUP BY 1, 2), x AS (SELECT *, coalesce(mcc, -loss) AS score FROM h) SELECT run, epoch AS best_epoch, round(score, 6) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, epoch) AS n FROM x) WHERE n = 1")
