@@ -92,3 +92,13 @@ def test_selectors_try_every_size(spark, monkeypatch):
     assert set(models.select_features(df, df, names[:5])) == {"a", "b", "c"} and set(tried) == {1, 2, 3, 4, 5}
     monkeypatch.setattr(models, "mcc", lambda rows: 1.0 if tried[-1] == 4 else 0.0)
     assert len(models.select_features(df, df, names[:5], method="rfecv")) == 4
+
+
+@pytest.mark.parametrize("name", list(models.SPACE))
+def test_search_tries_the_whole_grid_once(monkeypatch, name):
+    tried = []
+    monkeypatch.setattr(models, "fit_and_score", lambda *_, **p: tried.append(p) or len(tried))
+    monkeypatch.setattr(models, "validation_score", lambda n: float(n == 3))
+    best, score = models.search(name, None, None, [])
+    grid = math.prod(map(len, models.SPACE[name].values()))
+    assert len(tried) == len({str(p) for p in tried}) == min(10, grid) and (best, score) == (tried[2], 1.0)
