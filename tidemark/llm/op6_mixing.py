@@ -50,19 +50,21 @@ def mix_sources(
     """df with size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
     size is the number of words of text_col, or size_col as given. Null text has size 0; rows of size
-    0 take nothing. A null source is a source of its own, the last. Rows of the same id are shuffled
-    by the same key, then by size; equal rows are told apart by nothing and may swap places. An empty
-    table stays empty. Columns of df named as the results are replaced. df is read more than once, so
-    hand over a table rather than a long computation. Sources may be of any size: running sums are
-    made in buckets of the shuffle order and of the virtual time. What is sorted in one task is one
-    row for each source, and the one bucket of virtual time in which the cut falls.
+    0 take nothing, and a source of such rows alone has the target 0. A null source is a source of its
+    own, the last. The shuffle key comes from id and size, so that rows without an id or with a
+    repeated one spread over the buckets; rows equal in both are told apart by nothing and may swap
+    places. An empty table stays empty. Columns of df named as the results are replaced. df is read
+    more than once, so hand over a table rather than a long computation. Sources may be of any size:
+    running sums are made in buckets of the shuffle order and of the virtual time. What is sorted in
+    one task is one row for each source, and the one bucket of virtual time in which the cut falls.
     """
     names = ["size", "source_size", "target", "taken"]
     size_expr: Column = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else n_words(F.col(text_col))
     keep = [c for c in df.columns if c not in names]
     key, bucket, source = "_key", "_bucket", "_source"
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base = df.select(F.struct(*map(F.col, keep)).alias("_row"), size_expr.alias("size"), hashed.alias(key), F.col(source_col).alias(source))
+    base = df.select(F.struct(*map(F.col, keep)).alias("_row"), size_expr.alias("size"), F.col(id_col).cast("string").alias("_id"), F.col(source_col).alias(source))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("_id", F.lit("")), F.lit(":"), F.col("size").cast("string")))
+    base = base.select("_row", "size", hashed.alias(key), source)
     narrow = fixed(base.select(key, source, "size"))
 
     sums = narrow.groupBy(source).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -77,12 +79,13 @@ def mix_sources(
         starts = starts.join(targets, starts[source].eqNullSafe(targets["_of"])).drop("_of")
         starts = starts.withColumn("_start", F.sum("_sum").over(Window.partitionBy(source).orderBy(bucket)) - F.col("_sum")).drop("_sum")
         starts = starts.withColumnsRenamed({source: "_of", bucket: "_at"})
-        within = Window.partitionBy(source, bucket).orderBy(key, "size").rowsBetween(Window.unboundedPreceding, 0)
+        within = Window.partitionBy(source, bucket).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         out = rows.withColumn("_run", F.sum("size").over(within))
         return out.join(starts, out[source].eqNullSafe(starts["_of"]) & (out[bucket] == starts["_at"])).withColumn("_run", F.col("_start") + F.col("_run")).drop("_of", "_at", "_start")
 
     def finish(copy: int) -> Column:
-        return (F.col("_run") + F.col("source_size") * copy) / F.col("target")
+        # a source without words has the target 0 and no document that could be taken: its times are null
+        return F.try_divide(F.col("_run") + F.col("source_size") * copy, F.col("target"))
 
     times = queued(narrow).where("size > 0").select("size", "source_rank", F.explode(F.array(*map(finish, range(repeats)))).alias("_time"))
     n_times = max(1024, n_rows * repeats // CUT_ROWS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import op1_ngram_join, op2_tokens, op3_quality, op4_html, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
 from tidemark.llm.text import n_words, utf8_bytes
+from tidemark.shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,24 +92,24 @@ FROM caps c LEFT JOIN best USING (page_id)
 
 
 def op6_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words")))
     return op6_mixing.mix_sources(docs, size_col="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+WITH d AS (SELECT *, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size) AS k
+    FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, (2 * size)::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, rank, size AS source_size, coalesce(least(cap, (SELECT max(level) FROM l WHERE level <= cap / weight) * weight), cap) AS target FROM l),
-q AS (SELECT doc_id, d.size, k, rank, source_size, target, sum(d.size) OVER (PARTITION BY rank ORDER BY k, d.size ROWS UNBOUNDED PRECEDING) AS run
+q AS (SELECT doc_id, d.size, k, rank, source_size, target, sum(d.size) OVER (PARTITION BY rank ORDER BY k ROWS UNBOUNDED PRECEDING) AS run
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT doc_id, k, size, rank, c, CAST(run + source_size * c AS DOUBLE) / target AS finish FROM q, range(2) r(c) WHERE size > 0),
+e AS (SELECT doc_id, k, size, rank, c, CAST(run + source_size * c AS DOUBLE) / nullif(target, 0) AS finish FROM q, range(2) r(c) WHERE size > 0),
 o AS (SELECT doc_id, k, size, c, sum(size) OVER (ORDER BY finish, rank ROWS UNBOUNDED PRECEDING) AS upto FROM e),
 g AS (SELECT doc_id, k, sum(size)::BIGINT AS taken FROM o WHERE upto <= (SELECT sum(target) FROM t) GROUP BY 1, 2)
-SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0)::BIGINT AS taken FROM q LEFT JOIN g ON q.k = g.k
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0)::BIGINT AS taken FROM q LEFT JOIN g ON q.k = g.k AND q.doc_id IS NOT DISTINCT FROM g.doc_id
 """
 
 
