@@ -3,9 +3,10 @@
 A word-level BPE never merges across pre-tokens, so a text's count is the sum over its pre-tokens.
 Once, on the driver, the tokenizer itself is asked which strings of its vocabulary encode alone as
 one token, and into which class (letter, digit, other, white space) it puts each character of a
-plain alphabet. A task then splits plain texts by those classes, counts pre-tokens that are proven
-whole as one, and has only the rest merged by the library, each spelling once. Texts with characters
-outside the plain alphabet are encoded whole by the library.
+plain alphabet. A task then splits texts by those classes, counts pre-tokens that are proven whole
+as one, and has only the rest merged by the library, each spelling once. Where a character outside
+the plain alphabet stands, what is around it up to white space goes to the library as it is: neither
+normalisation nor pre-tokens reach across white space.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tidemark.shared import bounded_batches
 PLAIN = 0x250
 #: What the pre-tokenizer splits off first: these pieces and then runs of letters, single digits and runs of others.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Spellings that a task remembers, beside the whole tokens.
-REMEMBERED = 300_000
+#: Spellings that a task remembers, beside the whole tokens, and characters of the longest of them.
+REMEMBERED, LONGEST = 300_000, 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,28 +100,34 @@ class Shortcut:
         if not self.classes:
             return coded
         of = {k: "".join(map(re.escape, v)) for k, v in self.classes.items()}
-        strange = re.compile(f"[^{''.join(of.values())}]").search
+        plain, gap = "".join(of.values()), of["space"]
+        strange = re.compile(f"[^{plain}]").search
+        foreign = re.compile(f"[^{gap}]+")
         pieces = re.compile(f"{'|'.join(ENDINGS)}|[{of['letter']}]+|[{of['digit']}]|[{of['other']}]+").findall
         special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         cost: dict[str, int] = dict.fromkeys(self.whole, 1)
 
+        def cut(part: str) -> list[str]:
+            """Pre-tokens of a text, and runs around characters outside the plain alphabet."""
+            if not strange(part):
+                return pieces(part.lower())
+            runs: list[str] = []
+            rest = foreign.sub(lambda m: m[0] if not strange(m[0]) else runs.append(m[0]) or " ", part)
+            return pieces(rest.lower()) + runs
+
         def count(texts: list[str]) -> list[int]:
-            out, waiting, missing, foreign = [0] * len(texts), [], set(), []
+            out, waiting, missing = [0] * len(texts), [], set()
             for i, text in enumerate(texts):
                 parts = special.split(text) if special and special.search(text) else [text]
-                if any(map(strange, parts)):
-                    foreign.append(i)
-                    continue
+                found = [p for part in parts for p in cut(part)]
                 out[i] = len(parts) - 1
-                found = [p for part in parts for p in pieces(part.lower())] if len(parts) > 1 else pieces(text.lower())
                 missing |= set(found).difference(cost)
                 waiting.append((i, found))
             rest = list(missing)
-            cost.update(zip(rest, coded(rest), strict=True))
+            new = dict(zip(rest, coded(rest), strict=True))
             for i, found in waiting:
-                out[i] += sum(map(cost.__getitem__, found))
-            for i, n in zip(foreign, coded([texts[i] for i in foreign]), strict=True):
-                out[i] = n
+                out[i] += sum(cost[p] if p in cost else new[p] for p in found)
+            cost.update((p, n) for p, n in new.items() if len(p) <= LONGEST)
             if len(cost) > len(self.whole) + REMEMBERED:
                 cost.clear()
                 cost.update(dict.fromkeys(self.whole, 1))
