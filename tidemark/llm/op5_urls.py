@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import stored
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -18,16 +20,31 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def patterns_of(url: Column) -> Column:
+def parts_of(path: Column) -> Column:
+    """The parts of a path, each up to its slash or the end."""
+    return F.filter(F.regexp_extract_all(path, F.lit(r"[^/]*/?"), F.lit(0)), lambda x: x != "")
+
+
+def depths(lists: DataFrame) -> tuple[list[int], list[int]]:
+    """How many labels the domains and how many parts the paths of a list have: the distinct numbers,
+    to the driver. There are as many as the longest pattern has parts, at most."""
+    host, path = F.substring_index("pattern", "/", 1), F.substr("pattern", F.instr("pattern", "/"))
+    deep = F.when(F.instr("pattern", "/") > 0, F.size(parts_of(path))).otherwise(-F.size(F.split(host, r"\.")))
+    found = sorted(r[0] for r in lists.select(deep.alias("deep")).distinct().collect())
+    return [-n for n in found if n < 0], [n for n in found if n > 0]
+
+
+def patterns_of(url: Column, domains: list[int], paths: list[int]) -> Column:
     """What an entry may say to match the URL: the host and its parent domains (of two labels and
-    more), and the host with each leading part of the path that ends in a slash or at its end."""
-    labels = F.split(host_of(url), r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
-    path = F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
-    parts = F.regexp_extract_all(path, F.lit(r"[^/]*/?"), F.lit(0))
-    paths = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(host_of(url), F.array_join(F.slice(parts, F.lit(1), i), "")))
-    return F.when(host_of(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.filter(paths, lambda p: F.instr(p, "/") > 0))))
+    more), and the host with each leading part of the path that ends in a slash or at its end. Only
+    domains of so many labels and paths of so many parts as are asked for are spelt out."""
+    labels, parts = F.split(host_of(url), r"\."), parts_of(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1))
+    have, none = F.size(labels), F.array().cast("array<string>")
+    allowed = lambda n: (n <= have) & ((n > 1) | (have == 1))
+    hosts = F.transform(F.filter(F.array(*map(F.lit, domains)), allowed), lambda n: F.array_join(F.slice(labels, have - n + 1, n), ".")) if domains else none
+    fit = F.filter(F.array(*map(F.lit, paths)), lambda n: n <= F.size(parts)) if paths else F.array().cast("array<int>")
+    tails = F.transform(fit, lambda n: F.concat(host_of(url), F.array_join(F.slice(parts, F.lit(1), n), "")))
+    return F.when(host_of(url) == "", none).otherwise(F.array_distinct(F.concat(hosts, tails)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,15 +66,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
 
     Every capture is kept, repeated rows too. A null URL, one without a host, or a null fetch time
     matches nothing. Without entries nothing is blocked. Columns of captures named as the results are
-    replaced. Verdicts are made once for each distinct (URL, time): a URL that holds a third of all
+    replaced. URLs may be of any length: only what can be in the list is spelt out. Verdicts are made once for each distinct (URL, time): a URL that holds a third of all
     rows is one row there; the join back may be split by its left side, as the join with the list.
     """
     names = ["url_host", "n_active", "blocked", "matched", "category"]
     keep = [c for c in captures.columns if c not in names]
     rows = captures.select(F.struct(*keep).alias("_row"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"))
     asked = rows.select("_url", "_at").where("_url IS NOT NULL AND _at IS NOT NULL").distinct()
-    asked = asked.select("_url", "_at", F.explode(patterns_of(F.col("_url"))).alias("pattern"))
-    lists = intervals(entries)
+    lists = stored(intervals(entries))
+    asked = asked.select("_url", "_at", F.explode(patterns_of(F.col("_url"), *depths(lists))).alias("pattern"))
     active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     hits = asked.join(lists, (asked["pattern"] == lists["pattern"]) & active).select("_url", "_at", asked["pattern"], "category")
     best = F.max(F.struct(F.length("pattern").alias("size"), "pattern", "category"))
