@@ -5,8 +5,8 @@ has such a group, and two equal spans keep the same hash at the same place, so e
 that length is found by an equi-join of the kept hashes; each hit is then extended to both sides,
 word by word. Everything is DataFrame functions.
 
-Benchmark items shorter than a window are one window: spans of their length are found by a smaller
-`w`, and where they have fewer than `k` words by all their own hashes.
+Benchmark items shorter than a window are one window. They have winnowings of their own: a smaller `w`,
+and where they have fewer than `k` words all their own hashes.
 """
 
 from __future__ import annotations
@@ -93,8 +93,10 @@ def hits(docs: DataFrame, items: DataFrame, key: list[str], window: int) -> Data
     bench = stored(segments(items, "_text", window).where("_n > 0"))
     lengths = [r[0] for r in bench.select(F.least("_n", F.lit(window)).alias("n")).distinct().collect()]
     found = None
-    middle = [n for n in lengths if n >= K]
-    plans = [(K, min(middle) - K + 1, middle)] if middle else []
+    # items of a whole window keep the widest winnowing, whatever shorter items there are
+    short = [n for n in lengths if K <= n < window]
+    plans = [(K, window - K + 1, [window])] if window in lengths and window >= K else []
+    plans += [(K, min(short) - K + 1, short)] if short else []
     plans += [(n, 1, [n]) for n in lengths if n < K]
     cut = segments(docs, "_text", window)
     for k, w, own in plans:
