@@ -11,6 +11,7 @@ sizes differ by one row at most.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.shared import fixed, fresh
 
+#: Rows of the matrix (one a partition) up to which it is broadcast.
+BROADCAST = 100_000
 #: Bits of monotonically_increasing_id that count rows in a partition.
 ROW_BITS = 33
 
@@ -66,11 +69,11 @@ def shard_rows(df: DataFrame, n_shards: int = 8, seed: int = 20_240, bucket_rows
     shards. An empty table gives an empty table. Columns of df called shard or slot are replaced.
     The rows are written to the shared folder first, so that a partition means the same rows in
     every later job, and a rerun with the same partitions and seed gives the same result. The
-    driver holds one matrix row for each partition. A shard is permuted in buckets of about
+    driver draws one matrix row for each partition, and each partition is joined with its own. A shard is permuted in buckets of about
     bucket_rows rows, so that no task holds a shard.
     """
     df = df.drop("shard", "slot")
-    pos, bucket, offset, key, many = fresh(df, "_pos", "_bucket", "_offset", "_key", "_many")
+    pos, bucket, offset, key, many, of, dealt_row = fresh(df, "_pos", "_bucket", "_offset", "_key", "_many", "_of", "_cells")
     base = fixed(df.withColumn(pos, F.monotonically_increasing_id()))
     part = F.shiftright(F.col(pos), ROW_BITS)
     counts = {r[0]: r[1] for r in base.groupBy(part.alias(key)).count().collect()}
@@ -78,25 +81,27 @@ def shard_rows(df: DataFrame, n_shards: int = 8, seed: int = 20_240, bucket_rows
     sizes = shard_sizes(total, n_shards)
     order = sorted(counts)
     drawn = communication_matrix([counts[p] for p in order], sizes, seed)
-    matrix = dict(zip(order, drawn, strict=True))
+    matrix = df.sparkSession.createDataFrame([(p, row.tolist()) for p, row in zip(order, drawn, strict=True)], f"{of} long, {dealt_row} array<long>")
+    matrix = F.broadcast(matrix) if len(order) <= BROADCAST else matrix
 
     @F.pandas_udf("int")
-    def deal(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        parts, row = at >> ROW_BITS, at & ((1 << ROW_BITS) - 1)
-        out = np.empty(len(at), dtype=np.int32)
-        for p in np.unique(parts):
-            if held.get("part") != p:
-                dealt = np.repeat(np.arange(n_shards, dtype=np.int32), matrix[p])
-                np.random.default_rng([seed, int(p)]).shuffle(dealt)
-                held.update(part=p, dealt=dealt)
-            here = parts == p
-            out[here] = held["dealt"][row[here]]
-        return pd.Series(out)
-
-    held: dict = {}
+    def deal(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last = dealt = None
+        for at, cells in batches:
+            at = at.to_numpy()
+            parts, row = at >> ROW_BITS, at & ((1 << ROW_BITS) - 1)
+            out = np.empty(len(at), dtype=np.int32)
+            for p in np.unique(parts):
+                here = np.flatnonzero(parts == p)
+                if p != last:
+                    last, dealt = p, np.repeat(np.arange(n_shards, dtype=np.int32), cells.iloc[here[0]])
+                    np.random.default_rng([seed, int(p)]).shuffle(dealt)
+                out[here] = dealt[row[here]]
+            yield pd.Series(out)
+
     n_buckets = max(256, math.ceil(total / n_shards / bucket_rows))
-    dealt = base.withColumns({"shard": deal(pos), bucket: F.pmod(F.xxhash64(F.lit(seed), pos), F.lit(n_buckets))})
+    dealt = base.withColumn(of, part).join(matrix, of).withColumn("shard", deal(pos, dealt_row)).drop(of, dealt_row)
+    dealt = dealt.withColumns({bucket: F.pmod(F.xxhash64(F.lit(seed), pos), F.lit(n_buckets))})
     starts = (
         dealt.groupBy("shard", bucket).agg(F.count("*").alias(many))
         .withColumn(offset, F.sum(many).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(many))
