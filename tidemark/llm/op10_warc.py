@@ -13,6 +13,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from tidemark.shared import bounded_batches, shared_dir
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
+DATE = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -39,12 +41,13 @@ def unclean(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """A WARC/1.1 record. A revisit has the HTTP head of its payload and not the payload."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """A WARC/1.1 record. A revisit has the HTTP head of its payload and not the payload. place, which
+    tells records apart that hold the same, makes the record's id."""
     digest = base32_sha1(payload)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    named = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}")
+    named = uuid.uuid5(uuid.NAMESPACE_URL, f"{place} {page_id} {url}")
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{named}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     lines += [f"WARC-Target-URI: {clean(url)}"] if url is not None else []
     lines += [f"X-Page-ID: {page_id}"] if page_id is not None else []
@@ -64,30 +67,44 @@ def headers(head: bytes) -> tuple[str, dict[str, str]]:
     return first, found
 
 
-def parse_record(data: bytes) -> tuple:
-    """A record's fields as in READ_SCHEMA. Raises where headers, lengths or digests do not agree."""
+#: Headers that the format asks of every record.
+REQUIRED = ("warc-record-id", "warc-date", "warc-type", "content-length")
+
+
+def parse_record(data: bytes) -> tuple | None:
+    """A record's fields as in READ_SCHEMA; None for a sound record that is no response or revisit.
+    Raises ValueError where headers are missing, or headers, lengths or digests do not agree."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, h = headers(head)
-    if not gap or version != "WARC/1.1" or h.get("warc-type") not in ("response", "revisit"):
-        raise ValueError(f"not a WARC/1.1 response or revisit: {version[:40]!r}")
+    if not gap or version not in ("WARC/1.0", "WARC/1.1"):
+        raise ValueError(f"not a WARC record: {version[:40]!r}")
+    if missing := [x for x in REQUIRED if not h.get(x)]:
+        raise ValueError(f"headers missing: {missing}")
+    if not h["content-length"].isdecimal() or not DATE.fullmatch(h["warc-date"]):
+        raise ValueError("bad Content-Length or WARC-Date")
     length = int(h["content-length"])
     block, tail = rest[:length], rest[length:]
     if len(block) != length or tail != b"\r\n\r\n":
         raise ValueError("Content-Length and the record's length differ")
-    if h["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
+    if h.get("warc-block-digest", "").startswith("sha1:") and h["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
         raise ValueError("the block's digest differs")
+    if h["warc-type"] not in ("response", "revisit"):
+        return None
     http, gap, payload = block.partition(b"\r\n\r\n")
     status, hh = headers(http)
-    size, digest, revisit = int(hh["content-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "revisit"
-    if not gap or not status.startswith("HTTP/1.1 "):
+    revisit, digest = h["warc-type"] == "revisit", h.get("warc-payload-digest", "").removeprefix("sha1:")
+    if not gap or not status.startswith("HTTP/1."):
         raise ValueError("bad HTTP head")
-    if revisit and (payload or h.get("warc-profile") != REVISIT_PROFILE):
+    size = int(hh["content-length"]) if hh.get("content-length", "").isdecimal() else None if revisit else len(payload)
+    if revisit and (payload or not h.get("warc-profile") or size is None or not digest):
         raise ValueError("bad revisit")
-    if not revisit and (len(payload) != size or base32_sha1(payload) != digest):
+    if not revisit and (len(payload) != size or base32_sha1(payload) != (digest or base32_sha1(payload))):
         raise ValueError("the payload's length or digest differs")
-    page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
-    url = h.get("warc-target-uri")
-    return (None if page is None else int(page), None if url is None else unclean(url), h["warc-type"], size, digest, int(refers) if revisit and refers != "None" else None, None if revisit else payload)
+    page, refers, url = h.get("x-page-id"), h.get("x-refers-to-page-id"), h.get("warc-target-uri")
+    return (
+        None if page is None else int(page), None if url is None else unclean(url), h["warc-type"], size, digest or base32_sha1(payload),
+        int(refers) if revisit and refers not in (None, "None") else None, None if revisit else payload,
+    )
 
 
 def archive_head(records: list[bytes], dictionary_bytes: int) -> tuple[bytes, object]:
@@ -102,29 +119,38 @@ def archive_head(records: list[bytes], dictionary_bytes: int) -> tuple[bytes, ob
     return struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw, trained
 
 
-def read_archive(data: bytes) -> Iterator[tuple]:
-    """The records of one archive: the dictionary from the leading skippable frame, then frame by frame."""
+def read_archive(source: BinaryIO, piece: int = 1 << 18) -> Iterator[tuple]:
+    """The responses and revisits of one archive: the dictionary from the leading skippable frame, then
+    frame by frame, a record each. What is held is the dictionary, one record and a piece of input."""
     import zstandard
 
-    at, dictionary = 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
-        size = struct.unpack_from("<I", data, 4)[0]
-        raw, at = data[8 : 8 + size], 8 + size
-        if len(raw) != size:
+    held = source.read(piece)
+    dictionary = None
+    if held[:4] == struct.pack("<I", DICTIONARY_MAGIC):
+        held += source.read(max(0, 8 - len(held)))
+        size = struct.unpack_from("<I", held, 4)[0] if len(held) >= 8 else -1
+        while -1 < len(held) - 8 < size and (more := source.read(piece)):
+            held += more
+        raw, held = held[8 : 8 + size], held[8 + size :]
+        if size < 0 or len(raw) != size:
             raise ValueError("the dictionary frame is cut short")
         if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary itself may be compressed
             raw = zstandard.ZstdDecompressor().decompress(raw)
         dictionary = zstandard.ZstdCompressionDict(raw)
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while at < len(data):
-        if struct.unpack_from("<I", data, at)[0] != FRAME_MAGIC:
-            raise ValueError(f"no frame at byte {at}")
-        one = reader.decompressobj()
-        record = one.decompress(memoryview(data)[at:])
-        if not one.eof:
-            raise ValueError("the last frame is cut short")
-        yield parse_record(record)
-        at = len(data) - len(one.unused_data)
+    while held or (held := source.read(piece)):
+        while len(held) < 4 and (more := source.read(piece)):
+            held += more
+        if held[:4] != struct.pack("<I", FRAME_MAGIC):
+            raise ValueError("no frame where one has to start")
+        one, record = reader.decompressobj(), []
+        while not one.eof:
+            if not held and not (held := source.read(piece)):
+                raise ValueError("the last frame is cut short")
+            record.append(one.decompress(held))
+            held = one.unused_data if one.eof else b""
+        if (row := parse_record(b"".join(record))) is not None:
+            yield row
 
 
 def opened(path: str) -> tuple:
@@ -150,6 +176,7 @@ def write_archives(records: DataFrame, path: str, *, dictionary_bytes: int = 32_
         task = TaskContext.get()
         waiting: list[bytes] = []
         files = held = 0
+        own = uuid.uuid4().hex
 
         def flush() -> pd.DataFrame:
             head, dictionary = archive_head(waiting[:sample_records], dictionary_bytes)
@@ -163,7 +190,7 @@ def write_archives(records: DataFrame, path: str, *, dictionary_bytes: int = 32_
 
         for batch in batches:
             for page_id, url, payload, refers_to, revisit in zip(*(batch[c] for c in ("page_id", "url", "payload", "refers_to", "revisit")), strict=True):
-                waiting.append(record_bytes(None if page_id is None else int(page_id), url, bytes(payload), None if refers_to is None else int(refers_to), bool(revisit)))
+                waiting.append(record_bytes(None if page_id is None else int(page_id), url, bytes(payload), None if refers_to is None else int(refers_to), bool(revisit), f"{own} {files} {len(waiting)}"))
                 held += len(waiting[-1])
                 if held >= archive_bytes:
                     yield flush()
@@ -180,23 +207,23 @@ def write_archives(records: DataFrame, path: str, *, dictionary_bytes: int = 32_
 
 def read_archives(names: DataFrame, path: str) -> DataFrame:
     """All records of the archives in path that names lists, as READ_SCHEMA says. An archive that does
-    not hold what it says fails the read. A task holds one archive at a time."""
+    not hold what it says fails the read; sound records of other types (warcinfo, request, metadata and
+    so on) are passed over. A task holds one record and a batch of rows at a time."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, folder = opened(path)
         for batch in batches:
             for name in batch["name"]:
                 with where.open_input_stream(f"{folder}/{name}", compression=None) as f:
-                    data = f.read()
-                rows, held = [], 0
-                for row in read_archive(data):
-                    rows.append(row)
-                    held += len(row[-1] or b"")
-                    if held > 4_000_000:
+                    rows, held = [], 0
+                    for row in read_archive(f):
+                        rows.append(row)
+                        held += len(row[-1] or b"")
+                        if held > 4_000_000:
+                            yield frame(rows)
+                            rows, held = [], 0
+                    if rows:
                         yield frame(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in READ_SCHEMA.split(", ")], dtype=object)
