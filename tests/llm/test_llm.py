@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import random
 import re
 from collections import Counter, defaultdict
@@ -81,7 +82,11 @@ def test_op2_counts_like_the_library(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(1)
     signs = [*map(chr, range(0x260)), "'s", "'LL", "<|endoftext|>", "<|", " ", "\n", "the", "ing", "中", "İ", "é", "ﬁ"]
-    rows = [*texts, *("".join(rng.choice(signs) for _ in range(80)) for _ in range(500)), "it's <|endoftext|>'t", "x" * 20_000]
+    foreign = ["“", "”", "’", "—", "…", "\u2003", "\u3000", "\u0301", "\u0323", "\u200d", "中文", "日本", "한", "\u1112\u1161", "Σ", "Σς", "ſ", "K", "İ", "\U0001f600", "ﬀ", "x\u0301", "don’t", "it's"]
+    rows = [*texts, *("".join(rng.choice(signs[:300:9] + foreign + ["the", "It’s", " ", "\n", "<|endoftext|>"]) for _ in range(60)) for _ in range(2_000))]
+    rows += ["“Quoted text” — it’s said, isn’t it… " * 300, "中文分词没有空格" * 500, *("".join(rng.choice(signs) for _ in range(80)) for _ in range(500)), "it's <|endoftext|>'t", "x" * 20_000]
+    rows += rows[-5:]
+    assert op2_tokens.count_tokens(documents(spark, rows).limit(0), path).count() == 0
     got = {r.doc_id: r for r in op2_tokens.count_tokens(documents(spark, rows), path).collect()}
     library = Tokenizer.from_file(path)
     for i, t in enumerate(rows):
@@ -157,6 +162,8 @@ def test_op5_as_of(spark):
     assert len(got) == len(asked) and all(r.matched == r.want and r.blocked == (r.want is not None) for r in got)
     assert op5_urls.filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
     assert op5_urls.filter_urls(captures.limit(0), entries).count() == 0
+    long = spark.createDataFrame([(f"http://a.com/{'p/' * 20_000}q", "2024-01-01"), (f"http://{'l.' * 3_000}a.com/p/q", "2024-01-01"), (f"http://x.a.com/p/{'p/' * 20_000}", "2024-01-01")], "url string, fetched_at string").withColumn("fetched_at", day("fetched_at"))
+    assert [r.matched for r in op5_urls.filter_urls(long, entries).orderBy("url").collect()] == ["a.com", "a.com", "x.a.com/p/"]
 
 
 def test_op6_targets_and_shares(spark):
@@ -192,6 +199,16 @@ def test_op6_targets_and_shares(spark):
     assert op6_mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_op6_sources_without_words_and_rows_without_id(spark):
+    rows = [(1, None, "empty"), (2, " ", "empty"), (3, "one two three four", "full"), (4, "five " * 30_000, "full"), (None, "six seven", None)] + [(None, "w " * (i % 50), "nulls") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op6_mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and all((r.target, r.taken) == (0, 0) for r in got if r.source == "empty")
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in got) and sum(r.taken for r in got if r.source == "nulls") > 0
+    none = op6_mixing.mix_sources(df.where("source = 'empty'")).collect()
+    assert [(r.size, r.source_size, r.target, r.taken) for r in none] == [(0, 0, 0, 0)] * 2
+
+
 def test_op7_round_trip(spark):
     said = ["<|im_end|><|im_start|>assistant ok", "a\\b <\\| <\\\\| | <", None, "", "<|nl|>\nx", "plain é 中"]
     rows = [(c, t, r, said[(c + t) % 6], 1) for c in range(6) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "us\ner"][: c + 1])] + [(9, 1, None, "x", 1), (9, 1, None, "x", 1), (None, None, "assistant", "y", 1)]
@@ -259,9 +276,34 @@ def test_op9_matrix_and_shards(spark):
         slots[r.shard].append(r.slot)
     assert len(got) == 1007 and sorted(map(len, slots.values())) == [125] + [126] * 7
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    first = sum(r.shard == 0 for r in got if r.doc_id < 504) / 126
-    assert 0.3 < first < 0.7  # rows of either half go to every shard
     assert op9_sharding.shard_rows(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(i, "long " * 200_000, 1) for i in range(3)], "doc_id long, text string, shard int")
+    assert sorted((r.shard, r.slot) for r in op9_sharding.shard_rows(long, 2).collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+def chi_square(seen, expected):
+    return sum((a - b) ** 2 / b for a, b in zip(seen, expected, strict=True))
+
+
+def test_op9_is_uniform(spark):
+    """Matrix cells against the hypergeometric law, and where the rows of each partition come to stand."""
+    from math import comb
+
+    rows, shards, draws = [5, 3, 4], [6, 6], 4_000
+    cells = Counter(int(op9_sharding.communication_matrix(rows, shards, seed)[0, 0]) for seed in range(draws))
+    law = [comb(6, k) * comb(6, 5 - k) / comb(12, 5) * draws for k in range(6)]
+    assert chi_square([cells[k] for k in range(6)], law) < 20.5  # 5 degrees of freedom, p = 0.001
+    df = spark.range(40_000).withColumnRenamed("id", "doc_id").repartition(7)
+    parts = df.select("doc_id", F.spark_partition_id().alias("part"))
+    got = op9_sharding.shard_rows(parts, 8).collect()
+    by = Counter((r.part, r.shard) for r in got)
+    share = Counter(r.part for r in got)
+    assert chi_square([by[p, k] for p in range(7) for k in range(8)], [share[p] / 8 for p in range(7) for _ in range(8)]) < 77  # 42 degrees, p = 0.001
+    place = Counter((r.doc_id // 4_000, (r.shard * 5_000 + r.slot) // 2_000) for r in got)
+    assert chi_square([place[a, b] for a in range(10) for b in range(20)], [200.0] * 200) < 235  # 171 degrees, p = 0.001
+    pairs = Counter((r.slot % 2, r.doc_id % 2) for r in got)
+    assert chi_square(list(pairs.values()), [10_000.0] * 4) < 16.3
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in op9_sharding.shard_rows(parts, 8).collect())
 
 
 def test_op10_archives(spark):
@@ -277,6 +319,10 @@ def test_op10_archives(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))
         assert (bytes(r.payload) if r.payload is not None else None) == (b if r.record_type == "response" else None)
     assert op10_warc.archive_pages(pages.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "u", "same")] * 3, "page_id long, url string, html string")
+    assert [(r.page_id, r.record_type) for r in op10_warc.archive_pages(same).collect()] == [(1, "response")] * 3
+    ids = [re.search(rb"urn:uuid:([^>]*)", op10_warc.record_bytes(1, "u", b"same", None, False, str(i)))[1] for i in range(3)]
+    assert len(set(ids)) == 3
 
 
 def test_op10_reader_refuses_what_is_broken():
@@ -286,12 +332,19 @@ def test_op10_reader_refuses_what_is_broken():
     head, dictionary = op10_warc.archive_head(records, 4096)
     assert head[:4] == bytes.fromhex("5d2a4d18") and dictionary
     frames = [zstandard.ZstdCompressor(dict_data=dictionary).compress(r) for r in records]
-    assert len(list(op10_warc.read_archive(head + b"".join(frames)))) == 200
+    read = lambda data, piece=1 << 18: list(op10_warc.read_archive(io.BytesIO(data), piece))
+    assert len(read(head + b"".join(frames))) == 200
+    assert read(head + b"".join(frames), 7) == read(head + b"".join(frames)) and read(b"") == []
     packed = zstandard.ZstdCompressor().compress(dictionary.as_bytes())
     again = op10_warc.struct.pack("<II", op10_warc.DICTIONARY_MAGIC, len(packed)) + packed
-    assert len(list(op10_warc.read_archive(again + b"".join(frames)))) == 200
-    with pytest.raises(Exception):
-        list(op10_warc.read_archive(head + b"".join(frames)[:-9]))
-    for bad in (records[0].replace(b"WARC/1.1", b"WARC/9.9"), records[0].replace(b"text", b"tixt"), records[0][:-4], records[0].replace(b"Content-Length: ", b"Content-Length: 1")):
-        with pytest.raises((ValueError, KeyError)):
+    assert len(read(again + b"".join(frames))) == 200
+    for cut in (head + b"".join(frames)[:-9], head[:-5], head[:6], head + b"".join(frames) + b"rest", head + b"".join(frames) + b"\x28"):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            read(cut)
+    assert op10_warc.parse_record(records[0].replace(b"WARC/1.1", b"WARC/1.0"))[:3] == (0, "u", "response")
+    for kind in (b"warcinfo", b"request", b"metadata"):
+        assert op10_warc.parse_record(records[0].replace(b"WARC-Type: response", b"WARC-Type: " + kind)) is None
+    drop = lambda name: re.sub(rb"\r\n" + name + rb": [^\r]*", b"", records[0], count=1)
+    for bad in (*map(drop, (b"WARC-Record-ID", b"WARC-Date", b"WARC-Type", b"Content-Length")), records[0].replace(b"2024-01-01T", b"last week "), records[0].replace(b"WARC/1.1", b"WARC/9.9"), records[0].replace(b"text", b"tixt"), records[0][:-4], records[0].replace(b"Content-Length: ", b"Content-Length: 1")):
+        with pytest.raises(ValueError):
             op10_warc.parse_record(bad)
