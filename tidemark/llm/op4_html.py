@@ -1,9 +1,11 @@
 """Main text of HTML pages by composite text density.
 
 Every DOM node has characters, tags, link characters and link tags; its density is characters per
-tag, turned down where much of the text is links. A node's density sum is that of its children. The
-subtree of the largest sum is the article; the least density on the way from it up to body is the
-threshold above which other subtrees count as content too.
+tag, turned down where much of the text is links. Nodes are block elements and the text that stands
+directly in one: markup within a run of text parts nothing, but links count as tags. A node's density
+sum is that of its children. The subtree of the largest sum is the article. The least density on the
+way from it up to body is the threshold: wherever a node reaches it, the subtree of the largest sum
+in it is content too. What stands between content, or is built like it, or heads it, goes with it.
 
 Elements that are never the article (navigation, footers, controls, scripts, what is hidden) are left
 out first. Forms and elements whose class, id or role names an advert, a menu, comments and the like
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,6 +63,7 @@ class Page:
         self.tag, self.parent, self.drop = ["html"], [-1], [False]
         self.pieces: list[tuple[int, str]] = []
         self.stack = [0]
+        self.opened: Counter[str] = Counter()
         at = 0
         while m := TAG.search(source, at):
             self.text(source[at : m.start()])
@@ -82,28 +86,31 @@ class Page:
         if piece:
             self.pieces.append((self.stack[-1], piece))
 
+    def cut(self, i: int) -> None:
+        """Close all elements from place i of the stack on."""
+        self.opened.subtract(self.tag[k] for k in self.stack[i:])
+        del self.stack[i:]
+
     def close(self, name: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[i]] == name:
-                del self.stack[i:]
-                return
+        if self.opened[name] > 0:
+            self.cut(next(i for i in range(len(self.stack) - 1, 0, -1) if self.tag[self.stack[i]] == name))
 
     def open(self, name: str, attrs: str) -> None:
-        if name in CLOSES_P:
+        if name in CLOSES_P and self.opened["p"] > 0:
             for i in range(len(self.stack) - 1, 0, -1):
                 held = self.tag[self.stack[i]]
                 if held == "p":
-                    del self.stack[i:]
+                    self.cut(i)
                     break
                 if held not in INLINE:
                     break
-        if name in CLOSED_BY:
+        if name in CLOSED_BY and any(self.opened[x] > 0 for x in CLOSED_BY[name]):
             for i in range(len(self.stack) - 1, 0, -1):
                 held = self.tag[self.stack[i]]
                 if held in SCOPE[name]:
                     break
                 if held in CLOSED_BY[name]:
-                    del self.stack[i:]
+                    self.cut(i)
                     break
         if name == "html":
             return
@@ -113,6 +120,7 @@ class Page:
         self.drop.append(self.unwanted(name, attrs))
         if name not in VOID and not (attrs.endswith("/") and name not in INLINE | CLOSES_P):
             self.stack.append(node)
+            self.opened[name] += 1
         elif name in ("br", "hr"):
             self.pieces.append((node, " "))
 
@@ -120,9 +128,10 @@ class Page:
         """True: not the article. None: so it says, unless the article stands in it."""
         if name in DROPPED:
             return True
+        within = self.opened["article"] + self.opened["main"] > 0
         if name == "header":
-            return not any(self.tag[i] in ("article", "main") for i in self.stack)
-        if name == "label" and any(self.tag[i] == "form" for i in self.stack):
+            return not within
+        if name == "label" and self.opened["form"] > 0:
             return True
         doubt = None if name == "form" else False
         if not attrs or name in KEPT:
@@ -134,14 +143,9 @@ class Page:
         for token in f"{said.get('class', '')} {said.get('id', '')}".split():
             parts = re.split(r"[^a-z]+", token)
             words.update(w for before, w in zip(["", *parts], parts) if before not in ABOUT)
-        within = any(self.tag[i] in ("article", "main") for i in self.stack)
         return None if words & HINTS or said.get("role") in ROLES or ("header" in words and not within) else doubt
 
 
-def log_base(x: float, base: float) -> float:
-    return math.log(x) / math.log(base) if base > 1 and x > 0 else 0.0
-
-
 def main_text(source: str | None) -> str:
     """The article's blocks, white space in each turned into one space, joined by two line feeds."""
     page = Page(source or "")
@@ -206,56 +210,115 @@ def left_out(page: Page, never: list[bool], link: list[bool], sized: list[tuple[
     return gone if text >= dropped or article(text, kind, dropped) else never
 
 
+#: Least base of the density's logarithm: nearer to 1 short texts without links would be as dense as long ones.
+LEAST_BASE = 2.0
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links: float) -> float:
+    """Characters per tag, link-adjusted: the logarithm is small where text or tags are mostly links."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + body_links * chars + math.e)
+    return chars / max(1, tags) * math.log(chars / max(1, link_chars) * max(1, tags) / max(1, link_tags), max(base, LEAST_BASE))
+
+
 def densest(page: Page, gone: list[bool], link: list[bool], sized: list[tuple[int, str, int]]) -> str:
     """The text of the subtree of the largest density sum, and of others above the threshold."""
     n = len(page.tag)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+    # the block that holds a node, and text and links that stand directly in it
+    hold = list(range(n))
+    for i in range(1, n):
+        if page.tag[i] in INLINE or page.tag[i] in VOID:
+            hold[i] = hold[page.parent[i]]
+    own, own_link, own_tags = [0] * n, [0] * n, [0] * n
     kept = []
     for node, piece, size in sized:
         if not gone[node]:
             kept.append((node, piece))
-            chars[node] += size
-            link_chars[node] += size * link[node]
-    for i in range(n - 1, 0, -1):
-        up = page.parent[i]
-        if not gone[i]:
-            chars[up] += chars[i]
-            link_chars[up] += link_chars[i]
-            tags[up] += tags[i] + 1
-            link_tags[i] += page.tag[i] == "a"
-            link_tags[up] += link_tags[i]
-    body = next((i for i in range(n) if page.tag[i] == "body"), 0)
-    body_links = link_chars[body] / max(1, chars[body])
-    density, sums = [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        if not gone[i] and chars[i]:
-            c, lc = chars[i], link_chars[i]
-            base = math.log(c / max(1, c - lc) * lc + body_links * c + math.e)
-            density[i] = c / max(1, tags[i]) * log_base(c / max(1, lc) * (max(1, tags[i]) / max(1, link_tags[i])), max(base, 1.0001))
+            own[hold[node]] += size
+            own_link[hold[node]] += size * link[node]
+    for i in range(1, n):
+        own_tags[hold[i]] += page.tag[i] == "a" and not gone[i]
+    live = [i for i in range(n) if hold[i] == i and not gone[i]]
+    chars, link_chars, link_tags, tags = own[:], own_link[:], own_tags[:], own_tags[:]
+    up = [hold[page.parent[i]] if i else -1 for i in range(n)]
+    for i in reversed(live):
         if i:
-            sums[page.parent[i]] += density[i]
-    under = [False] * n
-    for i in range(body, n):
-        under[i] = i == body or under[page.parent[i]]
-    live = [i for i in range(n) if under[i] and not gone[i]]
-    if not live:
+            chars[up[i]] += chars[i]
+            link_chars[up[i]] += link_chars[i]
+            link_tags[up[i]] += link_tags[i]
+            tags[up[i]] += tags[i] + 1
+    body = next((i for i in live if page.tag[i] == "body"), 0)
+    if not chars[body]:
         return ""
-    best = max(live, key=lambda i: (sums[i], chars[i], -i))
-    path, at = [best], best
-    while at != body and page.parent[at] >= 0:
-        at = page.parent[at]
-        path.append(at)
-    threshold = min(density[i] for i in path)
-    # an article that says so is taken whole; else the best subtree, and others as dense as the threshold
-    chosen = next((i for i in path[::-1] if page.tag[i] in ("article", "main")), best)
-    content = [False] * n
-    for i in range(n):
-        up = page.parent[i]
-        on_path = i in path or i == body
-        content[i] = not gone[i] and (i == chosen or (up >= 0 and content[up]) or (not on_path and up in path and not content[up] and chosen == best and density[i] >= threshold > 0 and 2 * link_chars[i] < chars[i]))
-    if chosen == body:
-        content[0] = True
-    return "\n\n".join(blocks(page, kept, content))
+    body_links = link_chars[body] / chars[body]
+    dense, sums = [0.0] * n, [0.0] * n
+    for i in live:
+        dense[i] = density(chars[i], tags[i], link_chars[i], link_tags[i], body_links)
+        sums[i] += density(own[i], own_tags[i], own_link[i], own_tags[i], body_links)
+        if i:
+            sums[up[i]] += dense[i]
+    # the largest sum in each subtree, of several the outermost
+    best = list(range(n))
+    for i in reversed(live):
+        if i and sums[best[i]] > sums[best[up[i]]]:
+            best[up[i]] = best[i]
+    path = [best[body]]
+    while path[-1] != body:
+        path.append(up[path[-1]])
+    threshold = min(dense[i] for i in path)
+    chosen = [False] * n
+    for i in live:
+        if i >= body and chars[i] and dense[i] >= threshold and (2 * link_chars[i] < chars[i] or i == body):
+            chosen[best[i]] = True
+    content = joined(page, live, up, path, chosen, chars, link_chars)
+    return "\n\n".join(blocks(page, kept, [content[hold[i]] for i in range(n)]))
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def joined(page: Page, live: list[int], up: list[int], path: list[int], chosen: list[bool], chars: list[int], link_chars: list[int]) -> list[bool]:
+    """chosen subtrees, and of the children of blocks from body to the best subtree those that go with
+    them: what stands between two with content, siblings of content of the same element, and, where no
+    content so far has a headline, what follows the last headline before it. Never what is mostly links."""
+    n = len(page.tag)
+    content, within, titled = chosen[:], chosen[:], [page.tag[i] in HEADINGS for i in range(n)]
+    heading = [0] * n  # characters in headlines
+    children: dict[int, list[int]] = {i: [] for i in path}
+    for i in live:
+        if i and content[up[i]]:
+            content[i] = True
+        if up[i] in children:
+            children[up[i]].append(i)
+    for i in reversed(live):
+        if page.tag[i] in HEADINGS:
+            heading[i] = chars[i]
+        if i:
+            heading[up[i]] += heading[i]
+            within[up[i]] |= within[i] or content[i]
+            titled[up[i]] |= titled[i]
+    fine = lambda i: chars[i] > 0 and 2 * link_chars[i] < chars[i]
+    has_title = titled[path[0]]
+    more = []
+    for at in path[1:]:
+        row = children[at]
+        holding = [k for k, i in enumerate(row) if within[i]]
+        first, last = holding[0], holding[-1]
+        same = {page.tag[row[k]] for k in holding if content[row[k]]} if at != path[-1] else set()
+        more += [i for k, i in enumerate(row) if not within[i] and fine(i) and (first < k < last or page.tag[i] in same)]
+        has_title |= any(titled[row[k]] for k in holding if content[row[k]])
+        if not has_title:
+            heads = [k for k in range(first) if heading[row[k]] and heading[row[k]] == chars[row[k]]]
+            if heads:
+                more += [i for i in row[heads[-1] : first] if fine(i)]
+                has_title = True
+    for i in more:
+        content[i] = True
+    for i in live:
+        if i and content[up[i]]:
+            content[i] = True
+    return content
 
 
 def blocks(page: Page, kept: list[tuple[int, str]], content: list[bool]) -> Iterator[str]:
