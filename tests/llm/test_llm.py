@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -152,6 +154,88 @@ def test_op4_article_within_form_or_hinted_element():
     assert main_text(f"<body>{widgets}<form hidden>{block}</form>") == "\n\n".join(f"Paragraph {i} of the text, quite long as these go." for i in range(4))
 
 
+def tree_text(rng, depth):
+    """A random tree of blocks: (tag, children), where a string is text and ("a", [text]) a link."""
+    if depth == 0 or rng.random() < 0.3:
+        kids = [rng.choice((prose(rng, rng.randrange(1, 60)), ("a", [prose(rng, rng.randrange(1, 6))]), ("b", [prose(rng, 3)]))) for _ in range(rng.randrange(1, 4))]
+        return (rng.choice("p h2 div li".split()), kids)
+    return (rng.choice("div section ul".split()), [tree_text(rng, depth - 1) for _ in range(rng.randrange(1, 6))])
+
+
+def markup(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(markup, node[1]))}</{node[0]}>"
+
+
+def by_definition(tree):
+    """The best subtree, and all whose holder reaches the threshold, from the definitions, each by walking the tree."""
+    inline = lambda x: isinstance(x, str) or x[0] in "ab"
+    text = lambda x: x if isinstance(x, str) else "".join(map(text, x[1]))
+    size = lambda xs: sum(len("".join(text(x).split())) for x in xs)
+    every = lambda x: [] if isinstance(x, str) else [x] + [z for y in x[1] for z in every(y)]
+    blocks = lambda x: [y for y in every(x) if not inline(y)]
+    links = lambda xs: [y for x in xs for y in every(x) if not isinstance(x, str) and y[0] == "a"]
+    ratio = size(links([tree])) / max(1, size([tree]))
+
+    def dense(xs, tags):
+        c, lc, lt = size(xs), size(links(xs)), len(links(xs))
+        t = tags + lt
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+        return c / max(1, t) * (math.log(c / max(1, lc) * max(1, t) / max(1, lt)) / math.log(max(base, 2)))
+
+    of = lambda b: dense([b], len(blocks(b)) - 1)
+    own = lambda b: dense([x for x in b[1] if inline(x)], 0)
+    total = lambda b: own(b) + sum(of(x) for x in b[1] if not inline(x))
+    best = lambda b: max(blocks(b), key=lambda x: (round(total(x), 9), x is b))  # noqa: E731  outermost first: max() takes the first of equals
+    top = best(tree)
+    path = [b for b in blocks(tree) if any(x is top for x in blocks(b))]
+    threshold = min(map(of, path))
+    return top, [best(b) for b in blocks(tree) if size([b]) and of(b) >= threshold and (b is tree or 2 * size(links([b])) < size([b]))], text
+
+
+def test_op4_density_by_definition():
+    for seed in range(300):
+        rng = random.Random(seed)
+        tree = ("body", [tree_text(rng, 3) for _ in range(rng.randrange(1, 5))])
+        got = main_text(markup(tree))
+        top, chosen, text = by_definition(tree)
+        squeeze = lambda x: "".join(x.split())
+        assert squeeze(text(top)) in squeeze(got), seed
+        for b in chosen:
+            assert squeeze(text(b)) in squeeze(got), seed
+        if chosen and all(b is top for b in chosen) and top is tree:
+            assert squeeze(got) == squeeze(text(tree))
+
+
+def test_op4_without_article_or_main():
+    block = "<p>Some words that make a paragraph of text, quite long.</p>"
+    want = lambda k: "\n\n".join(["Head line here"] + ["Some words that make a paragraph of text, quite long."] * k)
+    nav = "<nav><a href=a>Home</a> <a href=b>News</a> <a href=c>More</a></nav><div><a href=d>Next</a></div>"
+    assert main_text(f"<body>{nav}<div><h1>Head line here</h1><p><b>Some words that make</b> a paragraph<br>of text, quite long.</p></div><div>Foot</div>") == want(1)
+    assert main_text(f"<body>{nav}<div><h1>Head line here</h1><div>{block * 4}</div><div>{block}</div><div>{block * 2}</div></div><div>Foot</div>") == want(7)
+    assert main_text(f"<body>{nav}<h1>Head line here</h1><div>{block * 3}</div><div>Foot</div>") == want(3)
+    assert main_text(f"<body>{nav}<div><div><div><h1>Head line here</h1>{block * 2}<ul><li>one</li><li>two</li></ul>{block}</div></div></div>{nav}") == want(2) + "\n\none\n\ntwo\n\n" + want(1).split("\n\n")[1]
+
+
+def test_op4_deep_pages_in_linear_time():
+    took = []
+    for n in (16_000, 32_000):
+        began = time.process_time()
+        assert main_text("<div>" * n + "deep") == "deep"
+        main_text(("<article><header><span class=ad>") * n + "x" + "</x>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 1 and took[0] < 5
+
+
+def test_op4_empty_table_and_long_text(spark):
+    schema = "page_id long, html string, n_chars string"
+    assert extract_text(spark.createDataFrame([], schema)).count() == 0
+    long = "<p>" + "Long words of a long page. " * 100_000 + "</p>"
+    (row,) = extract_text(spark.createDataFrame([(1, long, "x")], schema)).collect()
+    assert row.n_chars == len(row.text) == 27 * 100_000 - 1
+
+
 def test_op5_as_of(spark):
     day = lambda c: F.col(c).cast("date")
     lists = [("a.com", "spam", "2023-01-10", True), ("a.com", "spam", "2023-02-10", False), ("a.com", "adult", "2023-03-10", True), ("x.a.com/p/", "phish", "2023-01-01", True), (None, "spam", "2023-01-01", True), ("b.org", "spam", None, True)]
