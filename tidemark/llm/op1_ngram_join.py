@@ -7,10 +7,11 @@ prefix shingle are candidates, filtered by size and by the places of the shared
 members are verified on their whole texts.
 
 What is asked for are components, so that links inside what is already connected need not be found
-again. First each group is compared with one other of its lists (a star), then, some times, each
-document with one of another component, and at last all pairs of documents that are still in
-different components are listed: a family of near copies never becomes all pairs, and no link
-between two components is lost.
+again. First each group is paired with one other of its lists (a star), then, some times, with one of
+another component, and at last all pairs of groups that are not yet in one component are listed,
+filtered, and expanded to their members of different components: a family of near copies never
+becomes all pairs, and no link between two components is lost. Lists, groups and documents that
+have very many partners are split into blocks, each the work of a task of its own.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Counters of the frequency sketch that orders shingles: its size is fixed, so it can be broadcast.
 SKETCH_BITS, SLICES = 20, 256
-#: Rounds of one candidate for each document, before all remaining pairs are listed.
+#: Rounds of one candidate for each group, before all remaining pairs are listed.
 PARTNER_ROUNDS = 1
+#: Rows of a key from which on its pairs are split into blocks of so many.
+BLOCK = 1_000
 #: Documents to verify up to which their ids are broadcast.
 BROADCAST = 1_000_000
 
@@ -137,14 +140,41 @@ def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInPandas(cut, "_id long, _hash long, _n long, _set binary, _group long, _prefix array<long>")
 
 
+def in_blocks(counts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _blocks) of the keys that are split, from (key, _many)."""
+    return counts.where(F.col("_many") > BLOCK).select(*key, F.ceil(F.col("_many") / BLOCK).cast("int").alias("_blocks"))
+
+
+def paired(left: DataFrame, right: DataFrame, key: list[str], counts: DataFrame) -> DataFrame:
+    """left joined with right on key. counts: (key, _many), how many rows of left a key has. A row of
+    left goes to one block of its key, a row of right to all of them."""
+    split = in_blocks(counts, key)
+    block = F.pmod(F.xxhash64(*left.columns), F.coalesce("_blocks", F.lit(1))).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
+    left = left.join(split, key, "left").withColumn("_block", block).drop("_blocks")
+    right = right.join(split, key, "left").withColumn("_block", each).drop("_blocks")
+    return left.join(right, [*key, "_block"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of ids, those whose texts are similar enough. Each pair is checked on the whole
-    sets; rows that share an id are one document."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    sets; rows that share an id are one document. Of the two the id with more pairs takes the other's
+    text to its own, in blocks, so that its own text is sent once a block and not once a pair."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count("*").alias("_many")))
     few = ids.count() <= BROADCAST
-    texts = docs.join(F.broadcast(ids), "_id", "left_semi") if few else stored(docs.join(ids, "_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_right")), "b")
-    both = both.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_left")), "a").select("a", "b", "_left", "_right")
+    wanted = ids.select("_id")
+    texts = docs.join(F.broadcast(wanted), "_id", "left_semi") if few else stored(docs.join(wanted, "_id", "left_semi"))
+    hot = in_blocks(ids, ["_id"])
+    for x in "ab":
+        pairs = pairs.join(hot.select(F.col("_id").alias(x), F.col("_blocks").alias(f"_{x}")), x, "left")
+    mine, other = F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(1))
+    turned = [F.when(mine > other, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in ("ba", "ab")]
+    pairs = pairs.select(*turned, F.greatest(mine, other).alias("n"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("_block"))
+    held = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_right")).join(hot.withColumnRenamed("_id", "b"), "b", "left")
+    held = held.select("b", "_right", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)).alias("_block"))
+    both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_left")), "a").join(held, ["b", "_block"])
+    both = both.select("a", "b", "_left", "_right")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, np.ndarray] = {}
@@ -158,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 right.append(DEN * both >= NUM * (len(x) + len(y) - both) > 0)
             yield batch.loc[right, ["a", "b"]]
 
-    return both.mapInPandas(check, "a long, b long").distinct()
+    return ordered_pairs(both.mapInPandas(check, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,21 +217,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def shared_prefixes(base: DataFrame) -> DataFrame:
-    """(token, _group, at, pivot): places of prefix shingles that two groups or more have; pivot is the least of them."""
-    tokens = base.select("_group", F.posexplode("_prefix").alias("at", "token"))
-    ends = tokens.groupBy("token").agg(F.min("_group").alias("pivot"), F.max("_group").alias("last")).where("pivot != last").drop("last")
-    return tokens.join(ends, "token").distinct()
-
-
-def labelled_lists(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, node, label, _n, at) of the lists that hold several components; a group's nodes are a list too."""
-    named = nodes.join(labels, "node", "left").select("_group", "node", "_n", F.coalesce("label", "node").alias("label"))
-    lists = shared.select("token", "_group", "at").join(named, "_group").select("token", "node", "label", "_n", "at")
-    groups = named.select(F.col("_group").alias("token"), "node", "label", "_n", F.lit(0).alias("at"))
-    lists = lists.unionByName(groups)
-    mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    return stored(lists.join(mixed, "token"))
+def shared_prefixes(filled: DataFrame) -> DataFrame:
+    """(token, _group, at, pivot): places of prefix shingles that two groups or more have; pivot is the
+    least of them. Groups are exploded and not documents: copies and documents of one prefix are one."""
+    groups = filled.select("_group", "_prefix").dropDuplicates(["_group"])
+    tokens = groups.select("_group", F.posexplode("_prefix").alias("at", "token")).repartition("token")
+    # the condition on the places is always met: all columns are used, so both sides read one exchange
+    ends = tokens.groupBy("token").agg(F.min("_group").alias("pivot"), F.max("_group").alias("last"), F.max("at").alias("deep"))
+    return tokens.join(ends.where("pivot != last AND deep >= 0").select("token", "pivot"), "token")
 
 
 def ordered_pairs(df: DataFrame) -> DataFrame:
@@ -212,24 +235,51 @@ def sizes_fit(n: str, m: str) -> Column:
     return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
 
 
+def labelled(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, _group, label) of all nodes, and the groups: (_group, _n, lo, hi, rep, _many) with the
+    least and largest component of the members, a member of the least, and how many there are."""
+    named = nodes.join(labels, "node", "left").select("node", "_group", "_n", F.coalesce("label", "node").alias("label"))
+    groups = named.groupBy("_group").agg(F.first("_n").alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", "label").alias("rep"), F.count("*").alias("_many"))
+    return named.drop("_n"), groups
+
+
+def mixed_lists(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, _group, at, _n, lo, hi, rep) of the tokens whose groups are not all in one component, and (token, _many)."""
+    lists = shared.select("token", "_group", "at").join(groups.drop("_many"), "_group")
+    mixed = lists.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.count("*").alias("_many")).where("x != y")
+    lists = stored(lists.join(mixed.select("token", "_many"), "token"))
+    return lists.drop("_many"), lists.select("token", "_many").distinct()
+
+
 def one_partner_each(lists: DataFrame) -> DataFrame:
-    """A candidate for each node: of its lists' first or last component, one node that is not of its own."""
-    firsts = lists.groupBy("token", "label").agg(F.min(F.struct("node", "_n")).alias("f"))
-    ends = firsts.groupBy("token").agg(F.min(F.struct("f", "label")).alias("x"), F.max(F.struct("f", "label")).alias("y"))
+    """A candidate for each group: of the first or last component of one of its lists a group that is not of its own."""
+    own = F.struct("lo", "_group", "_n", "rep")
+    ends = lists.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y"))
     rows = lists.join(ends, "token")
-    partner = F.when(F.col("label") != F.col("x.label"), F.col("x.f")).otherwise(F.col("y.f"))
-    rows = rows.select("node", "_n", partner.alias("p")).where(sizes_fit("_n", "p._n"))
-    return ordered_pairs(rows.groupBy("node").agg(F.min("p.node").alias("b")).withColumnRenamed("node", "a"))
+    rows = rows.select("_group", "lo", "rep", "_n", F.when(F.col("lo") != F.col("x.lo"), F.col("x")).otherwise(F.col("y")).alias("p"))
+    rows = rows.where(sizes_fit("_n", "p._n") & (F.col("lo") != F.col("p.lo")))
+    return ordered_pairs(rows.groupBy("_group").agg(F.first("rep").alias("a"), F.min("p.rep").alias("b")))
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All candidate pairs of nodes in different components."""
-    left, right = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "_n", "at"))) for x in "ab")
+def group_pairs(lists: DataFrame, counts: DataFrame) -> DataFrame:
+    """(g, h): pairs of groups that share a prefix shingle and are not in one component, filtered by
+    size and by what the places of the shingle leave possible."""
+    left, right = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("_group", "lo", "hi", "_n", "at"))) for x in "ab")
     # the overlap that is still possible if this is the first shared shingle, against the one needed
     most = F.least(F.col("_n_a") - F.col("at_a"), F.col("_n_b") - F.col("at_b"))
     fits = (most * (NUM + DEN) >= (F.col("_n_a") + F.col("_n_b")) * NUM) & sizes_fit("_n_a", "_n_b")
-    pairs = left.join(right, "token").where((F.col("label_a") < F.col("label_b")) & fits)
-    return ordered_pairs(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    apart = (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")) & (F.col("_group_a") < F.col("_group_b"))
+    return paired(left, right, ["token"], counts).where(apart & fits).select(F.col("_group_a").alias("g"), F.col("_group_b").alias("h")).distinct()
+
+
+def expanded(pairs: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (a, b) of pairs (g, h) of groups, and of each group itself, that are in different components."""
+    inside = groups.where("lo < hi").select(F.col("_group").alias("g"), F.col("_group").alias("h"))
+    pairs = pairs.unionByName(inside)
+    left = pairs.join(named.select(F.col("_group").alias("g"), F.col("node").alias("a"), F.col("label").alias("x")), "g")
+    right = pairs.join(named.select(F.col("_group").alias("h"), F.col("node").alias("b"), F.col("label").alias("y")), "h")
+    counts = pairs.join(groups.select(F.col("_group").alias("g"), "_many"), "g")
+    return ordered_pairs(paired(left, right, ["g", "h"], counts).where("x != y").select("a", "b"))
 
 
 RESULTS = ["n_shingles", "component_id"]
@@ -269,10 +319,12 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     done = stored(ordered_pairs(stars.unionByName(inside)))
     edges = stored(verified(done, texts).unionByName(edges))
     labels = stored(components(edges))
-    # then one partner in another component for each node, some times over, and at last all that is left
+    # then one partner in another component for each group, some times over, and at last all that is left
     for last in (*[False] * PARTNER_ROUNDS, True):
-        lists = labelled_lists(shared, nodes, labels)
-        pairs = stored((cross_pairs if last else one_partner_each)(lists).join(done, ["a", "b"], "left_anti"))
+        named, groups = map(stored, labelled(nodes, labels))
+        lists, counts = mixed_lists(shared, groups)
+        pairs = expanded(stored(group_pairs(lists, counts)), named, groups) if last else one_partner_each(lists)
+        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
         more = stored(verified(pairs, texts))
         done = done.unionByName(pairs)
         if more.limit(1).count():
