@@ -69,6 +69,25 @@ def test_op1_components(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_op1_in_blocks(spark, texts, monkeypatch):
+    """Lists, groups and documents of more partners than a block, here of two, are split without loss."""
+    want = {(r.doc_id, r.component_id) for r in op1_ngram_join.similar_components(documents(spark, texts)).collect()}
+    monkeypatch.setattr(op1_ngram_join, "BLOCK", 2)
+    rng = random.Random(9)
+    lead = prose(rng, 30, 90)
+    family = [lead + " " + prose(rng, 12, 30) for _ in range(25)]  # one prefix, many sets, some of them similar
+    assert want == {(r.doc_id, r.component_id) for r in op1_ngram_join.similar_components(documents(spark, texts)).collect()}
+    got = {r.doc_id: r.component_id for r in op1_ngram_join.similar_components(documents(spark, [*family, *family[:3]])).collect()}
+    sets = [shingles(t) for t in [*family, *family[:3]]]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert got == dict(enumerate(root))
+
+
 def test_op1_ids_missing_or_repeated_and_empty_table(spark):
     long = " ".join(f"a{i}" for i in range(20))
     df = spark.createDataFrame([(5, long), (5, "x y z q r s t u"), (9, "x y z q r s t u"), (None, long), (None, "else where")], "doc_id long, text string")
@@ -96,6 +115,28 @@ def test_op2_counts_like_the_library(spark, texts):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048), repr(t)[:100]
 
 
+def buckets(text):
+    """Buckets of all tokens and pairs of neighbours: a pair's hash goes on from its first token's."""
+    import xxhash
+
+    tokens = [t.encode() for t in re.findall(op3_quality.TOKEN, text or "")]
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    one = [xxhash.xxh64_intdigest(t, 42) for t in tokens]
+    two = [xxhash.xxh64_intdigest(b, h) for h, b in zip(one, tokens[1:])]
+    return [signed(h) % op3_quality.BUCKETS for h in one + two]
+
+
+def llr_weights(texts, trusted):
+    every, good = Counter(), Counter()
+    for i, t in enumerate(texts):
+        b = buckets(t)
+        every.update(b)
+        if i in trusted:
+            good.update(b)
+    n, m = sum(every.values()) + op3_quality.BUCKETS, sum(good.values()) + op3_quality.BUCKETS
+    return [math.log((good[k] + 1) / m) - math.log((every[k] + 1) / n) for k in range(op3_quality.BUCKETS)]
+
+
 def test_op3_base_rules_and_verdict(spark, texts):
     rng = random.Random(5)
     good = [prose(rng, 80) for _ in range(60)]
@@ -114,6 +155,14 @@ def test_op3_base_rules_and_verdict(spark, texts):
         assert tuple(got[i][c] for c in op3_quality.RESULTS[:5]) == want, repr(t)[:80]
         assert got[i].base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w))
     assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 80))
+    weights = llr_weights(rows, range(30))
+    for i, t in enumerate(rows):
+        b = buckets(t)
+        score = sum(weights[x] for x in b) / len(b) if b else 0.0
+        assert got[i].score == pytest.approx(score, abs=1e-9)
+        assert got[i].kept == (not got[i].base_failed and score >= op3_quality.LEAST_SCORE)
+    again = op3_quality.judge(documents(spark, [*rows, *rows[:5]]), trusted).collect()
+    assert len(again) == len(rows) + 5 and all(len({(r.kept, r.score) for r in again if r.text == t}) == 1 for t in rows[:5])
     unlabelled = op3_quality.judge(documents(spark, rows), trusted.limit(0)).collect()
     assert all(r.kept == (not r.base_failed) and r.score == 0 for r in unlabelled)
     assert op3_quality.judge(documents(spark, ["x"]).limit(0), trusted).count() == 0
