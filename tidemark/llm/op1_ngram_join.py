@@ -7,11 +7,11 @@ prefix shingle are candidates, filtered by size and by the places of the shared
 members are verified on their whole texts.
 
 What is asked for are components, so that links inside what is already connected need not be found
-again. First each group is paired with one other of its lists (a star), then, some times, with one of
-another component, and at last all pairs of groups that are not yet in one component are listed,
-filtered, and expanded to their members of different components: a family of near copies never
-becomes all pairs, and no link between two components is lost. Lists, groups and documents that
-have very many partners are split into blocks, each the work of a task of its own.
+again. First each group is paired with one other of its lists (a star), then, some times, each
+document with one of another component, and at last all pairs of groups that are not yet in one
+component are listed, filtered, and expanded to their members of different components: a family of
+near copies never becomes all pairs, and no link between two components is lost. Lists, groups and
+documents that have very many partners are split into blocks, each the work of a task of its own.
 """
 
 from __future__ import annotations
@@ -236,29 +236,34 @@ def sizes_fit(n: str, m: str) -> Column:
 
 
 def labelled(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, _group, label) of all nodes, and the groups: (_group, _n, lo, hi, rep, _many) with the
-    least and largest component of the members, a member of the least, and how many there are."""
+    """(node, _group, label) of all nodes, and the groups: (_group, _n, lo, hi, _many) with the least and
+    largest component of the members and how many there are."""
     named = nodes.join(labels, "node", "left").select("node", "_group", "_n", F.coalesce("label", "node").alias("label"))
-    groups = named.groupBy("_group").agg(F.first("_n").alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", "label").alias("rep"), F.count("*").alias("_many"))
+    groups = named.groupBy("_group").agg(F.first("_n").alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_many"))
     return named.drop("_n"), groups
 
 
 def mixed_lists(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, _group, at, _n, lo, hi, rep) of the tokens whose groups are not all in one component, and (token, _many)."""
+    """(token, _group, at, _n, lo, hi) of the tokens whose groups are not all in one component, and (token, _many)."""
     lists = shared.select("token", "_group", "at").join(groups.drop("_many"), "_group")
     mixed = lists.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.count("*").alias("_many")).where("x != y")
     lists = stored(lists.join(mixed.select("token", "_many"), "token"))
     return lists.drop("_many"), lists.select("token", "_many").distinct()
 
 
-def one_partner_each(lists: DataFrame) -> DataFrame:
-    """A candidate for each group: of the first or last component of one of its lists a group that is not of its own."""
-    own = F.struct("lo", "_group", "_n", "rep")
-    ends = lists.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y"))
-    rows = lists.join(ends, "token")
-    rows = rows.select("_group", "lo", "rep", "_n", F.when(F.col("lo") != F.col("x.lo"), F.col("x")).otherwise(F.col("y")).alias("p"))
-    rows = rows.where(sizes_fit("_n", "p._n") & (F.col("lo") != F.col("p.lo")))
-    return ordered_pairs(rows.groupBy("_group").agg(F.first("rep").alias("a"), F.min("p.rep").alias("b")))
+def one_partner_each(shared: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
+    """A candidate for each document: of the first documents of the components in one of its group's
+    lists the least, or the greatest where the least is of its own component; of several lists the
+    least, so that a family gathers around few documents. Chosen once for all members of a group that
+    are of one component, then expanded to them. A group of several components is a list too."""
+    parts = named.join(groups.select("_group", "_n", "lo", "hi"), "_group").groupBy("_group", "label").agg(F.min("node").alias("rep"), F.first("_n").alias("_n"), F.first(F.col("lo") < F.col("hi")).alias("mixed"))
+    lists = shared.select("token", "_group").join(parts, "_group").select("token", "_group", "label", "rep", "_n")
+    lists = stored(lists.unionByName(parts.where("mixed").select(F.col("_group").alias("token"), "_group", "label", "rep", "_n")))
+    firsts = lists.groupBy("token", "label").agg(F.min(F.struct("rep", "_n")).alias("f"))
+    ends = firsts.groupBy("token").agg(F.min(F.struct("f", "label")).alias("x"), F.max(F.struct("f", "label")).alias("y")).where("x.label != y.label")
+    rows = lists.join(ends, "token").withColumn("p", F.when(F.col("label") != F.col("x.label"), F.col("x.f")).otherwise(F.col("y.f")))
+    chosen = rows.where(sizes_fit("_n", "p._n")).groupBy("_group", "label").agg(F.min("p.rep").alias("b"))
+    return ordered_pairs(named.join(chosen, ["_group", "label"]).select(F.col("node").alias("a"), "b"))
 
 
 def group_pairs(lists: DataFrame, counts: DataFrame) -> DataFrame:
@@ -310,7 +315,7 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     several = of.groupBy("_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("_id")
     edges = of.join(several, "_id").select(F.col("_id").alias("a"), F.col("node").alias("b")).distinct()
 
-    # a star: each group against one pivot of its prefix shingles, each node against its group's first
+    # a star: each group against the least pivot of its prefix shingles, each node against its group's first
     shared = stored(shared_prefixes(filled))
     stars = shared.where("_group != pivot").groupBy("_group").agg(F.min("pivot").alias("pivot"))
     other = reps.select(F.col("_group").alias("pivot"), F.col("rep").alias("b"), F.col("_n").alias("m"))
@@ -322,8 +327,7 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # then one partner in another component for each group, some times over, and at last all that is left
     for last in (*[False] * PARTNER_ROUNDS, True):
         named, groups = map(stored, labelled(nodes, labels))
-        lists, counts = mixed_lists(shared, groups)
-        pairs = expanded(stored(group_pairs(lists, counts)), named, groups) if last else one_partner_each(lists)
+        pairs = expanded(stored(group_pairs(*mixed_lists(shared, groups))), named, groups) if last else one_partner_each(shared, named, groups)
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
         more = stored(verified(pairs, texts))
         done = done.unionByName(pairs)
