@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df with the rank of value among its keys, ties sharing the mean of their places."""
-    tied = F.count("*").over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (tied - 1) / 2.0)
+from tidemark.operators.ranks import joined, running
 
 
 def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,14 +31,12 @@ def count_metrics(df: DataFrame) -> DataFrame:
 def ranking_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """auc_roc (ties half) and auc_pr (step-wise average precision, equal scores together) by keys; null
     where the truth has one class. Scores are aggregated before anything is ordered, so that what is
-    ordered is one row for each distinct score."""
+    ordered is one row for each distinct score, and no key's scores in one task."""
     by_score = df.groupBy(*keys, "y_score").agg(F.sum("y_true").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("y_score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    run = by_score.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "all_pos": F.sum("pos").over(whole), "all_n": F.sum("n").over(whole)})
-    negatives = F.col("n") - F.col("pos")
-    above = (F.col("tp") - F.col("pos")) * negatives + 0.5 * F.col("pos") * negatives
-    out = run.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap"), F.sum(above).alias("u"), F.first("all_pos").alias("p"), F.first("all_n").alias("m"))
+    run = running(by_score, keys, "y_score", ["pos", "n"], descending=True)
+    negatives, tp = F.col("n") - F.col("pos"), F.col("pos_upto")
+    above = (tp - F.col("pos")) * negatives + 0.5 * F.col("pos") * negatives
+    out = run.groupBy(*keys).agg(F.sum(F.col("pos") * tp / F.col("n_upto")).alias("ap"), F.sum(above).alias("u"), F.sum("pos").alias("p"), F.sum("n").alias("m"))
     both = (F.col("p") > 0) & (F.col("p") < F.col("m"))
     return out.select(*keys, F.when(both, F.col("ap") / F.col("p")).alias("auc_pr"), F.when(both, F.col("u") / (F.col("p") * (F.col("m") - F.col("p")))).alias("auc_roc"))
 
@@ -52,7 +46,7 @@ def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     ranks = ranking_metrics(df, keys)
     if not keys:
         return counts.crossJoin(F.broadcast(ranks))  # one row each
-    return counts.join(ranks, keys)
+    return joined(counts, ranks, keys)
 
 
 NAMES = ["precision", "recall", "f1", "accuracy", "mcc", "auc_pr", "auc_roc"]
@@ -91,8 +85,8 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     keys = ["metric", "a", "b"]
     d = pairs.withColumn("d", F.round(F.col("y") - F.col("x"), 12)).where("d != 0").withColumn("size", F.abs("d"))
     sizes = d.groupBy(*keys, "size").agg(F.count("*").cast("double").alias("t"), F.count_if(F.col("d") > 0).cast("double").alias("up"))
-    below = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0.0)) + (F.col("t") + 1) / 2)
+    sizes = running(sizes, keys, "size", ["t"])
+    sizes = sizes.withColumn("rank", F.col("t_upto") - F.col("t") + (F.col("t") + 1) / 2)
     t, n = F.col("t"), F.col("n")
     out = sizes.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (t - F.col("up"))).alias("minus"), F.sum(t * t * t - t).alias("tie"))
     z = (F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluate import average_rank
+from tidemark.functions.scalars import label01
+from tidemark.operators.ranks import average_rank, quantiles
+from tidemark.shared import stored
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -24,9 +26,11 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def label_summary(df: DataFrame, label: Column) -> DataFrame:
+def label_summary(df: DataFrame, raw: Column) -> DataFrame:
+    """Counts and ratios over all rows; invalid is what is there and neither 0 nor 1."""
+    label = label01(raw)
     n, pos, neg = F.count("*"), F.count_if(label == 1), F.count_if(label == 0)
-    return df.agg(n.alias("rows"), neg.alias("negatives"), pos.alias("positives"), F.count_if(label.isNull()).alias("missing"),
+    return df.agg(n.alias("rows"), neg.alias("negatives"), pos.alias("positives"), F.count_if(label.isNull()).alias("missing"), F.count_if(raw.isNotNull() & label.isNull()).alias("invalid"),
                   (pos / n).alias("positive_ratio"), F.when(F.least(pos, neg) > 0, F.greatest(pos, neg) / F.least(pos, neg)).alias("imbalance"))
 
 
@@ -39,20 +43,20 @@ def long_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, moments, exact quartiles (linear), missing, infinite, negative, zero and dominant ratios of each column.
 
-    Values are counted first, so that quartiles are taken over distinct values with frequencies."""
-    counted = long_numeric(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    Values are counted first, so that quartiles are taken over distinct values with frequencies, by ranges of values."""
+    counted = stored(long_numeric(df, columns).groupBy("column", "value").agg(F.count("*").alias("n")))
     v, n = F.col("value"), F.col("n")
     fine = v.isNotNull() & (F.abs(v) != float("inf"))
     x = F.when(fine, v)
     total = counted.groupBy("column").agg(
         F.sum(F.when(fine, n).otherwise(0)).alias("count"), F.sum(F.when(fine, v * n)).alias("_sum"), F.min(x).alias("min"), F.max(x).alias("max"),
-        *(F.percentile(x, p, n).alias(a) for p, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))),
         F.sum(F.when(v.isNull(), n).otherwise(0)).alias("missing"), F.sum(F.when(F.abs(v) == float("inf"), n).otherwise(0)).alias("infinite"),
         F.sum(F.when(fine & (v < 0), n).otherwise(0)).alias("negative"), F.sum(F.when(v == 0, n).otherwise(0)).alias("zero"), F.max(F.when(fine, n)).alias("_top"), F.sum("n").alias("_all"),
     )
     mean = total.select(F.col("column"), (F.col("_sum") / F.col("count")).alias("mean"))
     spread = counted.where(fine).join(F.broadcast(mean), "column").groupBy("column").agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("_sq"))
-    out = total.join(mean, "column").join(spread, "column", "left")
+    middle = quantiles(counted.where(fine), ["column"], "value", "n", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    out = total.join(mean, "column").join(spread, "column", "left").join(middle, "column", "left")
     var = F.when(F.col("count") > 1, F.col("_sq") / (F.col("count") - 1))
     return out.select("column", "count", "mean", F.sqrt(var).alias("std"), "min", "q25", "median", "q75", "max", "missing", "infinite", "negative", "zero",
                       (F.col("zero") / F.col("count")).alias("zero_ratio"), var.alias("variance"), (F.col("_top") / F.col("count")).alias("dominant_ratio"), (F.col("missing") / F.col("_all")).alias("missing_ratio"))
@@ -90,24 +94,64 @@ def coverage(df: DataFrame, valid: Column) -> DataFrame:
 
 def leakage(df: DataFrame) -> DataFrame:
     """Files of a repository in several commits, rows they hold, and repositories of several commits. Null keys are keys."""
-    files = df.groupBy("repository", "filepath").agg(F.countDistinct("commit").alias("commits"), F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("pos"))
+    files = df.groupBy("repository", "filepath").agg(F.countDistinct("commit").alias("commits"), F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("pos"),
+                                                     *(F.countDistinct(F.when(F.col("label") == k, F.col("commit"))).alias(f"c{k}") for k in (0, 1)))
     repos = df.groupBy("repository").agg(F.countDistinct("commit").alias("c"), F.count("*").alias("r"))
     many = F.col("commits") > 1
-    a = files.agg(F.count_if(many).alias("files_in_several_commits"), F.sum(F.when(many, F.col("rows")).otherwise(0)).alias("rows_affected"), F.sum(F.when(many, F.col("pos")).otherwise(0)).alias("positives_affected"))
+    a = files.agg(F.count_if(many).alias("files_in_several_commits"), F.sum(F.when(many, F.col("rows")).otherwise(0)).alias("rows_affected"), F.sum(F.when(many, F.col("pos")).otherwise(0)).alias("positives_affected"),
+                  *(F.count_if(F.col(f"c{k}") > 1).alias(f"files_in_several_commits_label_{k}") for k in (0, 1)))
     b = repos.agg(F.count_if(F.col("c") > 1).alias("repositories_of_several_commits"), F.sum(F.when(F.col("c") > 1, F.col("r")).otherwise(0)).alias("rows_in_them"))
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, pearson, spearman, equal_ratio) of all pairs of columns, over rows where both are there.
-
-    Ranks are taken for each pair where the columns have nulls, and once where they have none: the pair
-    is exploded from a row only in the first case."""
+    """(a, b, pearson, spearman, equal_ratio) of all pairs of columns: the coefficients over rows where both are
+    there, the ratio of equal values over all rows, in which two missing values are equal."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs)))
-    long = df.select(row.alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    ranked = average_rank(average_rank(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
-    return ranked.groupBy("a", "b").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("equal_ratio"))
+    clean = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
+    row = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs)))
+    long = clean.select(row.alias("p")).select("p.*")
+    equal = long.groupBy("a", "b").agg(F.avg(F.col("x").eqNullSafe(F.col("y")).cast("double")).alias("equal_ratio"))
+    ranked = average_rank(average_rank(long.where("x IS NOT NULL AND y IS NOT NULL"), ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
+    return equal.join(ranked.groupBy("a", "b").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")), ["a", "b"], "left")
+
+
+def strong_pairs(pairs: DataFrame, threshold: float = 0.95, duplicate: float = 0.99) -> DataFrame:
+    """Of correlations() those whose larger coefficient is above threshold, with it and whether they are near duplicates."""
+    size = F.greatest(*(F.coalesce(F.abs(F.nanvl(c, F.lit(0.0))), F.lit(0.0)) for c in ("pearson", "spearman")))
+    out = pairs.withColumn("max_abs", size).where(F.col("max_abs") > threshold)
+    return out.withColumn("near_duplicate", F.col("equal_ratio") > duplicate)
+
+
+def metric_validity(df: DataFrame, columns: list[str]) -> Column:
+    """Whether any of columns is a number other than 0: what tells valid rows where there is no status."""
+    out = F.lit(False)
+    for c in columns:
+        x = F.col(c).cast("string").try_cast("double")
+        out = out | F.coalesce((x != 0) & ~F.isnan(x), F.lit(False))
+    return out
+
+
+def usable_graphs(df: DataFrame) -> DataFrame:
+    """(section, key, value) from (repository, label, path, status, found): rows with a path, of status SUCCESS, whose file is found."""
+    ok = (F.trim(F.coalesce("path", F.lit(""))) != "") & (F.upper("status") == "SUCCESS") & F.col("found").isNotNull()
+    rows = df.withColumn("_ok", F.coalesce(ok, F.lit(False)).cast("int"))
+    one = rows.agg(F.sum("_ok").alias("u"), F.count("*").alias("n"), *(F.sum(F.when(F.col("label") == k, F.col("_ok")).otherwise(0)).alias(f"l{k}") for k in (0, 1)))
+    repos = rows.where("repository IS NOT NULL").groupBy("repository").agg(F.max("_ok").alias("m")).agg(F.sum("m").alias("r"), F.sum(1 - F.col("m")).alias("e"))
+    said = [("overall", "usable_graphs", "u"), ("overall", "usable_graph_ratio", "u / n"), ("label", "0", "l0"), ("label", "1", "l1"), ("repositories", "represented", "r"), ("repositories", "excluded", "e")]
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("section"), F.lit(b).alias("key"), F.expr(c).cast("double").alias("value")) for a, b, c in said)))
+    return one.crossJoin(F.broadcast(repos)).select(cells.alias("c")).select("c.*")  # one row each
+
+
+def temporal_summary(df: DataFrame, raw: str, now: Column) -> DataFrame:
+    """Dates that do not parse, the first and last, and those after now and before 1990."""
+    at = F.try_to_timestamp(F.col(raw))
+    return df.agg(F.count_if(F.col(raw).isNotNull() & at.isNull()).alias("unparsable"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count_if(at > now).alias("future"), F.count_if(F.year(at) < 1990).alias("before_1990"))
+
+
+def yearly(df: DataFrame, raw: str) -> DataFrame:
+    at = F.try_to_timestamp(F.col(raw))
+    return df.where(at.isNotNull()).groupBy(F.year(at).alias("year")).agg(F.count("*").alias("rows"))
 
 
 def value_counts(df: DataFrame, column: str, missing: str = "MISSING") -> DataFrame:

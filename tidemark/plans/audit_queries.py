@@ -164,7 +164,7 @@ def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w03_average_rank", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY round(value, 0)) + (count(*) OVER (PARTITION BY event_type, round(value, 0)) - 1) / 2.0::DOUBLE AS avg_rank FROM events")
 def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.evaluate import average_rank
+    from tidemark.operators.ranks import average_rank
 
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.round("value", 0).alias("v"))
     return average_rank(rows, ["event_type"], "v", "avg_rank").select("event_id", "avg_rank")

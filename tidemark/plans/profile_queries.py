@@ -38,10 +38,12 @@ def a01_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.shape(samples(spark, sf_dir).selectExpr("quantity", "discount", "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE tax END AS tax"))
 
 
-@query("a02_label_summary", "SELECT count(*) AS rows, count(*) FILTER (quality = 0) AS negatives, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality IS NULL) AS missing, round(count(*) FILTER (quality = 1) / count(*), 6) AS positive_ratio, round(greatest(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)) / least(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)), 6) AS imbalance FROM documents LEFT JOIN labels USING (doc_id)")
+@query("a02_label_summary", """WITH l AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 7 ELSE quality END AS raw, CASE WHEN doc_id % 17 <> 0 THEN quality END AS q FROM documents LEFT JOIN labels USING (doc_id))
+SELECT count(*) AS rows, count(*) FILTER (q = 0) AS negatives, count(*) FILTER (q = 1) AS positives, count(*) FILTER (q IS NULL) AS missing, count(*) FILTER (raw = 7) AS invalid, round(count(*) FILTER (q = 1) / count(*), 6) AS positive_ratio,
+  round(greatest(count(*) FILTER (q = 1), count(*) FILTER (q = 0)) / least(count(*) FILTER (q = 1), count(*) FILTER (q = 0)), 6) AS imbalance FROM l""")
 def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rounded(profile.label_summary(rows, s.label01(F.col("quality"))), "positive_ratio", "imbalance")
+    return rounded(profile.label_summary(rows, F.when(F.col("doc_id") % 17 == 0, 7).otherwise(F.col("quality"))), "positive_ratio", "imbalance")
 
 
 REPOS = f"{SAMPLES}, r AS (SELECT repository, count(*) AS rows, count(DISTINCT commit) AS commits, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives FROM samples GROUP BY 1)"
@@ -103,8 +105,8 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.sum("usable").alias("usable"), F.sum("rows").alias("rows"), F.count_if(F.col("usable") > 0).alias("represented"), F.count_if(F.col("usable") == 0).alias("excluded_repositories"))
 
 
-@query("a11_leakage", f"""WITH {SAMPLES}, f AS (SELECT repository, filepath, count(DISTINCT commit) AS c, count(*) AS n, sum(label) AS pos FROM samples GROUP BY 1, 2), r AS (SELECT repository, count(DISTINCT commit) AS c, count(*) AS n FROM samples GROUP BY 1)
-SELECT (SELECT count(*) FROM f WHERE c > 1) AS files_in_several_commits, (SELECT sum(n)::BIGINT FROM f WHERE c > 1) AS rows_affected, (SELECT sum(pos)::BIGINT FROM f WHERE c > 1) AS positives_affected, (SELECT count(*) FROM r WHERE c > 1) AS repositories_of_several_commits, (SELECT sum(n)::BIGINT FROM r WHERE c > 1) AS rows_in_them""")
+@query("a11_leakage", f"""WITH {SAMPLES}, f AS (SELECT repository, filepath, count(DISTINCT commit) AS c, count(DISTINCT commit) FILTER (label = 0) AS c0, count(DISTINCT commit) FILTER (label = 1) AS c1, count(*) AS n, sum(label) AS pos FROM samples GROUP BY 1, 2), r AS (SELECT repository, count(DISTINCT commit) AS c, count(*) AS n FROM samples GROUP BY 1)
+SELECT (SELECT count(*) FROM f WHERE c > 1) AS files_in_several_commits, (SELECT sum(n)::BIGINT FROM f WHERE c > 1) AS rows_affected, (SELECT sum(pos)::BIGINT FROM f WHERE c > 1) AS positives_affected, (SELECT count(*) FROM f WHERE c0 > 1) AS files_in_several_commits_label_0, (SELECT count(*) FROM f WHERE c1 > 1) AS files_in_several_commits_label_1, (SELECT count(*) FROM r WHERE c > 1) AS repositories_of_several_commits, (SELECT sum(n)::BIGINT FROM r WHERE c > 1) AS rows_in_them""")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.leakage(samples(spark, sf_dir))
 
@@ -113,7 +115,7 @@ CORR = f"""{GAPS}, p AS (SELECT 'quantity' AS a, 'price' AS b, quantity AS x, pr
 k AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM p)"""
 
 
-@query("a12_j09_correlations", f"WITH {CORR} SELECT a, b, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS equal_ratio FROM k GROUP BY 1, 2")
+@query("a12_j09_correlations", f"WITH {CORR}, e AS (SELECT avg(CASE WHEN quantity IS NOT DISTINCT FROM price THEN 1.0 ELSE 0.0 END::DOUBLE) AS qp, avg(CASE WHEN quantity = tax THEN 1.0 ELSE 0.0 END::DOUBLE) AS qt, avg(CASE WHEN price IS NOT DISTINCT FROM tax THEN 1.0 ELSE 0.0 END::DOUBLE) AS pt FROM gaps) SELECT a, b, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(CASE WHEN b = 'price' THEN (SELECT qp FROM e) WHEN a = 'quantity' THEN (SELECT qt FROM e) ELSE (SELECT pt FROM e) END, 6) AS equal_ratio FROM k GROUP BY 1, 2")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.correlations(with_gaps(spark, sf_dir), ["quantity", "price", "tax"]), "pearson", "spearman", "equal_ratio")
 
@@ -123,10 +125,10 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(joined(spark, sf_dir), "graph_status", "MISSING_STATUS")
 
 
-@query("a18_j07_threshold_grid", f"""WITH {JOINED}, g AS (SELECT unnest([3, 5, 8]) AS min_nodes, unnest([2, 4, 6]) AS min_edges), x AS (SELECT min_nodes, min_edges, repository, label, coalesce(nodes >= min_nodes AND edges >= min_edges, false) AS ok FROM joined, g WHERE graph_status IS NOT NULL)
+@query("a18_j07_threshold_grid", f"""WITH {JOINED}, g AS (SELECT n.v AS min_nodes, e.v AS min_edges FROM (SELECT unnest([3, 5, 8]) AS v) n, (SELECT unnest([2, 4, 6]) AS v) e), x AS (SELECT min_nodes, min_edges, repository, label, coalesce(nodes >= min_nodes AND edges >= min_edges, false) AS ok FROM joined, g WHERE graph_status IS NOT NULL)
 SELECT min_nodes, min_edges, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS removed, round(avg(label) FILTER (ok), 6) AS positive_rate, count(DISTINCT repository) FILTER (ok) AS repositories FROM x GROUP BY 1, 2""")
 def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("min_nodes"), F.lit(b).alias("min_edges")) for a, b in ((3, 2), (5, 4), (8, 6)))))
+    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("min_nodes"), F.lit(b).alias("min_edges")) for a in (3, 5, 8) for b in (2, 4, 6))))
     x = joined(spark, sf_dir).where("graph_status IS NOT NULL").withColumn("g", grid).select("g.*", "repository", "label", "nodes", "edges").withColumn("ok", F.expr("coalesce(nodes >= min_nodes AND edges >= min_edges, false)"))
     out = x.groupBy("min_nodes", "min_edges").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("removed"), F.avg(F.when(F.col("ok"), F.col("label"))).alias("positive_rate"), F.countDistinct(F.when(F.col("ok"), F.col("repository"))).alias("repositories"))
     return rounded(out, "positive_rate")
@@ -138,11 +140,19 @@ def a18_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy(s.bucket(F.col("nodes"), [0, 3, 6, 100]).alias("bin")).agg(F.count("*").alias("n"), F.avg("label").alias("rate")), "rate")
 
 
-@query("j08_threshold_join", f"WITH {JOINED}, d AS (SELECT nodes, count(*) AS n FROM joined WHERE nodes IS NOT NULL GROUP BY 1), r AS (SELECT edges AS nodes, count(*) AS m FROM joined WHERE edges IS NOT NULL GROUP BY 1) SELECT d.nodes, n, m FROM d LEFT JOIN r ON d.nodes = r.nodes")
+RUN_SUMMARY = "r AS (SELECT nodes AS min_nodes, edges AS min_edges, count(*) AS runs, sum(label)::BIGINT AS positives FROM joined WHERE nodes IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("j08_threshold_join", f"""WITH {JOINED}, g AS (SELECT n.v AS min_nodes, e.v AS min_edges FROM (SELECT unnest([3, 5, 8, 99]) AS v) n, (SELECT unnest([2, 4, 6]) AS v) e),
+d AS (SELECT min_nodes, min_edges, count(*) FILTER (nodes >= min_nodes AND edges >= min_edges) AS kept FROM joined, g GROUP BY 1, 2), {RUN_SUMMARY}
+SELECT d.min_nodes, d.min_edges, kept, runs, positives FROM d LEFT JOIN r ON d.min_nodes = r.min_nodes AND d.min_edges = r.min_edges""")
 def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = joined(spark, sf_dir)
-    d = rows.where("nodes IS NOT NULL").groupBy("nodes").agg(F.count("*").alias("n"))
-    return d.join(rows.where("edges IS NOT NULL").groupBy(F.col("edges").alias("nodes")).agg(F.count("*").alias("m")), "nodes", "left")
+    """A summary of the dataset at each pair of thresholds, left joined with a summary of runs at the same pair."""
+    rows, key = joined(spark, sf_dir), ["min_nodes", "min_edges"]
+    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("min_nodes"), F.lit(b).alias("min_edges")) for a in (3, 5, 8, 99) for b in (2, 4, 6))))
+    kept = rows.withColumn("g", grid).groupBy("g.min_nodes", "g.min_edges").agg(F.count_if(F.expr("nodes >= g.min_nodes AND edges >= g.min_edges")).alias("kept"))
+    runs = rows.where("nodes IS NOT NULL").groupBy(F.col("nodes").alias("min_nodes"), F.col("edges").alias("min_edges")).agg(F.count("*").alias("runs"), F.sum("label").cast("long").alias("positives"))
+    return kept.join(runs, key, "left")
 
 
 @query("a20_seed_stability", "WITH r AS (SELECT event_type, event_id % 5 AS seed, avg(value) AS v FROM events GROUP BY 1, 2) SELECT event_type, 'v' AS metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(v) - min(v), 6) AS range FROM r GROUP BY 1")
