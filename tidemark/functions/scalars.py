@@ -107,6 +107,17 @@ def priority(stars: Column, forks: Column, queries: Column, days: Column, signal
     return F.bround(score + F.when(signal, 250.0).otherwise(0.0) + F.when(topical, 200.0).otherwise(0.0), 3)
 
 
+def selection_reason(matched: Column, topics: Column, blob: Column) -> Column:
+    """Why a repository was taken: what matched, then what it says of itself, each reason once, in this order."""
+    said = [
+        F.when(F.exists(topics, lambda t: F.lower(t).startswith("ansible")), "repository has ansible-related topics"),
+        F.when(any_of(blob, ("ansible-role", "ansible role")), "name/description contains ansible-role"),
+        F.when(any_of(blob, ("ansible-collection", "ansible collection")), "repository appears to be an Ansible collection"),
+        F.lit("passed minimum stars and activity filters"), F.lit("default branch detected from GitHub metadata"),
+    ]
+    return F.array_join(F.array_distinct(F.concat(matched, F.array_compact(F.array(*said)))), "; ")
+
+
 def bucket(value: Column, edges: list[float]) -> Column:
     """Right-closed bins, the lowest edge included: (a, b] as text, null outside."""
     out = F.lit(None).cast("string")

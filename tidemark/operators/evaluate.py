@@ -79,15 +79,49 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+#: Pairs up to which p is exact, where none tie and none are equal.
+EXACT = 50
+
+
+def exact_p(w: Column, n: Column) -> Column:
+    """Two-sided p of the smaller rank sum w of n untied differences: how many of the 2^n choices of signs have
+    a sum of w at most, counted by adding one rank after the other."""
+    start = F.transform(F.sequence(F.lit(0), w.cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    add = lambda ways, k: F.transform(ways, lambda x, i: x + F.coalesce(F.when(i >= k, F.get(ways, i - k)), F.lit(0.0)))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, add)
+    return F.least(F.lit(1.0), 2 * F.aggregate(ways, F.lit(0.0), lambda a, b: a + b) / F.pow(F.lit(2.0), n))
+
+
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """W (the smaller signed-rank sum), z with tie correction and two-sided p; null under two differences.
-    Zero differences are dropped. Differences are rounded to 12 places, so that equal ones tie."""
+    """n, W (the smaller signed-rank sum), z with tie correction and two-sided p, exact for few differences that do
+    not tie, else from z; null under two differences. Equal pairs are dropped. Differences are rounded to 12
+    places, so that equal ones tie."""
     keys = ["metric", "a", "b"]
-    d = pairs.withColumn("d", F.round(F.col("y") - F.col("x"), 12)).where("d != 0").withColumn("size", F.abs("d"))
-    sizes = d.groupBy(*keys, "size").agg(F.count("*").cast("double").alias("t"), F.count_if(F.col("d") > 0).cast("double").alias("up"))
+    d = pairs.withColumn("d", F.round(F.col("y") - F.col("x"), 12)).withColumn("size", F.abs("d"))
+    equal = d.where("d = 0").groupBy(*keys).agg(F.count("*").alias("equal"))
+    sizes = d.where("d != 0").groupBy(*keys, "size").agg(F.count("*").cast("double").alias("t"), F.count_if(F.col("d") > 0).cast("double").alias("up"))
     sizes = running(sizes, keys, "size", ["t"])
     sizes = sizes.withColumn("rank", F.col("t_upto") - F.col("t") + (F.col("t") + 1) / 2)
     t, n = F.col("t"), F.col("n")
     out = sizes.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (t - F.col("up"))).alias("minus"), F.sum(t * t * t - t).alias("tie"))
     z = (F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48)
-    return out.withColumns({"w": F.least("plus", "minus"), "z": F.when(n >= 2, z)}).withColumn("p", normal_tail(F.col("z"))).select(*keys, n.cast("long").alias("n"), "w", "z", "p")
+    out = out.join(equal, keys, "left").withColumns({"w": F.least("plus", "minus"), "z": F.when(n >= 2, z)})
+    exact = (n >= 2) & (n <= EXACT) & (F.col("tie") == 0) & F.col("equal").isNull()
+    p = F.when(exact, exact_p(F.when(exact, F.col("w")), F.when(exact, n))).otherwise(normal_tail(F.col("z")))
+    return out.withColumn("p", p).select(*keys, n.cast("long").alias("n"), "w", "z", "p")
+
+
+def reliability(rows: DataFrame, grid: list[tuple[int, int, int]]) -> DataFrame:
+    """For each system and cell of the grid (least size, positives and negatives of a split): splits and predictions
+    kept and removed, their rates, pooled metrics of what is kept, and their differences from keeping all."""
+    names = ["min_size", "min_pos", "min_neg"]
+    size = rows.groupBy("system", "split_id").agg(F.count("*").alias("size"), F.sum("y_true").alias("pos"))
+    cell = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, c, strict=True))) for c in grid)))
+    cells = size.withColumn("g", cell).select("system", "split_id", "size", "pos", "g.*").withColumn("ok", F.expr("size >= min_size AND pos >= min_pos AND size - pos >= min_neg"))
+    counts = cells.groupBy("system", *names).agg(F.count_if("ok").alias("kept_splits"), F.count_if(~F.col("ok")).alias("removed_splits"), F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)).alias("predictions"),
+                                                 F.sum(F.when(F.col("ok"), 0).otherwise(F.col("size"))).alias("removed_predictions"), F.sum(F.when(F.col("ok"), F.col("pos")).otherwise(0)).alias("_pos"))
+    counts = counts.withColumns({"kept_rate": F.col("kept_splits") / (F.col("kept_splits") + F.col("removed_splits")), "positive_rate": F.when(F.col("predictions") > 0, F.col("_pos") / F.col("predictions"))}).drop("_pos")
+    kept = rows.join(cells.where("ok").select("system", "split_id", *names), ["system", "split_id"])
+    whole = metrics(rows, ["system"]).select("system", *(F.col(c).alias(f"_{c}") for c in NAMES))
+    out = counts.join(metrics(kept, ["system", *names]), ["system", *names], "left").join(whole, "system")
+    return out.select(*counts.columns, *NAMES, *((F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in NAMES))

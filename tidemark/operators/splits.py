@@ -56,3 +56,31 @@ def members(samples: DataFrame, splits: DataFrame) -> DataFrame:
     part = F.when(F.col("idx") == F.col("test_idx"), "test").when(F.col("idx") >= F.col("test_idx") - F.col("val_count"), "validation").otherwise("train")
     split = F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
     return rows.withColumns({"partition": part, "split_id": split}).drop("idx", "val_count", "test_idx")
+
+
+def manifest(samples: DataFrame, ratio: float = 0.2) -> DataFrame:
+    """(split_id, partition, n, positives, first_at, last_at) of all valid splits, from sums over commits: no
+    member is spelled out. Times are those of commits, the earliest of each."""
+    commits = commit_index(samples)
+    before = commits.select("repository", F.col("idx").alias("_at"), "committed_at", "n_upto", "pos_upto", F.first("committed_at").over(Window.partitionBy("repository").orderBy("idx")).alias("_first"))
+    at = lambda name, place: before.select("repository", F.col("_at").alias(place), *(F.col(c).alias(f"{name}{c}") for c in ("committed_at", "n_upto", "pos_upto", "_first")))
+    valid = walk_forward(samples, ratio).where("reason IS NULL").select("repository", "test_idx", "val_count")
+    valid = valid.withColumns({"t": F.col("test_idx") - F.col("val_count") - 1, "v": F.col("test_idx") - F.col("val_count"), "w": F.col("test_idx") - 1})
+    for name in ("t", "v", "w"):
+        valid = valid.join(at(f"{name}_", name), ["repository", name])
+    valid = valid.join(at("x_", "test_idx"), ["repository", "test_idx"])
+    split = F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
+    part = lambda name, n, pos, first, last: F.struct(F.lit(name).alias("partition"), F.expr(n).alias("n"), F.expr(pos).cast("long").alias("positives"), F.expr(first).alias("first_at"), F.expr(last).alias("last_at"))
+    parts = F.array(
+        part("train", "t_n_upto", "t_pos_upto", "t__first", "t_committed_at"),
+        part("validation", "w_n_upto - t_n_upto", "w_pos_upto - t_pos_upto", "v_committed_at", "w_committed_at"),
+        part("test", "x_n_upto - w_n_upto", "x_pos_upto - w_pos_upto", "x_committed_at", "x_committed_at"),
+    )
+    return valid.select(split.alias("split_id"), F.explode(parts).alias("p")).select("split_id", "p.*")
+
+
+def require_no_overlap(rows: DataFrame, key: list[str]) -> None:
+    """Raises where a row of members() is in two partitions of a split; stops at the first that is."""
+    found = rows.groupBy("split_id", *key).agg(F.countDistinct("partition").alias("_n")).where("_n > 1").limit(1).collect()
+    if found:
+        raise ValueError(f"in two partitions: {found[0]}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, splits
+from tidemark.operators import audit, decisions, splits
 from tidemark.plans.registry import SAMPLES, query, samples, table
 
 KEY = ["repository", "commit", "filepath"]
@@ -79,12 +79,12 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.funnel(joined(spark, sf_dir), "reason", KEY)
 
 
-@query("f07_f08_repository_size_filter", f"""WITH {SAMPLES}, g AS (SELECT repository, count(*) AS n, sum(label)::BIGINT AS pos, count(DISTINCT commit) AS tags FROM samples GROUP BY 1)
-SELECT repository, n, pos, tags, array_to_string(list_filter([CASE WHEN n < 40 THEN 'rows' END, CASE WHEN pos < 10 THEN 'positives' END, CASE WHEN n - pos < 10 THEN 'negatives' END, CASE WHEN tags < 2 THEN 'tags' END], lambda x: x IS NOT NULL), ';') AS reasons FROM g""")
+@query("f07_f08_repository_size_filter", f"""WITH {SAMPLES}, g AS (SELECT repository, CASE WHEN o_custkey % 6 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, count(*) AS n, sum(label)::BIGINT AS pos, count(DISTINCT commit) AS tags FROM samples GROUP BY 1, 2)
+SELECT repository, status, n, pos, tags, array_to_string(list_filter([CASE WHEN status <> 'SUCCESS' THEN 'status_not_success' END, CASE WHEN n < 40 THEN 'rows' END, CASE WHEN pos < 10 THEN 'positives' END, CASE WHEN n - pos < 10 THEN 'negatives' END, CASE WHEN tags < 2 THEN 'tags' END], lambda x: x IS NOT NULL), ';') AS reasons FROM g""")
 def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = samples(spark, sf_dir).groupBy("repository").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("pos"), F.countDistinct("commit").alias("tags"))
-    n, pos = F.col("n"), F.col("pos")
-    return g.withColumn("reasons", audit.all_reasons([(n < 40, "rows"), (pos < 10, "positives"), (n - pos < 10, "negatives"), (F.col("tags") < 2, "tags")]))
+    state = F.when(F.col("o_custkey") % 6 == 0, "FAILED").otherwise("SUCCESS")
+    g = samples(spark, sf_dir).groupBy("repository", state.alias("status")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("pos"), F.countDistinct("commit").alias("tags"))
+    return decisions.size_reasons(g, rows=40, positives=10, negatives=10, tags=2)
 
 
 @query("s03_repo_list", """WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '# note' WHEN c_custkey % 10 = 1 THEN '   ' WHEN c_custkey % 10 < 5 THEN 'url' || (c_custkey % 300) ELSE 'url' || (c_custkey % 300) || ', b' || (c_custkey % 2) END AS line FROM customer),
@@ -194,6 +194,4 @@ MEMBERS = f"""{WALK}, m AS (SELECT s.*, wf.repository || '__wf_' || lpad(CAST(te
 
 @query("w2_j04_j06_manifest", f"WITH {MEMBERS} SELECT split_id, partition, count(*) AS n, sum(label)::BIGINT AS positives, min(committed_at) AS first_at, max(committed_at) AS last_at FROM m GROUP BY 1, 2")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir)
-    m = splits.members(rows, splits.walk_forward(rows))
-    return m.groupBy("split_id", "partition").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), F.min("committed_at").alias("first_at"), F.max("committed_at").alias("last_at"))
+    return splits.manifest(samples(spark, sf_dir))

@@ -68,7 +68,9 @@ def v07_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.metrics(predictions(spark, sf_dir), ["system", "repository"]), *evaluate.NAMES)
 
 
-PAIRS = f"{PRED}, {metrics_sql('system, split_id')}, l AS ({' UNION ALL '.join(f'SELECT system, split_id, {chr(39)}{m}{chr(39)} AS metric, {m} AS value FROM met' for m in evaluate.NAMES)}), pr AS (SELECT x.metric, x.system AS a, y.system AS b, x.value AS x, y.value AS y FROM l x JOIN l y ON x.split_id = y.split_id AND x.metric = y.metric AND x.system < y.system WHERE x.value IS NOT NULL AND y.value IS NOT NULL)"
+_T = "1 / (1 + 0.3275911 * abs(z) / sqrt(2))"
+TAIL_SQL = f"({_T}) * (0.254829592 + ({_T}) * (-0.284496736 + ({_T}) * (1.421413741 + ({_T}) * (-1.453152027 + ({_T}) * 1.061405429)))) * exp(-z * z / 2)"
+PAIRS = f"{PRED}, {metrics_sql('system, split_id')}, l AS ({' UNION ALL '.join(f'SELECT system, split_id, {chr(39)}{m}{chr(39)} AS metric, {m} AS value FROM met' for m in evaluate.NAMES)}), pr AS (SELECT x.metric, x.split_id, x.system AS a, y.system AS b, x.value AS x, y.value AS y FROM l x JOIN l y ON x.split_id = y.split_id AND x.metric = y.metric AND x.system < y.system WHERE x.value IS NOT NULL AND y.value IS NOT NULL)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,22 +86,44 @@ def v08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v09_wilcoxon", f"""WITH {PAIRS}, d AS (SELECT metric, a, b, round(round(y, 9) - round(x, 9), 12) AS d FROM pr), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0),
 t AS (SELECT metric, sum(c * c * c - c) AS tie FROM (SELECT metric, abs(d) AS s, count(*)::DOUBLE AS c FROM k GROUP BY 1, 2) GROUP BY 1), g AS (SELECT metric, a, b, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM k GROUP BY 1, 2, 3)
-SELECT metric, a, b, n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 5) AS z FROM g JOIN t USING (metric)""")
+SELECT metric, a, b, n, w, round(z, 5) AS z, round({TAIL_SQL}, 5) AS p FROM (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM g JOIN t USING (metric))""")
 def v09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.wilcoxon(pairs(spark, sf_dir)), "z", places=5).drop("p")
+    return rounded(evaluate.wilcoxon(pairs(spark, sf_dir)), "z", "p", places=5)
 
 
-GRID = f"{PRED}, st AS (SELECT system, split_id, count(*) AS size, sum(y_true) AS pos FROM pred GROUP BY 1, 2), g AS (SELECT unnest([1, 10, 40]) AS min_size, unnest([0, 2, 8]) AS min_pos), kept AS (SELECT p.*, min_size FROM pred p JOIN st USING (system, split_id), g WHERE size >= min_size AND pos >= min_pos)"
+@query("v09_wilcoxon_of_few", f"""WITH {PAIRS}, d AS (SELECT metric || ':' || string_split(split_id, 'd')[1] AS metric, round(round(y, 9) - round(x, 9), 12) AS d FROM pr),
+k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY abs(d)) AS r, count(*) OVER (PARTITION BY metric, abs(d)) AS c FROM d WHERE d <> 0),
+g AS (SELECT metric, count(*) AS n, max(c) AS ties, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM k GROUP BY 1),
+s AS (SELECT metric, n, w FROM g WHERE ties = 1 AND n >= 2 AND metric NOT IN (SELECT metric FROM d WHERE d = 0)),
+c AS (SELECT metric, n, w, mask, list_sum(list_transform(range(n), lambda i: CASE WHEN (mask >> CAST(i AS INTEGER)) & 1 = 1 THEN i + 1 ELSE 0 END)) AS total FROM s, range(128) m(mask) WHERE mask < (1 << CAST(n AS INTEGER)))
+SELECT metric, n, w::DOUBLE AS w, round(least(1.0, 2.0::DOUBLE * count(*) FILTER (total <= w) / (1 << CAST(n AS INTEGER))), 6) AS p FROM c GROUP BY metric, n, w""")
+def v09_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p over the days of each user, where no difference is zero or ties."""
+    few = pairs(spark, sf_dir).withColumn("metric", F.concat_ws(":", "metric", F.substring_index("split_id", "d", 1)))
+    d = few.withColumn("d", F.abs(F.round(F.col("y") - F.col("x"), 12)))
+    plain = d.groupBy("metric").agg(F.count("*").alias("n"), F.countDistinct("d").alias("m"), F.min("d").alias("least")).where("n = m AND least > 0 AND n >= 2")
+    return evaluate.wilcoxon(few.join(plain.select("metric"), "metric", "left_semi")).select("metric", "n", "w", F.round("p", 6).alias("p"))
 
 
-@query("v10_f09_split_reliability", f"WITH {GRID}, {metrics_sql('system, min_size', 'kept')} SELECT system, min_size, tp + fp + fn + tn AS predictions, {ROUNDED} FROM met")
+CELLS = [(a, b, c) for a in (1, 10, 40) for b in (0, 2, 8) for c in (0, 9)]
+GRID = f"""{PRED}, st AS (SELECT system, split_id, count(*) AS size, sum(y_true) AS pos FROM pred GROUP BY 1, 2), g AS (SELECT a AS min_size, b AS min_pos, c AS min_neg FROM (SELECT unnest([1, 10, 40]) AS a), (SELECT unnest([0, 2, 8]) AS b), (SELECT unnest([0, 9]) AS c)),
+cells AS (SELECT *, size >= min_size AND pos >= min_pos AND size - pos >= min_neg AS ok FROM st, g), kept AS (SELECT p.*, min_size, min_pos, min_neg FROM pred p JOIN cells USING (system, split_id) WHERE ok),
+n AS (SELECT system, min_size, min_pos, min_neg, count(*) FILTER (ok) AS kept_splits, count(*) FILTER (NOT ok) AS removed_splits, coalesce(sum(size) FILTER (ok), 0)::BIGINT AS predictions, coalesce(sum(size) FILTER (NOT ok), 0)::BIGINT AS removed_predictions,
+  round(count(*) FILTER (ok) / count(*), 6) AS kept_rate, round(sum(pos) FILTER (ok) / sum(size) FILTER (ok), 6) AS positive_rate FROM cells GROUP BY 1, 2, 3, 4)"""
+DELTAS = ", ".join(f"round(met.{m} - whole.{m}, 6) AS delta_{m}" for m in evaluate.NAMES)
+
+
+@query("v10_f09_split_reliability", f"WITH {GRID}, {metrics_sql('system, min_size, min_pos, min_neg', 'kept')}, {metrics_sql('system', 'pred', 'whole')} SELECT n.*, {', '.join(f'round(met.{m}, 6) AS {m}' for m in evaluate.NAMES)}, {DELTAS} FROM n LEFT JOIN met USING (system, min_size, min_pos, min_neg) JOIN whole ON whole.system = n.system")
 def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir)
-    size = rows.groupBy("system", "split_id").agg(F.count("*").alias("size"), F.sum("y_true").alias("pos"))
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("min_size"), F.lit(b).alias("min_pos")) for a, b in ((1, 0), (10, 2), (40, 8)))))
-    cells = size.withColumn("g", cells).select("system", "split_id", "size", "pos", "g.*").where("size >= min_size AND pos >= min_pos")
-    m = evaluate.metrics(rows.join(cells.select("system", "split_id", "min_size"), ["system", "split_id"]), ["system", "min_size"])
-    return rounded(m, *evaluate.NAMES).select("system", "min_size", F.expr("tp + fp + fn + tn").alias("predictions"), *evaluate.NAMES)
+    out = evaluate.reliability(predictions(spark, sf_dir), CELLS)
+    return rounded(out, "kept_rate", "positive_rate", *evaluate.NAMES, *(f"delta_{m}" for m in evaluate.NAMES))
+
+
+@query("v07_every_score", f"WITH raw AS (SELECT event_type AS system, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS y_true, value AS y_score, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS y_pred FROM events), {metrics_sql('system', 'raw')} SELECT system, tp, fp, fn, tn, {ROUNDED} FROM met")
+def v07_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores as they are, nearly all of them different."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("system"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).alias("y_true"), F.col("value").alias("y_score"), F.when(F.col("value") >= 20, 1).otherwise(0).alias("y_pred"))
+    return rounded(evaluate.metrics(rows, ["system"]), *evaluate.NAMES)
 
 
 @query("v12_a19_test_size_buckets", f"WITH {PRED}, {metrics_sql('system, split_id')}, z AS (SELECT *, tp + fp + fn + tn AS size FROM met) SELECT system, CASE WHEN size >= 0 AND size <= 20 THEN '(0, 20]' WHEN size <= 40 THEN '(20, 40]' WHEN size <= 1000 THEN '(40, 1000]' END AS bin, count(*) AS splits, sum(size)::BIGINT AS predictions, median(size)::DOUBLE AS median_size, round(avg(mcc), 6) AS mcc, round(avg(coalesce(mcc, 0)), 6) AS mcc_zero, count(*) FILTER (tp + fp > tp + fn) AS over_predicting FROM z GROUP BY 1, 2")
@@ -172,6 +196,26 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.fitted(long).groupBy("feature").agg(F.countDistinct(F.when(F.col("reason").isNull(), F.col("split_id"))).alias("used"), F.countDistinct(F.when(F.col("reason").isNotNull(), F.col("split_id"))).alias("removed"))
 
 
+BAYES_FEATURES = ["quantity", "dis", "tx"]
+
+
+def _bayes_sql() -> str:
+    stats = ", ".join(f"sum(CASE WHEN label = {k} THEN 1 ELSE 0 END)::DOUBLE AS n{k}" for k in (0, 1))
+    for f in BAYES_FEATURES:
+        stats += f", var_pop({f}) AS w_{f}" + "".join(f", avg({f}) FILTER (label = {k}) AS m{k}_{f}, var_pop({f}) FILTER (label = {k}) AS v{k}_{f}" for k in (0, 1))
+    gain = " + ".join(f"0.5 * (ln(v0_{f} + eps) - ln(v1_{f} + eps) + pow(te.{f} - m0_{f}, 2) / (v0_{f} + eps) - pow(te.{f} - m1_{f}, 2) / (v1_{f} + eps))" for f in BAYES_FEATURES)
+    return f"""WITH {MEMBERS}, x AS (SELECT split_id, partition, label, quantity::DOUBLE AS quantity, round(discount * 100)::DOUBLE AS dis, round(tax * 100)::DOUBLE AS tx FROM m), tr AS (SELECT split_id, {stats} FROM x WHERE partition = 'train' GROUP BY 1),
+e AS (SELECT *, greatest({', '.join(f'w_{f}' for f in BAYES_FEATURES)}) * 1e-9 AS eps FROM tr), o AS (SELECT te.split_id, te.label, ln(n1 / n0) + {gain} AS odds FROM x te JOIN e ON te.split_id = e.split_id WHERE te.partition = 'test')
+SELECT split_id, count(*) AS n, sum(label)::BIGINT AS positives, sum(CASE WHEN odds >= 0 THEN 1 ELSE 0 END)::BIGINT AS predicted, round(avg(CASE WHEN odds > 700 THEN 1.0 WHEN odds < -700 THEN 0.0 ELSE 1 / (1 + exp(-odds)) END::DOUBLE), 3) AS mean_score FROM o GROUP BY 1"""
+
+
+@query("m07_naive_bayes_by_prefix_sums", _bayes_sql())
+def m07_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).withColumns({"dis": F.round(F.col("discount") * 100), "tx": F.round(F.col("tax") * 100)})
+    out = prep.prefix_bayes(rows, BAYES_FEATURES)
+    return out.groupBy("split_id").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), F.sum("y_pred").cast("long").alias("predicted"), F.round(F.avg("y_score"), 3).alias("mean_score"))
+
+
 GRAPH_FEATURES = [*FEATURES, "nodes", "edges"]
 #: Sizes a sample's graph has at least; without: samples without a graph count too.
 THRESHOLDS = {"none": None, "3:2": (3, 2), "5:4": (5, 4), "8:6": (8, 6), "10:6": (10, 6)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
+from tidemark.operators import decisions
 from tidemark.plans.registry import query, table
 
 URL_SQL = """urls AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' https://github.com/' || lower(c_mktsegment) || '/' || c_name || '.git/ ' WHEN 1 THEN 'git@github.com:' || c_mktsegment || '/' || c_name || '.git'
@@ -104,22 +105,43 @@ def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("id", "tutorial", "signal", "days", "score")
 
 
-@query("p14_selection_reason", f"""WITH {REPO_SQL} SELECT id, array_to_string(list_filter([CASE WHEN queries > 1 THEN 'topic' END, CASE WHEN len(list_filter(topics, lambda t: lower(t) LIKE 'ansible%')) > 0 THEN 'topics' END, CASE WHEN contains(blob, 'ansible-role') THEN 'role' END, 'activity', 'branch'], lambda x: x IS NOT NULL), '; ') AS reason FROM b""")
+# every fifth description speaks of a role or a collection, in one of the spellings
+SAID_SQL = "said AS (SELECT *, CASE id % 10 WHEN 0 THEN blob || ' ansible role' WHEN 5 THEN blob || ' ansible collection' ELSE blob END AS text FROM b)"
+
+
+@query("p14_selection_reason", f"""WITH {REPO_SQL}, {SAID_SQL} SELECT id, array_to_string(list_filter(['topic search', CASE WHEN queries > 2 THEN 'name search' END, CASE WHEN len(list_filter(topics, lambda t: lower(t) LIKE 'ansible%')) > 0 THEN 'repository has ansible-related topics' END,
+  CASE WHEN contains(text, 'ansible-role') OR contains(text, 'ansible role') THEN 'name/description contains ansible-role' END, CASE WHEN contains(text, 'ansible-collection') OR contains(text, 'ansible collection') THEN 'repository appears to be an Ansible collection' END,
+  'passed minimum stars and activity filters', 'default branch detected from GitHub metadata'], lambda x: x IS NOT NULL), '; ') AS reason FROM said""")
 def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = F.array_compact(F.array(F.when(F.col("queries") > 1, "topic"), F.when(F.exists("topics", lambda t: F.lower(t).startswith("ansible")), "topics"), F.when(F.contains("blob", F.lit("ansible-role")), "role"), F.lit("activity"), F.lit("branch")))
-    return repos(spark, sf_dir).select("id", F.array_join(F.array_distinct(reasons), "; ").alias("reason"))
+    k = F.col("id") % 10
+    text = F.when(k == 0, F.concat("blob", F.lit(" ansible role"))).when(k == 5, F.concat("blob", F.lit(" ansible collection"))).otherwise(F.col("blob"))
+    matched = F.array_compact(F.array(F.lit("topic search"), F.when(F.col("queries") > 1, "topic search"), F.when(F.col("queries") > 2, "name search")))
+    return repos(spark, sf_dir).select("id", s.selection_reason(matched, F.col("topics"), text).alias("reason"))
 
 
-@query("f06_candidate_filter", f"""WITH {REPO_SQL}, r AS (SELECT *, CASE WHEN archived THEN 'archived repository' WHEN disabled THEN 'disabled repository' WHEN stars < 500 THEN 'below minimum stars' WHEN default_branch IS NULL THEN 'missing or invalid metadata' WHEN {_EX} THEN 'likely tutorial' WHEN NOT ({_SIG}) THEN 'no signal' END AS why, lower(full_name) AS k FROM b),
+@query("f06_candidate_filter", f"""WITH {REPO_SQL}, r AS (SELECT *, CASE WHEN id % 19 = 0 THEN NULL ELSE lower(full_name) END AS k, CASE WHEN id % 19 = 0 THEN 'missing or invalid metadata' WHEN archived THEN 'archived repository' WHEN disabled THEN 'disabled repository' WHEN stars < 500 THEN 'below minimum stars'
+  WHEN id % 23 = 0 OR default_branch IS NULL THEN 'missing or invalid metadata' WHEN {_EX} THEN 'likely tutorial' WHEN NOT ({_SIG}) THEN 'no signal' END AS why FROM b),
 f AS (SELECT k, min(id) AS first FROM r WHERE why IS NULL GROUP BY 1)
-SELECT id, CASE WHEN f.first < id THEN 'duplicate repository' ELSE coalesce(why, 'accepted') END AS outcome FROM r LEFT JOIN f USING (k)""")
+SELECT id, CASE WHEN f.first < id THEN 'duplicate repository' ELSE coalesce(why, 'accepted') END AS outcome FROM r LEFT JOIN f ON r.k = f.k""")
 def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only an accepted repository makes later hits of its name duplicates."""
-    rows = scored(spark, sf_dir).select("id", F.lower("full_name").alias("name"), (
-        F.when(F.col("archived"), "archived repository").when(F.col("disabled"), "disabled repository").when(F.col("stars") < 500, "below minimum stars").when(F.col("default_branch").isNull(), "missing or invalid metadata")
-        .when(F.col("tutorial"), "likely tutorial").when(~F.col("signal"), "no signal")).alias("why"))
-    first = rows.where("why IS NULL").groupBy("name").agg(F.min("id").alias("first"))
-    return rows.join(first, "name", "left").select("id", F.when(F.col("first") < F.col("id"), "duplicate repository").otherwise(F.coalesce("why", F.lit("accepted"))).alias("outcome"))
+    """Some repositories have no name, some no address."""
+    rows = scored(spark, sf_dir).withColumns({"full_name": F.when(F.col("id") % 19 != 0, F.col("full_name")), "url": F.when(F.col("id") % 23 == 0, "").otherwise("https://host/x")})
+    return decisions.candidate_outcomes(rows, "id", 500).select("id", "outcome")
+
+
+@query("p15_p16_row_status", f"""WITH {PATH_SQL}, t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE 'r' END AS repository, CASE WHEN p_partkey % 29 = 1 THEN '' ELSE 'c' END AS commit, CASE WHEN p_partkey % 29 = 2 THEN NULL ELSE path END AS path, CASE WHEN p_partkey % 13 = 0 THEN 'first line' || chr(10) || ' no graph ' || chr(10) || ' ' END AS broken,
+  CASE WHEN p_partkey % 17 = 0 THEN 2 ELSE p_partkey % 9 END AS nodes, CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE p_partkey % 7 END AS edges, p_partkey % 17 = 0 AS placeholder FROM part JOIN paths USING (p_partkey)),
+u AS (SELECT *, CASE WHEN path NOT LIKE '/%' AND NOT list_contains(string_split(path, '/'), '..') THEN array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/') END AS safe FROM t),
+k AS (SELECT *, CASE WHEN list_contains(string_split(safe, '/'), 'meta') THEN 'meta file' WHEN list_contains(string_split(safe, '/'), 'handlers') THEN 'handlers file' WHEN list_contains(string_split(safe, '/'), 'vars') THEN 'vars file' WHEN list_contains(string_split(safe, '/'), 'defaults') THEN 'defaults file' END AS kind,
+  CASE WHEN placeholder THEN 'unresolved include/import placeholder graph' WHEN nodes < 3 THEN 'nodes below minimum threshold: ' || nodes || ' < 3' WHEN edges < 2 THEN 'edges below minimum threshold: ' || edges || ' < 2' END AS low FROM u)
+SELECT id, CASE WHEN repository IS NULL OR commit = '' OR path IS NULL THEN 'MISSING_REQUIRED_FIELD' WHEN safe IS NULL THEN 'INVALID_FILEPATH' WHEN kind IS NOT NULL THEN 'UNSUPPORTED_FILE_TYPE' WHEN broken IS NOT NULL THEN 'GRAPH_PARSE_FAILURE' WHEN nodes = 0 OR edges = 0 THEN 'EMPTY_GRAPH' WHEN low IS NOT NULL THEN 'LOW_QUALITY_GRAPH' ELSE 'SUCCESS' END AS status,
+  CASE WHEN repository IS NULL OR commit = '' OR path IS NULL THEN 'repository/commit/filepath' WHEN safe IS NULL THEN path WHEN kind IS NOT NULL THEN kind WHEN broken IS NOT NULL THEN 'no graph' WHEN nodes = 0 OR edges = 0 THEN '' WHEN low IS NOT NULL THEN low ELSE '' END AS error FROM k""")
+def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paths(spark, sf_dir).selectExpr(
+        "p_partkey AS id", "CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE 'r' END AS repository", "CASE WHEN p_partkey % 29 = 1 THEN '' ELSE 'c' END AS commit", "CASE WHEN p_partkey % 29 = 2 THEN NULL ELSE path END AS filepath",
+        "CASE WHEN p_partkey % 13 = 0 THEN 'first line\\n no graph \\n ' END AS parse_error", "CASE WHEN p_partkey % 17 = 0 THEN 2 ELSE p_partkey % 9 END AS nodes", "CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE p_partkey % 7 END AS edges", "p_partkey % 17 = 0 AS placeholder",
+    )
+    return decisions.row_status(rows).select("id", "status", "error")
 
 
 @query("w05_top_repositories", f"WITH {REPO_SQL}, x AS (SELECT id, {SCORE_SQL} AS score, stars, pushed_at FROM b) SELECT id, score, stars, CAST(pushed_at AS VARCHAR) AS pushed_at FROM x ORDER BY score DESC, stars DESC, pushed_at DESC, id LIMIT 100")
