@@ -1,26 +1,28 @@
 """Hand-computed cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import audit, evaluate, graph, prep, splits
-from tidemark.sources.readers import read_dot
+from tidemark.operators import audit, decisions, evaluate, features, graph, prep, ranks, splits
+from tidemark.sources.readers import read_csv, read_dot, text_rows, union_files, write_table
 
 DOT = """digraph {
-\tnode [fontname=Courier]
-\t0 [label=<<B>ansible.builtin.assert</B>> fillcolor=lightgrey]
-\t1 [label="str:hello world" shape=box]
-\t1 -> 0 [label="args.msg" penwidth=2.5]
+\tnode [shape=plain]
+\tstep7 [label=<<B>copy.file</B>> shape=ellipse]
+\targ [label="a \\"quoted\\" word" color=red];
+\targ -> step7 [label="src" weight=0.5]
+\targ -> late
 }"""
 
 
 def test_dot_text(spark):
     nodes, edges = read_dot(spark.createDataFrame([(1, DOT)], "graph_id int, dot string"))
-    labels = {r.node_id: r.attrs["label"] for r in nodes.collect()}
-    assert labels == {"0": "<B>ansible.builtin.assert</B>", "1": "str:hello world"}
-    (e,) = edges.collect()
-    assert (e.src, e.dst, e.attrs["label"], e.attrs["penwidth"]) == ("1", "0", "args.msg", "2.5")
+    labels = {r.node_id: r.attrs.get("label") for r in nodes.collect()}
+    assert labels == {"step7": "<B>copy.file</B>", "arg": 'a "quoted" word', "late": None}
+    assert {(r.src, r.dst, r.attrs.get("label"), r.attrs.get("weight")) for r in edges.collect()} == {("arg", "step7", "src", "0.5"), ("arg", "late", None, None)}
 
 
 def test_cyclic_multigraph(spark):
@@ -104,3 +106,76 @@ def test_ledger_accounts_for_every_row(spark):
         audit.require_columns(df, ["nope"])
     with pytest.raises(ValueError):
         audit.require_unique(df.union(df), ["id"])
+
+
+def test_guarded_sink_and_text_rows(spark, tmp_path):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("c", "y")], "id string, v string").withColumnRenamed("id", "\ufeffid")
+    write_table(df, f"{tmp_path}/t", fmt="csv")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        write_table(df, f"{tmp_path}/t", fmt="csv")
+    write_table(df, f"{tmp_path}/t", fmt="csv", force=True)
+    got = text_rows(spark, f"{tmp_path}/t", ["id"], limit=2)
+    assert got.columns == ["id", "v", "row_index"] and sorted(map(tuple, got.collect())) == [("a", None, 1), ("b", "x", 2)]
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfid,v\n1,2\n")
+    assert text_rows(spark, f"{tmp_path}/bom.csv", ["id"]).columns == ["id", "v", "row_index"]
+    assert [tuple(r) for r in read_csv(spark, f"{tmp_path}/bom.csv", "id int, v int").collect()] == [(1, 2)]
+
+
+def test_union_refuses_other_columns(spark, tmp_path):
+    for name, columns in (("a", "x string, y string"), ("b", "x string, y string, z string")):
+        write_table(spark.createDataFrame([("1",) * columns.count("string")], columns), f"{tmp_path}/{name}", fmt="csv")
+    assert union_files(spark, {"one": f"{tmp_path}/a", "two": f"{tmp_path}/a"}).count() == 2
+    with pytest.raises(ValueError, match="two has columns"):
+        union_files(spark, {"one": f"{tmp_path}/a", "two": f"{tmp_path}/b"})
+
+
+def test_overlap_of_partitions_raises(spark):
+    rows = [("s", "train", 1), ("s", "test", 2), ("t", "test", 1)]
+    df = spark.createDataFrame(rows, "split_id string, partition string, sample_id int")
+    splits.require_no_overlap(df, ["sample_id"])
+    with pytest.raises(ValueError):
+        splits.require_no_overlap(df.union(spark.createDataFrame([("s", "validation", 1)], df.schema)), ["sample_id"])
+
+
+def test_ranks_and_quantiles_by_ranges(spark):
+    rng = random.Random(1)
+    rows = [(None if i % 7 == 0 else f"k{i % 2}", None if i % 11 == 0 else rng.randrange(60) / 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    want = {}
+    for k in {r[0] for r in rows}:
+        values = sorted((r[1] for r in rows if r[0] == k), key=lambda x: (x is not None, x or 0))
+        for v in set(values):
+            want[k, v] = values.index(v) + (values.count(v) + 1) / 2
+    got = ranks.average_rank(df, ["k"], "v", "rank").collect()
+    assert len(got) == len(rows) and all(r["rank"] == want[r.k, r.v] for r in got)
+    counted = df.where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
+    exact = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(F.percentile("v", 0.25).alias("a"), F.percentile("v", 0.9).alias("b")).collect()}
+    for r in ranks.quantiles(counted, ["k"], "v", "n", {"a": 0.25, "b": 0.9}).collect():
+        assert (r.a, r.b) == pytest.approx(exact[r.k])
+    places = ranks.numbered_rows(spark.range(100).repartition(7), ["id"]).collect()
+    assert all(r.row_index == r.id + 1 for r in places)
+
+
+def test_exact_p_of_few_pairs(spark):
+    # all of five differences positive: 2 / 2^5; published table: n = 6, W = 1 gives 0.0625
+    rows = [("m", "a", "b", 0.0, float(d)) for d in (1, 2, 3, 4, 5)] + [("o", "a", "b", 0.0, float(d)) for d in (-1, 2, 3, 4, 5, 6)]
+    got = {r.metric: (r.n, r.w, r.p) for r in evaluate.wilcoxon(spark.createDataFrame(rows, "metric string, a string, b string, x double, y double")).collect()}
+    assert got["m"] == (5, 0.0, pytest.approx(0.0625)) and got["o"] == (6, 1.0, pytest.approx(0.0625))
+
+
+def test_feature_families():
+    numeric = ["additions", "verticesCount", "nodes", "lines_code", "delta_b", "delta_a", "other", "num_uri"]
+    assert features.families(numeric) == {"process": ["additions"], "product": ["lines_code"], "iac_oriented": ["num_uri"], "delta": ["delta_a", "delta_b"]}
+    assert features.unmapped(numeric) == ["other"] and features.family(numeric, " IaC-oriented ") == ["num_uri"]
+    assert features.combined_features(numeric, "globalInput, nodes".split(",")[0], only_graph=True) == ["globalInput"]
+    assert features.combined_features(numeric, "top5")[-1] == "globalInput" and len(features.graph_metrics()) == 11
+    for bad in (lambda: features.family(numeric, "none"), lambda: features.graph_metrics("nodes")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_candidates_after_an_accepted_one(spark):
+    rows = [(1, "A/x", True), (2, "a/X", False), (3, "A/X", False), (4, None, False), (5, "a/x", True)]
+    df = spark.createDataFrame(rows, "id int, full_name string, archived boolean").selectExpr("*", "false AS disabled", "900 AS stars", "'u' AS url", "'main' AS default_branch", "false AS tutorial", "true AS signal")
+    got = {r.id: r.outcome for r in decisions.candidate_outcomes(df, "id", 500).collect()}
+    assert got == {1: "archived repository", 2: "accepted", 3: "duplicate repository", 4: "missing or invalid metadata", 5: "duplicate repository"}

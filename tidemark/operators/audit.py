@@ -64,6 +64,11 @@ def pending(rows: DataFrame, done: DataFrame, key: list[str], terminal: list[str
     return rows.join(done.where(F.col("status").isin(*terminal)).select(*key).distinct(), key, "left_anti")
 
 
+def rebuilt(rows: DataFrame, done: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Results of all rows that have one, in the order of the rows."""
+    return rows.select(*key, order).join(done, key).orderBy(order)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old without the keys of new, and new."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)

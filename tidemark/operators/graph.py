@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
+from tidemark.operators.audit import first_reason
 from tidemark.shared import stored
+from tidemark.sources.readers import read_graphml
 
 NODE = ["graph_id", "node_id"]
 
@@ -182,6 +184,28 @@ def propagated(features: DataFrame, adjacent: DataFrame, columns: list[str], how
     return out.select(*NODE, *((own(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in columns))
 
 
+def relation_means(features: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """One hop by relation: x plus, for each edge type, the mean of the distinct neighbours along edges of it."""
+    typed = edges.select("graph_id", "src", "dst", s.edge_type(F.col("attrs")).alias("edge_type")).distinct()
+    src = features.select("graph_id", F.col("node_id").alias("src"), *columns)
+    near = typed.join(src, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id"), "edge_type").agg(*(F.avg(c).alias(c) for c in columns))
+    near = near.groupBy(*NODE).agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    out = features.select(*NODE, *columns).join(near, NODE, "left")
+    return out.select(*NODE, *((F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in columns))
+
+
+def sample_reasons(texts: DataFrame, *, min_nodes: int = 3, min_edges: int = 2) -> DataFrame:
+    """(graph_id, vertices, edges, reason) from (graph_id, xml): why a graph is no sample (no text, it does not
+    parse, too few nodes or edges, no node features), else null."""
+    parsed = read_graphml(texts)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    rows = texts.select("graph_id", F.coalesce("xml", F.lit("")).alias("xml")).join(parsed.select("graph_id", F.greatest(size("nodes"), F.lit(0)).alias("vertices"), F.greatest(size("edges"), F.lit(0)).alias("edges"), F.col("bad").isNotNull().alias("bad"), F.coalesce(F.forall("nodes", lambda n: F.size(n["attrs"]) < 1), F.lit(True)).alias("bare")), "graph_id")
+    return rows.select("graph_id", "vertices", "edges", first_reason([
+        (F.col("xml") == "", "graphml_path_missing"), (F.col("bad"), "graphml_parse_error"), (F.col("vertices") < min_nodes, f"below_min_nodes_{min_nodes}"),
+        (F.col("edges") < min_edges, f"below_min_edges_{min_edges}"), (F.col("bare"), "empty_node_features"),
+    ]).alias("reason"))
+
+
 def readout(features: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, sum and maximum of each column by graph."""
     return features.groupBy("graph_id").agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("add", F.sum), ("max", F.max))))

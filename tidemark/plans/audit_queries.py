@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, decisions, splits
+from tidemark.operators import audit, decisions, features, splits
+from tidemark.operators.ranks import numbered_rows
 from tidemark.plans.registry import SAMPLES, query, samples, table
+from tidemark.shared import shared_dir
+from tidemark.sources.readers import read_csv, text_rows, union_files, write_table
 
 KEY = ["repository", "commit", "filepath"]
 FEATURES = ["quantity", "price", "discount", "tax"]
@@ -122,12 +127,83 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("s10_path_candidates", "SELECT p.page_id, coalesce(a.page_id, b.page_id) AS found FROM pages p LEFT JOIN (SELECT url, min(page_id) AS page_id FROM pages WHERE page_id % 3 = 0 GROUP BY 1) a ON p.url = a.url LEFT JOIN (SELECT string_split(url, '/')[-1] AS base, min(page_id) AS page_id FROM pages WHERE page_id % 3 = 1 GROUP BY 1) b ON string_split(p.url, '/')[-1] = b.base")
+@query("s10_path_candidates", """WITH f AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN '/data/g' || o_orderkey || '.xml' WHEN 1 THEN '/base/x/g' || o_orderkey || '.xml' ELSE '/base/g' || o_orderkey || '.xml' END AS file FROM orders WHERE o_orderstatus <> 'P'),
+r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '/data/g' || o_orderkey || '.xml' WHEN 1 THEN '/app/output/x/g' || o_orderkey || '.xml' WHEN 2 THEN 'x' || chr(92) || 'g' || o_orderkey || '.xml' ELSE '' END AS path FROM orders),
+k AS (SELECT id, path, unnest([1, 2, 3, 4]) AS place, unnest([path, CASE WHEN contains(path, '/app/output/') THEN '/base/' || string_split(path, '/app/output/')[2] END, '/base/g' || id || '.xml', CASE WHEN path LIKE 'x%' THEN '/base/' || replace(path, chr(92), '/') END]) AS file FROM r WHERE path <> ''),
+h AS (SELECT id, min_by(file, place) AS found FROM k JOIN f USING (file) GROUP BY 1) SELECT r.id, r.path, h.found FROM r LEFT JOIN h USING (id)""")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.substring_index("url", "/", -1).alias("base"))
-    full = pages.where("page_id % 3 = 0").groupBy("url").agg(F.min("page_id").alias("a"))
-    base = pages.where("page_id % 3 = 1").groupBy("base").agg(F.min("page_id").alias("b"))
-    return pages.join(full, "url", "left").join(base, "base", "left").select("page_id", F.coalesce("a", "b").alias("found"))
+    orders = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("g"), k, F.lit(".xml"))
+    files = orders.where("o_orderstatus <> 'P'").select(F.when(k % 3 == 0, F.concat(F.lit("/data/"), name)).when(k % 3 == 1, F.concat(F.lit("/base/x/"), name)).otherwise(F.concat(F.lit("/base/"), name)).alias("file"))
+    rows = orders.select(k.alias("id"), F.when(k % 4 == 0, F.concat(F.lit("/data/"), name)).when(k % 4 == 1, F.concat(F.lit("/app/output/x/"), name)).when(k % 4 == 2, F.concat(F.lit("x\\"), name)).otherwise("").alias("path"))
+    return decisions.resolved_paths(rows, files, "/base").select("id", "path", "found")
+
+
+def written(df: DataFrame, name: str) -> str:
+    """df as headed CSV in a new folder of the shared one."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_table(df, path, fmt="csv")
+    return path
+
+
+@query("s01_s11_csv_round_trip", f"WITH {SAMPLES} SELECT repository, commit, filepath, label, quantity, price, l_partkey FROM samples")
+def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table written as CSV by the guarded sink and scanned under its schema."""
+    rows = samples(spark, sf_dir).select(*KEY, "label", "quantity", "price", "l_partkey")
+    return read_csv(spark, written(rows, "samples"), rows.schema)
+
+
+@query("s02_text_rows", "SELECT row_number() OVER (ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS row_index, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS customer FROM orders ORDER BY 1 LIMIT 500")
+def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a CSV file that starts with a byte-order mark, all columns text."""
+    rows = table(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("\ufeffid"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+    return text_rows(spark, written(rows, "text"), ["id"], limit=500)
+
+
+@query("s08_union_of_files", "SELECT 'run_' || lower(o_orderstatus) AS run, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS customer FROM orders")
+def s08_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    return union_files(spark, {f"run_{x.lower()}": written(rows.where(F.col("o_orderstatus") == x).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")), "run") for x in "FOP"})
+
+
+@query("s14_ordered_rebuild", f"WITH {DEDUPED}, {STATUS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY repository, commit, filepath) AS row_index FROM deduped) SELECT row_index, n.repository, n.commit, n.filepath, s.status FROM n JOIN status s ON n.repository = s.repository AND n.commit = s.commit AND n.filepath = s.filepath WHERE s.status = 'SUCCESS'")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a resume: results in the order of the input rows, those that succeeded."""
+    return audit.rebuilt(numbered_rows(deduped(spark, sf_dir), KEY), status(spark, sf_dir), KEY, "row_index").where("status = 'SUCCESS'").select("row_index", *KEY, "status")
+
+
+VALID_SQL = "CASE WHEN coalesce(nodes < 3, true) THEN 'below_min_nodes_3' WHEN coalesce(edges < 2, true) THEN 'below_min_edges_2' WHEN l_partkey % 3 = 0 THEN 'missing_metric' WHEN l_suppkey % 5 = 0 OR graph_status IS NULL THEN 'graph_path_missing' END"
+
+
+@query("f05_common_valid_samples", f"WITH {JOINED} SELECT repository, commit, filepath, {VALID_SQL} AS reason FROM joined")
+def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joined(spark, sf_dir).withColumn("metric", F.when(F.col("l_partkey") % 3 != 0, F.col("price")))
+    known = (F.col("l_suppkey") % 5 != 0) & F.col("graph_status").isNotNull()
+    return rows.select(*KEY, decisions.valid_sample_reason(["price", "metric"], known).alias("reason"))
+
+
+_F10 = {"additions": "l_quantity", "lines_code": "l_partkey", "num_tasks": "l_linenumber", "delta_tax": "l_tax", "delta_discount": "l_discount", "other_number": "l_suppkey", "verticesCount": "l_partkey % 9", "globalInput": "l_partkey % 7", "nodes": "l_suppkey % 9"}
+_F10_FAMILY = {"additions": "process", "lines_code": "product", "num_tasks": "iac_oriented", "delta_tax": "delta", "delta_discount": "delta", "other_number": "unmapped", "verticesCount": "graph", "globalInput": "graph"}
+
+
+@query("f10_feature_families", " UNION ALL ".join(f"SELECT '{f}' AS feature, '{family}' AS family, {'true' if f != 'globalInput' else 'false'} AS in_top4_run, count({_F10[f]}) AS there, round(avg({_F10[f]}), 6) AS mean FROM lineitem" for f, family in _F10_FAMILY.items()))
+def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns of a wide table are features, of which family, and what they hold. Two columns hold no number, one is an id."""
+    wide = table(spark, sf_dir, "lineitem").selectExpr(*(f"{x} AS {c}" for c, x in _F10.items()), "l_returnflag AS num_plays", "CAST(NULL AS DOUBLE) AS deletions", "l_orderkey AS commit", "1 AS failure_prone")
+    numeric = features.numeric_columns(wide)
+    named = [(c, family) for family in ("process", "product", "iac", "delta") for c in features.family(numeric, family)]
+    named = [(c, features.ALIASES[f]) for c, f in named] + [(c, "unmapped") for c in features.unmapped(numeric)] + [(c, "graph") for c in features.graph_metrics() if c in numeric]
+    top4 = features.combined_features(numeric, "top4")
+    grid = spark.createDataFrame([(c, f, c in top4) for c, f in named], "feature string, family string, in_top4_run boolean")
+    values = wide.select(*(F.col(c).cast("double").alias(c) for c, _ in named)).unpivot([], [c for c, _ in named], "feature", "value")
+    return values.groupBy("feature").agg(F.count("value").alias("there"), F.round(F.avg("value"), 6).alias("mean")).join(F.broadcast(grid), "feature").select("feature", "family", "in_top4_run", "there", "mean")
+
+
+@query("w08_repositories_without_graph", f"WITH {JOINED} SELECT DISTINCT repository FROM joined EXCEPT SELECT repository FROM joined WHERE reason IS NULL")
+def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joined(spark, sf_dir)
+    return rows.select("repository").subtract(rows.where("reason IS NULL").select("repository"))
 
 
 @query("s12_upsert", "SELECT o_orderkey AS id, o_totalprice AS value FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT l_orderkey, max(l_extendedprice) FROM lineitem WHERE l_quantity > 45 GROUP BY 1")

@@ -84,11 +84,22 @@ KIND = "CASE WHEN kind = 'task' THEN 'Task' WHEN kind = 'data input' THEN 'Data'
 DEGREES = f"{GRAPH}, deg AS (SELECT n.*, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node_id) AS degree_in, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.src = n.node_id) AS degree_out FROM nodes n)"
 
 
-@query("g09_g10_node_features", f"WITH {DEGREES} SELECT graph_id, node_id, degree_in, degree_out, degree_in + degree_out AS degree_total, {KIND} AS node_type, CASE WHEN kind = 'task' THEN 1 ELSE 0 END AS task, CASE WHEN kind = 'data input' THEN 1 ELSE 0 END AS is_data, length(label)::DOUBLE AS label_length, len(regexp_extract_all(label, '\\w+'))::DOUBLE AS token_count, 2 AS attr_count, 0 AS has_location FROM deg")
+_HOT = ", ".join(f"CASE WHEN {KIND} = '{t}' THEN 1 ELSE 0 END AS is_{t.lower()}" for t in s.NODE_TYPES)
+
+
+@query("g09_g10_node_features", f"""WITH {DEGREES}, x AS (SELECT *, CASE WHEN turn % 4 = 1 THEN label || ' {{{{ a b }}}} = 7' ELSE label END AS text FROM deg JOIN (SELECT graph_id, node_id, turn FROM turns) USING (graph_id, node_id)),
+t AS (SELECT *, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+|\\{{\\{{.*?\\}}\\}}') AS tokens FROM x)
+SELECT graph_id, node_id, degree_in, degree_out, degree_in + degree_out AS degree_total, {KIND} AS node_type, CASE WHEN kind = 'task' THEN 1 ELSE 0 END AS task, {_HOT}, length(text)::DOUBLE AS label_length, len(tokens)::DOUBLE AS token_count,
+  round(CASE WHEN len(tokens) > 0 THEN len(list_filter(tokens, lambda k: regexp_matches(k, '[0-9]')))::DOUBLE / len(tokens) ELSE 0 END, 6) AS numeric_fraction, CASE WHEN turn % 4 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS has_template, CASE WHEN turn % 4 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS has_equals,
+  CASE WHEN turn % 5 = 2 THEN 4 WHEN turn % 5 = 3 THEN 3 ELSE 2 END AS attr_count, CASE WHEN turn % 5 IN (2, 3) THEN 1 ELSE 0 END AS has_location FROM t""".replace("\\\\", "\\"))
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types are read from kind here: the label comes last of the four attributes that may name one."""
-    out = graph.node_features(*graphs(spark, sf_dir))
-    return out.select("graph_id", "node_id", "degree_in", "degree_out", "degree_total", "node_type", "task", "is_data", "label_length", "token_count", "attr_count", "has_location")
+    """Types are read from kind here: the label comes last of the four attributes that may name one. Some labels hold a template, some nodes a place."""
+    nodes, edges = graphs(spark, sf_dir)
+    turn = F.substr("node_id", F.lit(2)).cast("int")
+    label = F.when(turn % 4 == 1, F.concat(F.col("attrs")["label"], F.lit(" {{ a b }} = 7"))).otherwise(F.col("attrs")["label"])
+    place = F.when(turn % 5 == 2, F.create_map(F.lit("location"), F.lit("1:2"), F.lit("file"), F.lit("x.yml"))).when(turn % 5 == 3, F.create_map(F.lit("file"), F.lit("x.yml"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    nodes = nodes.withColumn("attrs", F.map_concat(F.create_map(F.lit("label"), label, F.lit("kind"), F.col("attrs")["kind"]), place))
+    return graph.node_features(nodes, edges).withColumn("numeric_fraction", F.round("numeric_fraction", 6))
 
 
 @query("g11_p23_coo", f"""WITH {GRAPH}, p AS (SELECT graph_id, node_id, (row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1)::INTEGER AS i FROM nodes)
@@ -102,6 +113,60 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs(spark, sf_dir)[0].groupBy(s.node_type(F.col("attrs")).alias("node_type")).agg(F.count("*").alias("n"))
 
 
+EDGE_KIND = "CASE WHEN contains(label, 'control') THEN 2 WHEN contains(label, 'guard') THEN 4 ELSE 0 END"
+
+
+@query("g12_edge_type_distribution", f"WITH {GRAPH} SELECT {EDGE_KIND} AS edge_type, count(*) AS n FROM edges GROUP BY 1")
+def g12_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs(spark, sf_dir)[1].groupBy(s.edge_type(F.col("attrs")).alias("edge_type")).agg(F.count("*").alias("n"))
+
+
+def graphml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_id, xml) of all graphs: every eleventh has no text, every seventh is cut off."""
+    nodes, edges = graphs(spark, sf_dir)
+    plain = lambda c: F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), plain(c), F.lit("</data>"))
+    a = nodes.groupBy("graph_id").agg(F.array_join(F.collect_list(F.concat(F.lit('<node id="'), "node_id", F.lit('">'), data("d0", F.col("attrs")["label"]), F.lit("</node>"))), "").alias("a"))
+    b = edges.groupBy("graph_id").agg(F.array_join(F.collect_list(F.concat(F.lit('<edge source="'), "src", F.lit('" target="'), "dst", F.lit('">'), data("d1", F.col("attrs")["label"]), F.lit("</edge>"))), "").alias("b"))
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="label" attr.type="string"/><key id="d1" for="edge" attr.name="label" attr.type="string"/><graph edgedefault="directed">'
+    whole = F.concat(F.lit(head), "a", F.coalesce("b", F.lit("")), F.lit("</graph></graphml>"))
+    k = F.col("graph_id")
+    return a.join(b, "graph_id", "left").select("graph_id", F.when(k % 11 == 0, F.lit(None)).when(k % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 9)).otherwise(whole).alias("xml"))
+
+
+@query("s05_graphml_edges", f"WITH {GRAPH} SELECT n.graph_id, n.graph_id % 7 = 0 AS bad, CASE WHEN n.graph_id % 7 > 0 THEN (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id) ELSE 0 END AS edges, CASE WHEN n.graph_id % 7 > 0 THEN (SELECT min(label) FROM edges e WHERE e.graph_id = n.graph_id) END AS first_label, CASE WHEN n.graph_id % 7 > 0 THEN (SELECT max(src || '>' || dst) FROM edges e WHERE e.graph_id = n.graph_id) END AS last_edge FROM (SELECT DISTINCT graph_id FROM nodes) n WHERE n.graph_id % 11 > 0")
+def s05_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written as GraphML and read back; a text that does not parse is marked and ends nothing."""
+    rows = read_graphml(graphml_texts(spark, sf_dir).where("xml IS NOT NULL"))
+    bad, edges = F.col("bad").isNotNull(), F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string,attrs:map<string,string>>>"))
+    return rows.select("graph_id", bad.alias("bad"), F.when(bad, F.array().cast("array<struct<src:string,dst:string,attrs:map<string,string>>>")).otherwise(edges).alias("e")).select(
+        "graph_id", "bad", F.size("e").cast("long").alias("edges"), F.array_min(F.transform("e", lambda x: x["attrs"]["label"])).alias("first_label"), F.array_max(F.transform("e", lambda x: F.concat(x["src"], F.lit(">"), x["dst"]))).alias("last_edge"))
+
+
+@query("g13_graph_sample_reasons", f"""WITH {GRAPH}, v AS (SELECT n.graph_id, count(*) AS vertices, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id) AS edges FROM nodes n GROUP BY 1)
+SELECT graph_id, CASE WHEN graph_id % 11 = 0 THEN 'graphml_path_missing' WHEN graph_id % 7 = 0 THEN 'graphml_parse_error' WHEN vertices < 3 THEN 'below_min_nodes_3' WHEN edges < 4 THEN 'below_min_edges_4' END AS reason FROM v""")
+def g13_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sample_reasons(graphml_texts(spark, sf_dir), min_edges=4).select("graph_id", "reason")
+
+
+@query("g15_relation_means", f"""WITH {DEGREES}, te AS (SELECT DISTINCT graph_id, src, dst, {EDGE_KIND} AS k FROM edges), r AS (SELECT te.graph_id, te.dst, te.k, avg(s.degree_out) AS x FROM te JOIN deg s ON s.graph_id = te.graph_id AND s.node_id = te.src GROUP BY 1, 2, 3),
+q AS (SELECT graph_id, dst, sum(x) AS x FROM r GROUP BY 1, 2) SELECT d.graph_id, d.node_id, round(d.degree_out + coalesce(q.x, 0), 6) AS x FROM deg d LEFT JOIN q ON q.graph_id = d.graph_id AND q.dst = d.node_id""")
+def g15_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graphs(spark, sf_dir)
+    f = graph.degrees(nodes, edges).select("graph_id", "node_id", F.col("degree_out").cast("double").alias("x"))
+    return graph.relation_means(f, edges, ["x"]).withColumn("x", F.round("x", 6))
+
+
+@query("g15_gin_two_hops", f"""WITH {DEGREES}, h1 AS (SELECT d.graph_id, d.node_id, d.degree_out + coalesce((SELECT sum(s.degree_out) FROM adj a JOIN deg s ON s.graph_id = a.graph_id AND s.node_id = a.src WHERE a.graph_id = d.graph_id AND a.dst = d.node_id), 0) AS x FROM deg d)
+SELECT d.graph_id, d.node_id, (d.x + coalesce((SELECT sum(s.x) FROM adj a JOIN h1 s ON s.graph_id = a.graph_id AND s.node_id = a.src WHERE a.graph_id = d.graph_id AND a.dst = d.node_id), 0))::DOUBLE AS x FROM h1 d""")
+def g15_gin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graphs(spark, sf_dir)
+    f, near = graph.degrees(nodes, edges).select("graph_id", "node_id", F.col("degree_out").cast("double").alias("x")), graph.adjacency(edges)
+    for _ in range(2):
+        f = graph.propagated(f, near, ["x"], "gin")
+    return f
+
+
 @query("g13_p15_p16_sample_reasons", f"""WITH {GRAPH}, v AS (SELECT n.graph_id, count(*) AS vertices, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id) AS edges FROM nodes n GROUP BY 1)
 SELECT graph_id, CASE WHEN vertices = 0 OR edges = 0 THEN 'EMPTY_GRAPH' WHEN vertices < 4 THEN 'nodes below minimum' WHEN edges < 5 THEN 'edges below minimum' ELSE 'SUCCESS' END AS status FROM v""")
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import profile
+from tidemark.operators import decisions, profile
 from tidemark.plans.audit_queries import JOINED, joined
 from tidemark.plans.registry import SAMPLES, query, samples, table
 
@@ -70,6 +70,24 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.monthly(samples(spark, sf_dir), "committed_at")
 
 
+DATED = f"{SAMPLES}, dated AS (SELECT CASE WHEN l_partkey % 8 = 0 THEN 'bad' WHEN l_partkey % 8 = 1 THEN NULL WHEN l_partkey % 50 = 2 THEN '1985-03-04 05:06:07' ELSE strftime(committed_at, '%Y-%m-%d %H:%M:%S') END AS said FROM samples)"
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_partkey")
+    return samples(spark, sf_dir).select(F.when(k % 8 == 0, "bad").when(k % 8 == 1, F.lit(None)).when(k % 50 == 2, "1985-03-04 05:06:07").otherwise(F.date_format("committed_at", "yyyy-MM-dd HH:mm:ss")).alias("said"))
+
+
+@query("a05_temporal_summary", f"WITH {DATED}, t AS (SELECT said, TRY_CAST(said AS TIMESTAMP) AS d FROM dated) SELECT count(*) FILTER (said IS NOT NULL AND d IS NULL) AS unparsable, min(d) AS first_at, max(d) AS last_at, count(*) FILTER (d > TIMESTAMP '1997-01-01') AS future, count(*) FILTER (year(d) < 1990) AS before_1990 FROM t")
+def a05_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.temporal_summary(dated(spark, sf_dir), "said", F.lit("1997-01-01").cast("timestamp"))
+
+
+@query("a05_years", f"WITH {DATED}, t AS (SELECT TRY_CAST(said AS TIMESTAMP) AS d FROM dated) SELECT year(d)::INTEGER AS year, count(*) AS rows FROM t WHERE d IS NOT NULL GROUP BY 1")
+def a05_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.yearly(dated(spark, sf_dir), "said")
+
+
 @query("a06_a14_numeric_profile", f"""WITH {PROFILE} SELECT col AS "column", cnt AS count, round(mean, 4) AS mean, round(sqrt(var), 4) AS std, mn AS min, q25, med AS median, q75, mx AS max, missing, infinite, negative, zero, round(zero / cnt, 6) AS zero_ratio, round(var, 2) AS variance, round(top / cnt, 6) AS dominant_ratio, round(missing / n, 6) AS missing_ratio FROM prof""")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profile.numeric_profile(with_gaps(spark, sf_dir), GAP_COLUMNS)
@@ -99,6 +117,25 @@ def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.coverage(joined(spark, sf_dir), F.col("reason").isNull()), "ratio")
 
 
+@query("a09_coverage_by_metrics", f"""WITH {JOINED}, k AS (SELECT *, CASE WHEN coalesce(nodes, 0) <> 0 OR coalesce(TRY_CAST(CASE WHEN edges % 3 = 0 THEN 'x' ELSE CAST(edges AS VARCHAR) END AS DOUBLE), 0) <> 0 THEN 1 ELSE 0 END AS ok FROM joined)
+SELECT CASE grouping_id(label, repository) WHEN 3 THEN 'all' WHEN 1 THEN 'label' ELSE 'repository' END AS section, coalesce(CAST(label AS VARCHAR), repository, '*') AS key, count(*) AS rows, sum(ok)::BIGINT AS valid, round(sum(ok) / count(*), 6) AS ratio FROM k GROUP BY GROUPING SETS ((), (label), (repository))""")
+def a09_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no column tells the status: rows with any metric that is a number other than 0."""
+    rows = joined(spark, sf_dir).withColumn("said", F.when(F.col("edges") % 3 == 0, "x").otherwise(F.col("edges").cast("string")))
+    return rounded(profile.coverage(rows, profile.metric_validity(rows, ["nodes", "said"])), "ratio")
+
+
+@query("a10_usable_graphs_by_file", f"""WITH {JOINED}, f AS (SELECT DISTINCT '/data/g' || l_partkey || '.xml' AS file FROM lineitem WHERE l_suppkey % 4 > 0), g AS (SELECT *, CASE WHEN l_partkey % 6 = 0 THEN '  ' ELSE '/data/g' || l_partkey || '.xml' END AS path FROM joined),
+k AS (SELECT repository, label, coalesce(CASE WHEN trim(path) <> '' AND graph_status = 'SUCCESS' AND path IN (SELECT file FROM f) THEN 1 ELSE 0 END, 0) AS ok FROM g), r AS (SELECT repository, max(ok) AS m FROM k GROUP BY 1)
+SELECT 'overall' AS section, 'usable_graphs' AS key, sum(ok)::DOUBLE AS value FROM k UNION ALL SELECT 'overall', 'usable_graph_ratio', round(sum(ok) / count(*), 6) FROM k UNION ALL SELECT 'label', '0', sum(ok) FILTER (label = 0) FROM k UNION ALL SELECT 'label', '1', sum(ok) FILTER (label = 1) FROM k
+UNION ALL SELECT 'repositories', 'represented', sum(m) FROM r UNION ALL SELECT 'repositories', 'excluded', sum(1 - m) FROM r""")
+def a10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("/data/g"), "l_partkey", F.lit(".xml"))
+    rows = joined(spark, sf_dir).withColumn("path", F.when(F.col("l_partkey") % 6 == 0, "  ").otherwise(name)).drop("status").withColumnRenamed("graph_status", "status")
+    files = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 > 0").select(name.alias("file")).distinct()
+    return rounded(profile.usable_graphs(decisions.resolved_paths(rows, files, "/none")), "value")
+
+
 @query("a10_usable_graphs", f"WITH {JOINED}, r AS (SELECT repository, count(*) FILTER (graph_status = 'SUCCESS') AS usable, count(*) AS rows FROM joined GROUP BY 1) SELECT sum(usable)::BIGINT AS usable, sum(rows)::BIGINT AS rows, count(*) FILTER (usable > 0) AS represented, count(*) FILTER (usable = 0) AS excluded_repositories FROM r")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = joined(spark, sf_dir).groupBy("repository").agg(F.count_if(F.col("graph_status") == "SUCCESS").alias("usable"), F.count("*").alias("rows"))
@@ -120,6 +157,24 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.correlations(with_gaps(spark, sf_dir), ["quantity", "price", "tax"]), "pearson", "spearman", "equal_ratio")
 
 
+_STRONG = {"quantity": "quantity", "twice": "quantity * 2", "near": "CASE WHEN l_orderkey % 1000 = 3 THEN quantity + 1 ELSE quantity END", "cubed": "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE quantity * quantity * quantity END", "tax": "tax"}
+
+
+def _strong_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(_STRONG) for b in list(_STRONG)[i + 1 :]]
+    long = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y FROM w" for a, b in pairs)
+    return f"""WITH {SAMPLES}, w AS (SELECT {', '.join(f'({x})::DOUBLE AS {c}' for c, x in _STRONG.items()).replace('l_orderkey', 'o_orderkey')} FROM samples), p AS ({long}), q AS (SELECT a, b, avg(CASE WHEN x IS NOT DISTINCT FROM y THEN 1.0 ELSE 0.0 END::DOUBLE) AS equal_ratio FROM p GROUP BY 1, 2),
+k AS (SELECT a, b, x, y, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+c AS (SELECT a, b, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM k GROUP BY 1, 2)
+SELECT a, b, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(greatest(abs(pearson), abs(spearman)), 6) AS max_abs, round(equal_ratio, 6) AS equal_ratio, equal_ratio > 0.99 AS near_duplicate FROM c JOIN q USING (a, b) WHERE greatest(abs(pearson), abs(spearman)) > 0.95"""
+
+
+@query("a12_strong_pairs", _strong_sql())
+def a12_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).selectExpr(*(f"CAST({x.replace('l_orderkey', 'o_orderkey')} AS DOUBLE) AS {c}" for c, x in _STRONG.items()))
+    return rounded(profile.strong_pairs(profile.correlations(rows, list(_STRONG))), "pearson", "spearman", "max_abs", "equal_ratio")
+
+
 @query("a13_a16_value_counts", f"WITH {JOINED} SELECT coalesce(graph_status, 'MISSING_STATUS') AS value, count(*) AS n FROM joined GROUP BY 1")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(joined(spark, sf_dir), "graph_status", "MISSING_STATUS")

@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.audit import first_of_key
+from tidemark.operators.ranks import numbered_rows
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
     """Headed CSV under a schema; a byte-order mark before the first name is no part of it."""
     return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", enforceSchema=True)
 
 
+def text_rows(spark: SparkSession, path: str | list[str], order: list[str], *, limit: int | None = None) -> DataFrame:
+    """Headed CSV with all columns as text, a byte-order mark taken off the first name, and row_index, the 1-based place
+    by order, which has to tell rows apart (files have no order of their own); the first limit rows, if given."""
+    rows = spark.read.csv(path, header=True, encoding="UTF-8", inferSchema=False)
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    out = numbered_rows(rows, order)
+    return out if limit is None else out.where(F.col("row_index") <= limit)
+
+
+def union_files(spark: SparkSession, paths: dict[str, str], name: str = "run") -> DataFrame:
+    """The headed CSV files or folders of several runs, one after the other, with the run's name in front. All have
+    the columns of the first: further or missing ones raise."""
+    out = columns = None
+    for run, path in paths.items():
+        rows = spark.read.csv(path, header=True, inferSchema=False)
+        columns = columns or rows.columns
+        if rows.columns != columns:
+            raise ValueError(f"{run} has columns {rows.columns}, not {columns}")
+        rows = rows.select(F.lit(run).alias(name), *(F.col(f"`{c}`") for c in columns))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def repo_list(lines: DataFrame) -> DataFrame:
     """(at, url, branch) from (at, value) lines `url[, branch]`: blanks and # lines skipped, branch master
     where none is given, the first line of each pair."""
@@ -31,6 +56,7 @@ def typed_samples(raw: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, *, force: bool = False, fmt: str = "parquet", by: list[str] | None = None) -> None:
     """Written whole or not at all; an existing table only with force."""
     w = df.write.mode("overwrite" if force else "errorifexists").format(fmt)
+    w = w.option("header", True) if fmt == "csv" else w
     (w.partitionBy(*by) if by else w).save(path)
 
 
