@@ -6,12 +6,14 @@ graphs together and stop when nothing changes; each round is written to the shar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
 from tidemark.operators.audit import first_reason
-from tidemark.shared import stored
+from tidemark.shared import discard, stored
 from tidemark.sources.readers import read_graphml
 
 NODE = ["graph_id", "node_id"]
@@ -53,16 +55,29 @@ def direct_fans(tasks: DataFrame, adjacent: DataFrame) -> DataFrame:
     return graphs.join(into, "graph_id", "left").join(out, "graph_id", "left").select("graph_id", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
+def closure(starts: DataFrame, adjacent: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node_id): starts, and what is reached from them along edges.
+
+    Each round goes as far as two to the number of rounds before it, and writes only what is new."""
+    near = adjacent.select("graph_id", "src", "dst")
+    rounds, paths = [stored(starts.select(*keys, "node_id").distinct())], []
+    while True:
+        seen = reduce(DataFrame.unionByName, rounds)
+        step = seen.join(near.withColumnRenamed("src", "node_id"), NODE).select(*keys, F.col("dst").alias("node_id")).distinct()
+        new = stored(step.join(seen, [*keys, "node_id"], "left_anti"))
+        if not new.limit(1).count():
+            discard(new, *paths)
+            return seen
+        rounds.append(new)
+        half = near.select("graph_id", "src", F.col("dst").alias("_by")).join(near.select("graph_id", F.col("src").alias("_by"), "dst"), ["graph_id", "_by"])
+        near = stored(near.unionByName(half.select("graph_id", "src", "dst")).distinct())
+        discard(*paths)
+        paths = [near]
+
+
 def reachable(starts: DataFrame, adjacent: DataFrame) -> DataFrame:
     """(graph_id, start, node_id): what each start reaches, itself never included."""
-    seen = stored(starts.select("graph_id", F.col("node_id").alias("start"), "node_id"))
-    front = seen
-    while True:
-        step = front.join(adjacent.withColumnRenamed("src", "node_id"), NODE).select("graph_id", "start", F.col("dst").alias("node_id")).distinct()
-        front = stored(step.join(seen, ["graph_id", "start", "node_id"], "left_anti"))
-        if not front.limit(1).count():
-            return seen.where("start != node_id")
-        seen = stored(seen.unionByName(front))
+    return closure(starts.select("graph_id", F.col("node_id").alias("start"), "node_id"), adjacent, ["graph_id", "start"]).where("start != node_id")
 
 
 def reversed_edges(adjacent: DataFrame) -> DataFrame:
@@ -82,14 +97,7 @@ def indirect_fans(tasks: DataFrame, adjacent: DataFrame) -> DataFrame:
 
 def spread(starts: DataFrame, adjacent: DataFrame) -> DataFrame:
     """(graph_id, node_id): starts and all they reach, from all starts at once."""
-    seen = stored(starts.select(*NODE).distinct())
-    front = seen
-    while True:
-        step = front.join(adjacent.withColumnRenamed("src", "node_id"), NODE).select("graph_id", F.col("dst").alias("node_id")).distinct()
-        front = stored(step.join(seen, NODE, "left_anti"))
-        if not front.limit(1).count():
-            return seen
-        seen = stored(seen.unionByName(front))
+    return closure(starts, adjacent, ["graph_id"])
 
 
 def global_ends(nodes: DataFrame, tasks: DataFrame, adjacent: DataFrame) -> DataFrame:
@@ -106,15 +114,26 @@ def global_ends(nodes: DataFrame, tasks: DataFrame, adjacent: DataFrame) -> Data
 
 
 def components(nodes: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """(graph_id, node_id, label): the least node of each node's weakly connected component."""
+    """(graph_id, node_id, label): the least node of each node's weakly connected component.
+
+    Each round a node takes the least label among its neighbours', and then its label's label, so that
+    chains shrink by more than half a round; each round's table is deleted once the next is written."""
     both = stored(adjacent.unionByName(reversed_edges(adjacent)).where("src != dst").distinct())
-    now = stored(nodes.select(*NODE, F.col("node_id").alias("label")))
+    now = stored(nodes.select(*NODE, F.col("node_id").alias("label"), F.lit(True).alias("_moved")))
     while True:
-        near = both.join(now.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("label").alias("_least"))
-        new = stored(now.join(near, NODE, "left").select(*NODE, F.coalesce(F.least("label", "_least"), "label").alias("label"), (F.col("_least") < F.col("label")).alias("_moved")))
-        now = new.drop("_moved")
-        if not new.where("_moved").limit(1).count():
-            return now
+        near = both.join(now.select("graph_id", F.col("node_id").alias("src"), "label"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("label").alias("_least"))
+        hooked = now.select(*NODE, "label").join(near, NODE, "left").select(*NODE, "label", F.coalesce(F.least("label", "_least"), "label").alias("_to"))
+        # a root that one of its members knows a lesser label for follows it: trees hook onto trees, not leaf by leaf
+        roots = hooked.groupBy("graph_id", F.col("label").alias("node_id")).agg(F.min("_to").alias("_root"))
+        hooked = hooked.join(roots, NODE, "left").select(*NODE, "label", F.least("_to", F.coalesce("_root", "_to")).alias("_to"))
+        hooked = stored(hooked)
+        jump = hooked.select("graph_id", F.col("node_id").alias("_to"), F.col("_to").alias("_further"))
+        new = stored(hooked.join(jump, ["graph_id", "_to"]).select(*NODE, F.col("_further").alias("_new"), "label").select(*NODE, F.col("_new").alias("label"), (F.col("_new") != F.col("label")).alias("_moved")))
+        discard(now, hooked)
+        now = new
+        if not now.where("_moved").limit(1).count():
+            discard(both)
+            return now.drop("_moved")
 
 
 def lack_of_cohesion(nodes: DataFrame, tasks: DataFrame, adjacent: DataFrame) -> DataFrame:

@@ -30,11 +30,21 @@ def fixed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as a Parquet table and read again: columnar, for what is read more than once."""
+    """df written to the shared folder as a Parquet table and read again: columnar, for what is read more than once.
+    discard() takes it away when nothing that is still to be computed reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote for these."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -50,6 +60,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def bounded_batches(spark: SparkSession, records: int = 2_000, size: int = 8_000_000) -> None:
-    """Arrow batches of so many rows and bytes at most, so that long texts do not fill a Python worker."""
+    """Arrow batches of so many rows and bytes at most, so that long texts do not fill a Python worker. The setting
+    has to hold when the result is computed, which is after the operator returns, so it stays in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
