@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.shared import bounded_batches, fixed, stored
+from tidemark.shared import bounded_batches, discard, fixed, stored
 
 SHINGLE = 5
 #: Similarity of at least three quarters.
@@ -243,12 +243,11 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     return named.drop("_n"), groups
 
 
-def mixed_lists(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, _group, at, _n, lo, hi) of the tokens whose groups are not all in one component, and (token, _many)."""
+def mixed_lists(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(token, _group, at, _n, lo, hi, _many) of the tokens whose groups are not all in one component, stored."""
     lists = shared.select("token", "_group", "at").join(groups.drop("_many"), "_group")
     mixed = lists.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.count("*").alias("_many")).where("x != y")
-    lists = stored(lists.join(mixed.select("token", "_many"), "token"))
-    return lists.drop("_many"), lists.select("token", "_many").distinct()
+    return stored(lists.join(mixed.select("token", "_many"), "token"))
 
 
 def one_partner_each(shared: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
@@ -258,7 +257,7 @@ def one_partner_each(shared: DataFrame, named: DataFrame, groups: DataFrame) ->
     are of one component, then expanded to them. A group of several components is a list too."""
     parts = named.join(groups.select("_group", "_n", "lo", "hi"), "_group").groupBy("_group", "label").agg(F.min("node").alias("rep"), F.first("_n").alias("_n"), F.first(F.col("lo") < F.col("hi")).alias("mixed"))
     lists = shared.select("token", "_group").join(parts, "_group").select("token", "_group", "label", "rep", "_n")
-    lists = stored(lists.unionByName(parts.where("mixed").select(F.col("_group").alias("token"), "_group", "label", "rep", "_n")))
+    lists = lists.unionByName(parts.where("mixed").select(F.col("_group").alias("token"), "_group", "label", "rep", "_n"))
     firsts = lists.groupBy("token", "label").agg(F.min(F.struct("rep", "_n")).alias("f"))
     ends = firsts.groupBy("token").agg(F.min(F.struct("f", "label")).alias("x"), F.max(F.struct("f", "label")).alias("y")).where("x.label != y.label")
     rows = lists.join(ends, "token").withColumn("p", F.when(F.col("label") != F.col("x.label"), F.col("x.f")).otherwise(F.col("y.f")))
@@ -266,7 +265,7 @@ def one_partner_each(shared: DataFrame, named: DataFrame, groups: DataFrame) ->
     return ordered_pairs(named.join(chosen, ["_group", "label"]).select(F.col("node").alias("a"), "b"))
 
 
-def group_pairs(lists: DataFrame, counts: DataFrame) -> DataFrame:
+def group_pairs(lists: DataFrame) -> DataFrame:
     """(g, h): pairs of groups that share a prefix shingle and are not in one component, filtered by
     size and by what the places of the shingle leave possible."""
     left, right = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("_group", "lo", "hi", "_n", "at"))) for x in "ab")
@@ -274,6 +273,7 @@ def group_pairs(lists: DataFrame, counts: DataFrame) -> DataFrame:
     most = F.least(F.col("_n_a") - F.col("at_a"), F.col("_n_b") - F.col("at_b"))
     fits = (most * (NUM + DEN) >= (F.col("_n_a") + F.col("_n_b")) * NUM) & sizes_fit("_n_a", "_n_b")
     apart = (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")) & (F.col("_group_a") < F.col("_group_b"))
+    counts = lists.select("token", "_many").distinct()
     return paired(left, right, ["token"], counts).where(apart & fits).select(F.col("_group_a").alias("g"), F.col("_group_b").alias("h")).distinct()
 
 
@@ -327,13 +327,21 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # then one partner in another component for each group, some times over, and at last all that is left
     for last in (*[False] * PARTNER_ROUNDS, True):
         named, groups = map(stored, labelled(nodes, labels))
-        pairs = expanded(stored(group_pairs(*mixed_lists(shared, groups))), named, groups) if last else one_partner_each(shared, named, groups)
+        if last:
+            lists = mixed_lists(shared, groups)
+            found = stored(group_pairs(lists))
+            discard(lists)
+            pairs = expanded(found, named, groups)
+        else:
+            pairs = one_partner_each(shared, named, groups)
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
+        discard(named, groups)
         more = stored(verified(pairs, texts))
         done = done.unionByName(pairs)
         if more.limit(1).count():
             edges = edges.unionByName(more)
             labels = stored(components(edges))
+    discard(shared, found)
 
     ids = nodes.select("_set", "node").join(labels, "node", "left").select(F.col("_set").alias("_of"), F.coalesce("label", "node").alias("_label"))
     named = base.select("_id", "_hash", "_n", "_set").join(ids, F.col("_set") == F.col("_of"), "left")
