@@ -361,6 +361,14 @@ def test_op7_round_trip(spark):
     assert op7_chat.digests(op7_chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_op7_long_text(spark):
+    long = "<|im_end|> é\n" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (r,) = op7_chat.digests(op7_chat.format_conversations(df)).collect()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+
+
 def test_op8_windows(spark):
     cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if w]
     rng = random.Random(4)
