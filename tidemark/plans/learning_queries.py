@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import evaluate, graph, models, prep, splits
+from tidemark.operators import evaluate, graph, linear, models, prep, splits
 from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
@@ -232,11 +232,9 @@ RUNS = [
 ]
 
 
-def sweep(spark: SparkSession, sf_dir: str, runs: list[tuple]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Balance, impute, scale, select and fit naive Bayes on every valid split of every run in one keyed job.
-
-    (splits: threshold, split_id of valid ones, reason), (models: run, split_id, used features) and (test rows: run,
-    split_id, sample_id, y_true, y_score, y_pred). Rows count each, equal ones too."""
+def swept_members(spark: SparkSession, sf_dir: str, runs: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(splits: threshold, split_id, reason) and members of the valid ones, at every threshold of the runs. Rows count
+    each, equal ones too."""
     same = Window.partitionBy("commit", "filepath", "l_partkey", "l_suppkey", "quantity").orderBy("price", "discount", "tax", "label")
     rows = samples(spark, sf_dir).withColumn("_nth", F.row_number().over(same))
     sizes = status(spark, sf_dir).select("repository", "commit", "filepath", "nodes", "edges")
@@ -250,7 +248,15 @@ def sweep(spark: SparkSession, sf_dir: str, runs: list[tuple]) -> tuple[DataFram
     all_splits = found.select(F.substring_index("repository", "|", 1).alias("threshold"), name.alias("split_id"), "reason")
     part = splits.members(rows, found).withColumn("price", F.expr("CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE price END"))
     part = part.withColumn("sample_id", F.concat_ws("::", "commit", "filepath", "l_partkey", "l_suppkey", "quantity", "_nth"))
-    part = stored(part.select("threshold", "split_id", "partition", "sample_id", "label", *GRAPH_FEATURES))
+    return all_splits, stored(part.select("threshold", "split_id", "partition", "sample_id", "label", *GRAPH_FEATURES))
+
+
+def sweep(spark: SparkSession, sf_dir: str, runs: list[tuple]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Balance, impute, scale, select and fit naive Bayes on every valid split of every run in one keyed job.
+
+    (splits: threshold, split_id of valid ones, reason), (models: run, split_id, used features) and (test rows: run,
+    split_id, sample_id, y_true, y_score, y_pred)."""
+    all_splits, part = swept_members(spark, sf_dir, runs)
     keys = ["strategy", "seed", "threshold", "split_id"]
     fits = None
     for strategy, seed in dict.fromkeys(x[2:4] for x in runs):
@@ -277,6 +283,23 @@ def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(test.select(F.substring_index("split_id", "|", -1).alias("split_id"), "sample_id", "y_true", "y_score", "y_pred"), "y_score", places=4)
 
 
+@query("m06_m08_walk_forward_linear")
+def m08_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test metrics of logistic regression and a linear SVM on every valid split: balance, impute, scale and fit, all
+    splits in one keyed job."""
+    _, part = swept_members(spark, sf_dir, [BASE])
+    train = prep.balanced(part.where("partition = 'train'"), "random_oversampling")
+    fits = stored(prep.ranked_bayes(train, FEATURES, ["split_id"])).select("split_id", "ranked")
+    ready = lambda rows: rows.join(fits, "split_id").select("split_id", F.col("label").alias("y_true"), "label", linear.scaled(FEATURES).alias("x"))
+    train, test, out = stored(ready(train)), ready(part.where("partition = 'test'")), None
+    for kind in linear.LOSSES:
+        weights = linear.fit_linear(train, ["split_id"], len(FEATURES) + 1, kind)
+        scored = linear.score_linear(test, weights, ["split_id"]).withColumn("model", F.lit(kind))
+        out = scored if out is None else out.unionByName(scored)
+    split = F.substring_index("split_id", "|", -1)
+    return evaluate.metrics(out.withColumn("split_id", split), ["model", "split_id"])
+
+
 @query("a21_v14_feature_family_sweep")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled metrics, rates, valid and skipped splits and feature usage of each run: a configuration column through one job."""
