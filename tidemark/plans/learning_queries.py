@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import evaluate, graph, linear, models, prep, splits
+from tidemark.operators import evaluate, graph, linear, models, prep, splits, trees
 from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
@@ -300,6 +300,28 @@ def m08_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(out.withColumn("split_id", split), ["model", "split_id"])
 
 
+#: Trees, and features each node looks at (0: all), of the models of every split.
+TREES = {"decision_tree": (1, 0), "random_forest": (10, 2)}
+
+
+@query("m06_m08_m09_walk_forward_trees")
+def m08_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test metrics of a decision tree and a random forest on every valid split: balance, impute and fit all splits level
+    by level in one keyed job, each cut at the depth of 1 to 5 that scores best on its validation rows."""
+    _, part = swept_members(spark, sf_dir, [BASE])
+    train = prep.balanced(part.where("partition = 'train'"), "random_oversampling")
+    fits = stored(prep.ranked_bayes(train, FEATURES, ["split_id"])).select("split_id", "ranked")
+    ready = lambda rows: rows.join(fits, "split_id").select("split_id", "partition", "sample_id", "label", linear.scaled(FEATURES).alias("x"))
+    train, held, out = stored(ready(train)), stored(ready(part.where("partition <> 'train'"))), None
+    for kind, (count, features) in TREES.items():
+        scored = stored(trees.tree_scores(held, trees.fit_trees(train, ["split_id"], len(FEATURES) + 1, count, features=features), ["split_id"]))
+        best = trees.best_depth(scored.where("partition = 'validation'"), ["split_id"])
+        test = scored.where("partition = 'test'").join(best, "split_id").withColumn("y_score", F.col("by_depth")[F.col("depth")])
+        test = test.select(F.lit(kind).alias("model"), F.substring_index("split_id", "|", -1).alias("split_id"), F.col("label").alias("y_true"), "y_score", F.when(F.col("y_score") >= 0.5, 1).otherwise(0).alias("y_pred"))
+        out = test if out is None else out.unionByName(test)
+    return evaluate.metrics(out, ["model", "split_id"])
+
+
 @query("a21_v14_feature_family_sweep")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled metrics, rates, valid and skipped splits and feature usage of each run: a configuration column through one job."""
