@@ -311,10 +311,10 @@ def m08_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, part = swept_members(spark, sf_dir, [BASE])
     train = prep.balanced(part.where("partition = 'train'"), "random_oversampling")
     fits = stored(prep.ranked_bayes(train, FEATURES, ["split_id"])).select("split_id", "ranked")
-    ready = lambda rows: rows.join(fits, "split_id").select("split_id", "partition", "sample_id", "label", linear.scaled(FEATURES).alias("x"))
+    ready = lambda rows: rows.join(fits, "split_id").select("split_id", "partition", "sample_id", "label", F.slice(linear.scaled(FEATURES), 2, len(FEATURES)).alias("x"))
     train, held, out = stored(ready(train)), stored(ready(part.where("partition <> 'train'"))), None
     for kind, (count, features) in TREES.items():
-        scored = stored(trees.tree_scores(held, trees.fit_trees(train, ["split_id"], len(FEATURES) + 1, count, features=features), ["split_id"]))
+        scored = stored(trees.tree_scores(held, trees.fit_trees(train, ["split_id"], len(FEATURES), count, features=features), ["split_id"]))
         best = trees.best_depth(scored.where("partition = 'validation'"), ["split_id"])
         test = scored.where("partition = 'test'").join(best, "split_id").withColumn("y_score", F.col("by_depth")[F.col("depth")])
         test = test.select(F.lit(kind).alias("model"), F.substring_index("split_id", "|", -1).alias("split_id"), F.col("label").alias("y_true"), "y_score", F.when(F.col("y_score") >= 0.5, 1).otherwise(0).alias("y_pred"))
