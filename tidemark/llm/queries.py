@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_ngram_join, op2_tokens, op3_quality, op4_html, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc
+from tidemark.llm import op1_ngram_join, op2_tokens, op3_quality, op4_html, op5_urls, op6_mixing, op7_chat, op8_decontamination, op9_sharding, op10_warc, op11_rtree, op12_bitplanes, op13_digest_index
 from tidemark.llm.text import n_words, utf8_bytes
 from tidemark.shared import stored
 
@@ -175,6 +175,56 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op11_rtree.mine_hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op12_bitplanes.cluster_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op12_sql() -> str:
+    sql = """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS k, x FROM v QUALIFY k < 16),
+"""
+    for i in range(4):
+        sql += f"""a{i} AS MATERIALIZED (SELECT vec_id, v.x, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i} c
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1),
+"""
+        if i < 3:
+            sql += f"""m{i} AS (SELECT k, list(m ORDER BY j) AS x FROM (SELECT k, j, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT k, unnest(range(64)) AS j, unnest(x) AS e FROM a{i}) GROUP BY k, j) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (k)),
+"""
+    return sql.rstrip(",\n") + """
+SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a3 JOIN c3 c USING (k)"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_digest_index.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, (count(*) OVER (PARTITION BY t))::BIGINT AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_similar_documents": op1_similar_documents,
     "op2_token_counts": op2_token_counts,
@@ -186,5 +236,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding_query,
     "op10_warc_zstd": op10_warc_zstd,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_clusters": op12_clusters,
+    "op13_exact_dedup": op13_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op1_similar_documents": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_warc_zstd": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_similar_documents": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_warc_zstd": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL, "op12_clusters": _op12_sql(), "op13_exact_dedup": OP13_SQL,
+}
