@@ -27,6 +27,8 @@ from tidemark.shared import bounded_batches, discard, stored
 
 #: Rows of a leaf, children of a node, and rows of a slab, which one task holds (64 coordinates: some 50 MB).
 LEAF, FANOUT, SLAB = 128, 8, 100_000
+#: A row's place in its slab is its leaf's number and its place there, in so many low bits.
+PLACE_BITS = 20
 #: Anchors that a task takes through its slab at once.
 BLOCK = 512
 FAR = 1 << 62
@@ -44,7 +46,7 @@ class Slab:
         at, self.ids, self.labels, x, low, high = zip(*leaves, strict=True)
         low, high = np.stack(low), np.stack(high)
         self.x = [v.reshape(len(i), low.shape[1]) for v, i in zip(x, self.ids, strict=True)]
-        self.place = [k * LEAF + np.arange(len(i)) for k, i in zip(at, self.ids, strict=True)]
+        self.place = [(k << PLACE_BITS) + np.arange(len(i)) for k, i in zip(at, self.ids, strict=True)]
         first, last = np.array([k.min() for k in self.labels]), np.array([k.max() for k in self.labels])
         self.levels = [(low, high, first, last)]
         while len(self.levels[-1][0]) > 1:
@@ -127,7 +129,7 @@ class Found:
         return anchor, window, self.score[anchor, window, k], self.id[anchor, window, k], self.place[anchor, window, k]
 
 
-def tiled(x: np.ndarray, rows: np.ndarray, coordinates: list[int], leaf: int = LEAF) -> Iterator[np.ndarray]:
+def tiled(x: np.ndarray, rows: np.ndarray, coordinates: list[int], leaf: int) -> Iterator[np.ndarray]:
     """rows in tiles of up to leaf: sorted by the first coordinate and cut into as many slabs as make the tiles near cubes, each tiled by the others."""
     pages = math.ceil(len(rows) / leaf)
     if pages <= 1:
@@ -163,7 +165,7 @@ def packed(rows: DataFrame) -> tuple[DataFrame, int]:
             spread = x.max(axis=0) - x.min(axis=0) if size else np.zeros(0)
             wide = sorted(range(size), key=lambda j: -spread[j])
             for label in np.unique(labels):
-                for tile in tiled(x, np.flatnonzero(labels == label), wide):
+                for tile in tiled(x, np.flatnonzero(labels == label), wide, LEAF):
                     y = x[tile]
                     yield pd.DataFrame({
                         "slab": [group["slab"].iloc[0]], "kind": 0, "at": at, "ids": [ids[tile]], "labels": [labels[tile]], "x": [y.ravel()],
@@ -252,7 +254,7 @@ def mine_hard_negatives(
     discard(rows)
     one = leaves.where(F.size("anchors") > 0).select("slab", "at", "ids", "labels", "x", F.size("low").alias("size"), F.explode("anchors").alias("j"))
     item = lambda c: F.get(c, F.col("j"))
-    anchors = one.select(F.col("slab").cast("long").alias("home"), (F.col("at") * LEAF + F.col("j")).alias("place"), item("ids").alias("anchor_id"), item("labels").alias("label"), F.slice("x", F.col("j") * F.col("size") + 1, F.col("size")).alias("x"))
+    anchors = one.select(F.col("slab").cast("long").alias("home"), (F.shiftleft("at", PLACE_BITS) + F.col("j")).alias("place"), item("ids").alias("anchor_id"), item("labels").alias("label"), F.slice("x", F.col("j") * F.col("size") + 1, F.col("size")).alias("x"))
     anchors = stored(anchors)
 
     def sent(to: Column, low: Column, high: Column, rows: DataFrame = anchors) -> DataFrame:
