@@ -168,6 +168,19 @@ def test_op3_base_rules_and_verdict(spark, texts):
     assert op3_quality.judge(documents(spark, ["x"]).limit(0), trusted).count() == 0
 
 
+def test_op8_common_phrase(spark):
+    """One phrase over and over in 50 items and in one long document: the places grow with the text, and not with their product."""
+    phrase = "all rights reserved by the owner of this page and no one else ".split()
+    items = [(i, " ".join(phrase * 15 + [f"item{i}"] * 5)) for i in range(50)]
+    took = []
+    for n in (2_500, 20_000):
+        began = time.time()
+        (row,) = op8_decontamination.decontaminate(spark.createDataFrame([(1, " ".join(phrase * (n // len(phrase))))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        took.append(time.time() - began)
+        assert (row.n_words, row.n_hit, row.n_items) == (n // len(phrase) * len(phrase),) * 2 + (50,)
+    assert took[1] < 20
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies, many of them, on all of these pages here.</div><article><header><h1>Title &amp; more</h1></header><p><b>First
   paragraph<br><p>Second&nbsp;one, <a href="x">linked</a> text.<ul><li>one<li>two</ul><div class="ad">Buy things now</div><form><p>Sign up</p></form></article>

@@ -252,7 +252,7 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     The result is read_archives(): one row for each row of pages. Null html is an empty payload, null
     ids and urls are left out of the record and come back null, texts may be of any length that fits a
-    cell, an empty table makes no archive, and further columns are dropped. Rows of the same page_id,
+    cell, an empty table makes no archive, and further columns are dropped. Ids are whole numbers. Rows of the same page_id,
     url and payload are the same capture; where it is the first of its payload all are responses.
     """
     spark = pages.sparkSession

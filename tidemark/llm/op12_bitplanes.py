@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import others
 from tidemark.shared import bounded_batches, discard, stored
 
 SIZE = 64
@@ -132,8 +133,8 @@ def cluster_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     """
     spark = df.sparkSession
     bounded_batches(spark, 10_000)
-    results = ("cluster", "distance", "cluster_inertia", "inertia", "centroid")
-    own = F.struct(*(F.col(f"`{c}`") for c in keep or df.columns if c.lower() not in results)).alias("_row")
+    results = ["cluster", "distance", "cluster_inertia", "inertia", "centroid"]
+    own = F.struct(*others(df, results, keep)).alias("_row")
     kept = df.select(own, F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vector_col}`").alias("_v")).where(usable(F.col("_v"), scale))
     rows = stored(packed(kept, scale))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("_id").cast("string")), 256)

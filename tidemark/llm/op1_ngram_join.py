@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import others
 from tidemark.shared import bounded_batches, discard, fixed, stored
 
 SHINGLE = 5
@@ -298,9 +299,10 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     than five words are one shingle. Texts may be of any length. Rows that share an id are one
     document, which has the links of all its texts. A row without an id gets the component of a row of
     the same shingles that has one, else null, and links nothing else. An empty table stays empty.
-    Columns of df named as the results are replaced; keep lists the columns of df to return.
+    Ids are whole numbers, or texts of such. Columns of df named as the results are replaced, in any
+    case of letters; others may have any names; keep lists the columns of df to return.
     """
-    keep = [c for c in (keep or df.columns) if c not in RESULTS]
+    alone = (keep or df.columns) == [id_col]
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
@@ -346,8 +348,8 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = nodes.select("_set", "node").join(labels, "node", "left").select(F.col("_set").alias("_of"), F.coalesce("label", "node").alias("_label"))
     named = base.select("_id", "_hash", "_n", "_set").join(ids, F.col("_set") == F.col("_of"), "left")
     result = named.select("_id", "_hash", F.col("_n").alias("n_shingles"), F.coalesce("_label", "_id").alias("component_id"))
-    if keep == [id_col]:  # nothing to carry along, so the rows are already there
+    if alone:  # nothing to carry along, so the rows are already there
         return result.select(F.col("_id").cast(df.schema[id_col].dataType).alias(id_col), *RESULTS)
-    rows = df.select(F.struct(*keep).alias("_row"), F.col(id_col).cast("long").alias("_of"), F.xxhash64(text).alias("_digest"))
+    rows = df.select(F.struct(*others(df, RESULTS, keep)).alias("_row"), F.col(id_col).cast("long").alias("_of"), F.xxhash64(text).alias("_digest"))
     result = result.distinct()
     return rows.join(result, rows["_of"].eqNullSafe(result["_id"]) & (rows["_digest"] == result["_hash"])).select("_row.*", *RESULTS)

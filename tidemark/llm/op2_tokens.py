@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import utf8_bytes
+from tidemark.llm.text import others, utf8_bytes
 from tidemark.shared import bounded_batches
 
 #: Characters below this are asked about; combining marks, which change what stands before them, start above it.
@@ -142,7 +142,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", lim
     nothing is cut or padded.
 
     Null and empty texts have no tokens; texts may be of any length and repeated rows count each for
-    itself; an empty table stays empty. Columns of docs named as the results are replaced. The
+    itself; an empty table stays empty. Columns of docs named as the results are replaced, in any case of letters. The
     tokenizer, a few MB of fixed size, is read on the driver and broadcast.
     """
     spark = docs.sparkSession
@@ -155,7 +155,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", lim
         for texts in batches:
             yield pd.Series(count([x or "" for x in texts]), dtype="int64")
 
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(*keep, utf8_bytes(F.col(text_col)).alias("n_bytes"), tokens(text).alias("n_tokens"))
+    out = docs.select(*others(docs, ["n_bytes", "n_tokens", "over_limit"]), utf8_bytes(F.col(text_col)).alias("n_bytes"), tokens(text).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

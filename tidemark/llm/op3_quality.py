@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import words
+from tidemark.llm.text import others, words
 
 #: Buckets of the hash: what is broadcast is one number for each, however large the corpus.
 BUCKETS = 10_000
@@ -96,12 +96,11 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
 
     trusted: ids of trusted documents. Null and empty texts have no words and fail the base rules;
     their score is 0. Texts may be of any length; repeated rows are judged each for itself; without
-    trusted documents all scores are 0 and the base rules decide alone; an empty table stays empty.
-    Columns of docs named as the results are replaced; keep lists the columns of docs to return.
+    trusted documents all scores are 0 and the base rules decide alone; a score at the threshold is
+    kept; an empty table stays empty. Columns of docs named as the results are replaced, in any case; keep lists the columns of docs to return.
     """
     weights = fit(docs, trusted, text_col, id_col, bound)
-    keep = [c for c in (keep or docs.columns) if c not in RESULTS]
-    rows = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*others(docs, RESULTS, keep)).alias("_row"), F.col(text_col).alias("_text"))
     rows = base_rules(rows, "_text").withColumn("_tokens", tokens_of(F.col("_text"))).drop("_text")
     rows = rows.withColumn("_grams", n_grams("_tokens")).drop("_tokens")
     table = F.lit(weights)

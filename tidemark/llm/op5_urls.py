@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import others
 from tidemark.shared import stored
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -70,8 +71,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     rows is one row there; the join back may be split by its left side, as the join with the list.
     """
     names = ["url_host", "n_active", "blocked", "matched", "category"]
-    keep = [c for c in captures.columns if c not in names]
-    rows = captures.select(F.struct(*keep).alias("_row"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"))
+    rows = captures.select(F.struct(*others(captures, names)).alias("_row"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"))
     asked = rows.select("_url", "_at").where("_url IS NOT NULL AND _at IS NOT NULL").distinct()
     lists = stored(intervals(entries))
     asked = asked.select("_url", "_at", F.explode(patterns_of(F.col("_url"), *depths(lists))).alias("pattern"))

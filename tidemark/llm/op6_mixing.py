@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import n_words
+from tidemark.llm.text import n_words, others
 from tidemark.shared import fixed
 
 #: Rows of one virtual-time bucket, about: only the bucket with the cut is sorted row by row.
@@ -60,9 +60,8 @@ def mix_sources(
     """
     names = ["size", "source_size", "target", "taken"]
     size_expr: Column = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else n_words(F.col(text_col))
-    keep = [c for c in df.columns if c not in names]
     key, bucket, source = "_key", "_bucket", "_source"
-    base = df.select(F.struct(*map(F.col, keep)).alias("_row"), size_expr.alias("size"), F.col(id_col).cast("string").alias("_id"), F.col(source_col).alias(source))
+    base = df.select(F.struct(*others(df, names)).alias("_row"), size_expr.alias("size"), F.col(id_col).cast("string").alias("_id"), F.col(source_col).alias(source))
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("_id", F.lit("")), F.lit(":"), F.col("size").cast("string")))
     base = base.select("_row", "size", hashed.alias(key), source)
     narrow = fixed(base.select(key, source, "size"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import others
 from tidemark.shared import fixed, fresh
 
 #: Rows of the matrix (one a partition) up to which it is broadcast.
@@ -109,4 +110,4 @@ def shard_rows(df: DataFrame, n_shards: int = 8, seed: int = 20_240, bucket_rows
     )
     within = Window.partitionBy("shard", bucket).orderBy(F.xxhash64(F.lit(seed + 1), pos), pos)
     slot = F.col(offset) + F.row_number().over(within) - 1
-    return dealt.join(starts, ["shard", bucket]).withColumn("slot", slot.cast("long")).select(*df.columns, "shard", "slot")
+    return dealt.join(starts, ["shard", bucket]).withColumn("slot", slot.cast("long")).select(*others(df, ["shard", "slot"]), "shard", "slot")
