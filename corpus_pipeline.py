@@ -17,7 +17,7 @@ from tidemark.llm.op3_quality import judge
 from tidemark.llm.op6_mixing import mix_sources
 from tidemark.llm.op8_decontamination import decontaminate
 from tidemark.llm.op9_sharding import shard_rows
-from tidemark.llm.text import n_words, rows_where
+from tidemark.llm.text import n_words, quoted, rows_where
 from tidemark.shared import shared_dir, stored
 
 #: Rows to leave out up to which their ids are broadcast.
@@ -26,7 +26,7 @@ BROADCAST = 1_000_000
 
 def carried(docs: DataFrame, *columns: Column) -> DataFrame:
     """The rows of docs as one struct, doc, beside the columns that an operator reads."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *columns)
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc"), *columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
