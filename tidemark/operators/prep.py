@@ -5,12 +5,11 @@ Everything fitted comes from training rows; long form (split_id, partition, samp
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, splits
+from tidemark.operators import evaluate, moments, ranks, splits
+from tidemark.shared import stored
 
 
 def balanced(train: DataFrame, strategy: str, seed: int = 42, *, keys: list[str] | None = None, row_id: str = "sample_id") -> DataFrame:
@@ -41,19 +40,53 @@ def long_features(rows: DataFrame, features: list[str], keys: list[str]) -> Data
     return doubles.unpivot(keys, features, "feature", "value").withColumn("value", F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value")))
 
 
+def clean(c: str) -> Column:
+    """A feature as a double, null where it is not finite."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def fitted_columns(held: Column, every: Column, median: Column) -> list[Column]:
+    """median, low, high, mean, std and reason from the state of the values there are, how many rows there are, and the
+    median: mean and population deviation are those after imputation."""
+    imputed = moments.merged(held, moments.repeated(every - held["n"], median))
+    std = F.sqrt(moments.variance(imputed))
+    reason = F.when(held["n"] == 0, "all_missing").when(held["low"] == held["high"], "zero_variance")
+    return [
+        median.alias("median"), held["low"].alias("low"), held["high"].alias("high"), F.when(held["n"] > 0, imputed["mean"]).alias("mean"),
+        F.when(held["n"] > 0, F.when(std == 0, 1.0).otherwise(std)).alias("std"), reason.alias("reason"),
+    ]
+
+
 def fitted(train: DataFrame) -> DataFrame:
     """(split_id, feature, median, low, high, mean, std, reason) of training values: features without any value
     or, once imputed, with one value only are removed; mean and population deviation are those after imputation."""
-    counted = train.groupBy("split_id", "feature", "value").agg(F.count("*").alias("n"))
-    stats = counted.groupBy("split_id", "feature").agg(
-        F.percentile("value", 0.5, F.col("n")).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("_all"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("_there"), F.sum(F.col("value") * F.col("n")).alias("_sum"), F.sum(F.col("value") * F.col("value") * F.col("n")).alias("_sq"),
-    )
-    missing = F.col("_all") - F.col("_there")
-    mean = (F.col("_sum") + missing * F.col("median")) / F.col("_all")
-    var = F.greatest((F.col("_sq") + missing * F.col("median") * F.col("median")) / F.col("_all") - mean * mean, F.lit(0.0))
-    reason = F.when(F.col("_there") == 0, "all_missing").when(F.col("low") == F.col("high"), "zero_variance")
-    return stats.select("split_id", "feature", "median", "low", "high", mean.alias("mean"), F.when(F.sqrt(var) == 0, 1.0).otherwise(F.sqrt(var)).alias("std"), reason.alias("reason"))
+    keys = ["split_id", "feature"]
+    counted = train.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    medians = ranks.quantiles(counted, keys, "value", "n", {"median": 0.5})
+    held = train.groupBy(*keys).agg(moments.state(F.col("value")).alias("_held"), F.count("*").alias("_all"))
+    return held.join(medians, keys, "left").select(*keys, *fitted_columns(F.col("_held"), F.col("_all"), F.col("median")))
+
+
+def prefix_fitted(samples: DataFrame, features: list[str], ratio: float = 0.2) -> DataFrame:
+    """(split_id, feature, median, low, high, mean, std, reason) as fitted() gives them for the training rows of every
+    valid walk-forward split. Those are all rows up to a commit, so what is fitted comes from running states over
+    commits and medians of prefixes: no training row is spelled out."""
+    index = splits.commit_index(samples).select("repository", "commit", "idx")
+    valid = splits.walk_forward(samples, ratio).where("reason IS NULL")
+    valid = valid.select("repository", splits.split_name().alias("split_id"), (F.col("test_idx") - F.col("val_count") - 1).alias("idx"), F.col("train_size").alias("_all"))
+    rows = stored(samples.select("repository", "commit", *(clean(c).alias(c) for c in features)).join(index, ["repository", "commit"]))
+    held = rows.groupBy("repository", "idx").agg(*(moments.state(F.col(c)).alias(c) for c in features))
+    fits = valid.join(moments.running_states(held, ["repository"], "idx", features), ["repository", "idx"])
+    fits = fits.select("repository", "split_id", "idx", "_all", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("_held")) for c in features))).alias("f"))
+    fits = stored(fits.select("repository", "split_id", "idx", "_all", "f.*"))
+    values = rows.select("repository", "idx", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features))).alias("f")).select("repository", "idx", "f.*").where("value IS NOT NULL")
+    last = (F.col("_held.n") - 1).cast("long")
+    asked = fits.where("_held.n > 0").select("repository", "split_id", "feature", "idx", F.explode(F.array(F.floor(last / 2), F.ceil(last / 2))).alias("place"))
+    middle = ranks.prefix_order(values, asked, ["repository", "feature"], "idx", "value", "place")
+    medians = middle.groupBy("split_id", "feature").agg((F.min("value") + (F.max("value") - F.min("value")) / 2).alias("median"))
+    fits = fits.join(medians, ["split_id", "feature"], "left")
+    return fits.select("split_id", "feature", *fitted_columns(F.col("_held"), F.col("_all"), F.col("median")))
 
 
 def transformed(rows: DataFrame, fit: DataFrame, how: str = "standard") -> DataFrame:
@@ -64,55 +97,28 @@ def transformed(rows: DataFrame, fit: DataFrame, how: str = "standard") -> DataF
     return out.select(*rows.columns[:-1], scaled.alias("value"))
 
 
-def naive_bayes(train: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores P(label 1) of rows (split_id, ..., feature, value) by Gaussian naive Bayes fitted to train for each
-    split; variances get 1e-9 of the split's largest feature variance added. keys name a row."""
-    per = train.groupBy("split_id", "label", "feature").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("*").alias("n"))
-    whole = train.groupBy("split_id", "feature").agg(F.var_pop("value").alias("w")).groupBy("split_id").agg((F.max("w") * 1e-9).alias("eps"))
-    size = per.groupBy("split_id", "label").agg(F.max("n").alias("n"))
-    prior = size.withColumn("prior", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("split_id")))).select("split_id", "label", "prior")
-    model = per.drop("n").join(whole, "split_id").withColumn("v", F.col("v") + F.col("eps")).withColumnRenamed("label", "class").drop("eps")
-    density = -0.5 * (F.log(2 * math.pi * F.col("v")) + (F.col("value") - F.col("m")) * (F.col("value") - F.col("m")) / F.col("v"))
-    joint = rows.join(model, ["split_id", "feature"]).groupBy(*keys, "class").agg(F.sum(density).alias("d"))
-    joint = joint.join(prior.withColumnRenamed("label", "class"), ["split_id", "class"])
-    d = F.col("d") + F.col("prior")
-    both = joint.groupBy(*keys).agg(F.max(F.when(F.col("class") == 1, d)).alias("a"), F.max(F.when(F.col("class") == 0, d)).alias("b"))
-    return both.withColumn("y_score", 1 / (1 + F.exp(F.col("b") - F.col("a")))).drop("a", "b").withColumn("y_pred", F.when(F.col("y_score") >= 0.5, 1).otherwise(0))
-
-
 def prefix_bayes(samples: DataFrame, features: list[str], ratio: float = 0.2) -> DataFrame:
     """Test rows of all valid walk-forward splits (split_id, label, y_score, y_pred) by Gaussian naive Bayes.
 
-    What the model needs are counts, sums and sums of squares by label, and training rows of a split are all up
-    to a commit: so they are running sums over commits, and no training row is spelled out. Rows without a value
-    of some feature are left out. Variances get 1e-9 of the split's largest feature variance added."""
+    What the model needs are means and deviations by label, and training rows of a split are all up to a commit: so
+    they are running states over commits, and no training row is spelled out. Rows without a value of some feature
+    are left out. Variances get 1e-9 of the split's largest feature variance added."""
     rows = samples.where(" AND ".join(f"{f} IS NOT NULL" for f in features)).withColumns({f: F.col(f).cast("double") for f in features})
-    found = splits.walk_forward(rows, ratio).where("reason IS NULL").select("repository", "test_idx", F.col("test_commit").alias("commit"), (F.col("test_idx") - F.col("val_count") - 1).alias("idx"))
+    found = splits.walk_forward(rows, ratio).where("reason IS NULL")
+    found = found.select("repository", splits.split_name().alias("split_id"), F.col("test_commit").alias("commit"), (F.col("test_idx") - F.col("val_count") - 1).alias("idx"))
     index = splits.commit_index(rows).select("repository", "commit", "idx")
-    one = lambda k, c: F.sum(F.when(F.col("label") == k, c).otherwise(0.0))
-    sums = {f"n{k}": one(k, F.lit(1.0)) for k in (0, 1)}
-    for i, f in enumerate(features):
-        for k in (0, 1):
-            sums |= {f"s{k}_{i}": one(k, F.col(f)), f"q{k}_{i}": one(k, F.col(f) * F.col(f))}
-    commits = rows.groupBy("repository", "commit").agg(*(c.alias(n) for n, c in sums.items())).join(index, ["repository", "commit"])
-    upto = Window.partitionBy("repository").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    commits = commits.select("repository", "idx", *(F.sum(n).over(upto).alias(n) for n in sums))
-    fits = found.join(commits, ["repository", "idx"])
-    n = [F.col("n0"), F.col("n1")]
-    every, mean, var = n[0] + n[1], {}, {}
-    largest = F.greatest(*[(F.col(f"q0_{i}") + F.col(f"q1_{i}")) / every - F.pow((F.col(f"s0_{i}") + F.col(f"s1_{i}")) / every, F.lit(2.0)) for i in range(len(features))]) if len(features) > 1 else F.lit(0.0)
-    fits = fits.withColumn("eps", largest * 1e-9)
-    for i in range(len(features)):
-        for k in (0, 1):
-            mean[k, i], var[k, i] = f"m{k}_{i}", f"v{k}_{i}"
-            m = F.col(f"s{k}_{i}") / n[k]
-            fits = fits.withColumns({mean[k, i]: m, var[k, i]: F.greatest(F.col(f"q{k}_{i}") / n[k] - m * m, F.lit(0.0)) + F.col("eps")})
-    odds = F.log(n[1] / n[0])
+    states = {f"s{k}_{i}": moments.state(F.when(F.col("label") == k, F.col(f))) for i, f in enumerate(features) for k in (0, 1)}
+    commits = rows.groupBy("repository", "commit").agg(*(c.alias(n) for n, c in states.items())).join(index, ["repository", "commit"])
+    fits = found.join(moments.running_states(commits.drop("commit"), ["repository"], "idx", list(states)), ["repository", "idx"])
+    whole = [moments.variance(moments.merged(F.col(f"s0_{i}"), F.col(f"s1_{i}"))) for i in range(len(features))]
+    eps = (F.greatest(*whole) if len(whole) > 1 else whole[0]) * 1e-9
+    fits = fits.withColumns({"eps": eps, "prior": F.log(F.col("s1_0.n") / F.col("s0_0.n"))})
+    fits = fits.select("repository", "split_id", "commit", "prior", *(c for n in states for c in (F.col(f"{n}.mean").alias(f"m{n}"), (moments.variance(F.col(n)) + F.col("eps")).alias(f"v{n}"))))
+    odds = F.col("prior")
     for i, f in enumerate(features):
-        far = [F.pow(F.col(f) - F.col(mean[k, i]), F.lit(2.0)) / F.col(var[k, i]) for k in (0, 1)]
-        odds = odds + 0.5 * (F.log(var[0, i]) - F.log(var[1, i]) + far[0] - far[1])
-    split = F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
-    out = rows.join(fits, ["repository", "commit"]).select(split.alias("split_id"), "label", (1 / (1 + F.exp(-odds))).alias("y_score"))
+        far = [F.pow(F.col(f) - F.col(f"ms{k}_{i}"), F.lit(2.0)) / F.col(f"vs{k}_{i}") for k in (0, 1)]
+        odds = odds + 0.5 * (F.log(f"vs0_{i}") - F.log(f"vs1_{i}") + far[0] - far[1])
+    out = rows.join(fits, ["repository", "commit"]).select("split_id", "label", (1 / (1 + F.exp(-odds))).alias("y_score"))
     return out.withColumn("y_pred", F.when(F.col("y_score") >= 0.5, 1).otherwise(0))
 
 
@@ -120,28 +126,24 @@ def ranked_bayes(train: DataFrame, features: list[str], keys: list[str]) -> Data
     """(keys, prior, ranked) by keys, in one pass over training rows with one column a feature: prior is the log odds of
     label 1; ranked has what Gaussian naive Bayes needs of each feature, fitted after imputing by the median and
     standard scaling, those first whose class means lie furthest apart. Features without any value or with one value
-    only are left out. Variances get 1e-9 added, as in naive_bayes: scaled, the largest feature variance is 1."""
-    x = {c: F.when(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")), None).otherwise(F.col(c).cast("double")) for c in features}
+    only are left out. Variances get 1e-9 added: scaled, the largest feature variance is 1."""
     aggs = [F.count_if(F.col("label") == k).cast("double").alias(f"_n{k}") for k in (0, 1)]
     for i, c in enumerate(features):
-        aggs += [F.percentile(x[c], 0.5).alias(f"_med{i}"), F.min(x[c]).alias(f"_low{i}"), F.max(x[c]).alias(f"_high{i}")]
-        for k in (0, 1):
-            v = F.when(F.col("label") == k, x[c])
-            aggs += [F.count(v).alias(f"_c{k}_{i}"), F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_s{k}_{i}"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"_q{k}_{i}")]
+        aggs += [F.percentile(clean(c), 0.5).alias(f"_med{i}"), *(moments.state(F.when(F.col("label") == k, clean(c))).alias(f"_s{k}_{i}") for k in (0, 1))]
     n = [F.col("_n0"), F.col("_n1")]
+    fits = train.groupBy(*keys).agg(*aggs).where("_n0 > 0 AND _n1 > 0")
+    own = lambda k, i: F.col(f"_s{k}_{i}")
+    fits = fits.withColumns({f"_i{k}_{i}": moments.merged(own(k, i), moments.repeated(n[k] - own(k, i)["n"], F.col(f"_med{i}"))) for i in range(len(features)) for k in (0, 1)})
+    fits = fits.withColumns({f"_w{i}": moments.merged(F.col(f"_i0_{i}"), F.col(f"_i1_{i}")) for i in range(len(features))})
+    fits = fits.withColumns({f"_std{i}": F.sqrt(moments.variance(F.col(f"_w{i}"))) for i in range(len(features))})
     parts = []
     for i, c in enumerate(features):
-        med = F.col(f"_med{i}")
-        total = [F.col(f"_s{k}_{i}") + (n[k] - F.col(f"_c{k}_{i}")) * med for k in (0, 1)]
-        square = [F.col(f"_q{k}_{i}") + (n[k] - F.col(f"_c{k}_{i}")) * med * med for k in (0, 1)]
-        mean = (total[0] + total[1]) / (n[0] + n[1])
-        std = F.sqrt(F.greatest((square[0] + square[1]) / (n[0] + n[1]) - mean * mean, F.lit(0.0)))
-        std = F.when(std == 0, 1.0).otherwise(std)
-        m = [(total[k] / n[k] - mean) / std for k in (0, 1)]
-        v = [F.greatest(square[k] / n[k] - total[k] * total[k] / (n[k] * n[k]), F.lit(0.0)) / (std * std) + 1e-9 for k in (0, 1)]
-        fit = F.struct((-F.abs(m[1] - m[0])).alias("order"), F.lit(c).alias("feature"), med.alias("median"), mean.alias("mean"), std.alias("std"), *(f(k) for k in (0, 1) for f in (lambda k: m[k].alias(f"m{k}"), lambda k: v[k].alias(f"v{k}"))))
-        parts.append(F.when(F.col(f"_low{i}") < F.col(f"_high{i}"), fit))
-    fits = train.groupBy(*keys).agg(*aggs).where("_n0 > 0 AND _n1 > 0")
+        std = F.when(F.col(f"_std{i}") == 0, 1.0).otherwise(F.col(f"_std{i}"))
+        imputed = [F.col(f"_i{k}_{i}") for k in (0, 1)]
+        m = [(imputed[k]["mean"] - F.col(f"_w{i}.mean")) / std for k in (0, 1)]
+        v = [moments.variance(imputed[k]) / (std * std) + 1e-9 for k in (0, 1)]
+        fit = F.struct((-F.abs(m[1] - m[0])).alias("order"), F.lit(c).alias("feature"), F.col(f"_med{i}").alias("median"), F.col(f"_w{i}.mean").alias("mean"), std.alias("std"), *(f(k) for k in (0, 1) for f in (lambda k: m[k].alias(f"m{k}"), lambda k: v[k].alias(f"v{k}"))))
+        parts.append(F.when(F.least(own(0, i)["low"], own(1, i)["low"]) < F.greatest(own(0, i)["high"], own(1, i)["high"]), fit))
     return fits.select(*keys, F.log(n[1] / n[0]).alias("prior"), F.array_sort(F.array_compact(F.array(*parts))).alias("ranked"))
 
 

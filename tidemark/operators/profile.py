@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label01
@@ -104,16 +109,74 @@ def leakage(df: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
+def gram(rows: DataFrame, centre: list[float]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy, same) for places i < j of the arrays x of rows: over rows where both are there how
+    many, and sums of values less centre, their squares and products; same counts equal values, two missing ones too.
+    One pass: a partition adds up its own batches, so that what is shuffled is one row for each pair and partition."""
+    size = len(centre)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(list(batch["x"])).astype(float)
+            there = ~np.isnan(x)
+            held, z = there.astype(float), np.where(there, x - centre, 0.0)
+            same = np.stack([((x == x[:, [i]]) | ~(there | there[:, [i]])).sum(axis=0) for i in range(size)]).astype(float)
+            now = np.stack([held.T @ held, z.T @ held, held.T @ z, (z * z).T @ held, held.T @ (z * z), z.T @ z, same])
+            total = now if total is None else total + now
+        if total is not None:
+            i, j = np.triu_indices(size, 1)
+            yield pd.DataFrame({"i": i, "j": j} | {name: total[k][i, j] for k, name in enumerate(GRAM)})
+
+    sums = rows.select("x").mapInPandas(add, "i int, j int, " + ", ".join(f"{c} double" for c in GRAM))
+    return sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in GRAM))
+
+
+GRAM = ["n", "sx", "sy", "sxx", "syy", "sxy", "same"]
+
+
+def coefficient() -> Column:
+    """Pearson's coefficient from the sums of gram(); null where a side does not vary."""
+    part = lambda c, a, b: F.col(c) - F.col(a) * F.col(b) / F.col("n")
+    x, y = part("sxx", "sx", "sx"), part("syy", "sy", "sy")
+    return F.when((F.col("n") > 0) & (x > 0) & (y > 0), part("sxy", "sx", "sy") / (F.sqrt(x) * F.sqrt(y)))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, pearson, spearman, equal_ratio) of all pairs of columns: the coefficients over rows where both are
-    there, the ratio of equal values over all rows, in which two missing values are equal."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    clean = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
-    row = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs)))
-    long = clean.select(row.alias("p")).select("p.*")
-    equal = long.groupBy("a", "b").agg(F.avg(F.col("x").eqNullSafe(F.col("y")).cast("double")).alias("equal_ratio"))
-    ranked = average_rank(average_rank(long.where("x IS NOT NULL AND y IS NOT NULL"), ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
-    return equal.join(ranked.groupBy("a", "b").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")), ["a", "b"], "left")
+    there, the ratio of equal values over all rows, in which two missing values are equal.
+
+    Sums of all pairs come from one pass over the rows. A column is ranked once, and once more for each pattern of
+    missing values of other columns that takes rows from it: rows shuffled grow with columns and patterns, not with
+    pairs. The driver holds counts of pairs of columns."""
+    spark = df.sparkSession
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
+    rows = stored(df.select(F.array(*clean).alias("x")).withColumn("row", F.monotonically_increasing_id()))
+    at = lambda i: F.col("x")[i]
+    first = rows.agg(F.count("*").alias("all"), *(f(at(i)).alias(f"{k}{i}") for i in range(len(columns)) for k, f in (("n", F.count), ("m", F.avg)))).first()
+    centre = [first[f"m{i}"] if first[f"m{i}"] is not None and math.isfinite(first[f"m{i}"]) else 0.0 for i in range(len(columns))]
+    sums = stored(gram(rows, centre))
+    both = {(r["i"], r["j"]): r["n"] for r in sums.select("i", "j", "n").collect()}
+    there = {(i, i): first[f"n{i}"] for i in range(len(columns))} | both | {(j, i): n for (i, j), n in both.items()}
+    # columns that are missing in the same rows share a pattern, named by the first of them
+    pattern = [min(k for k in range(i + 1) if there[k, i] == there[i, i] == there[k, k]) for i in range(len(columns))]
+    # a column, among the rows that a pattern leaves it; None where it takes none
+    needed = {(i, pattern[j] if there[i, j] < there[i, i] else None) for i in range(len(columns)) for j in range(len(columns)) if i != j}
+    ranked = sorted(needed, key=lambda v: (v[0], -1 if v[1] is None else v[1]))
+    if not ranked:
+        return spark.createDataFrame([], "a string, b string, pearson double, spearman double, equal_ratio double")
+    values = F.explode(F.array(*(F.struct(F.lit(v).alias("v"), (at(i) if k is None else F.when(at(k).isNotNull(), at(i))).alias("value")) for v, (i, k) in enumerate(ranked))))
+    long = rows.select("row", values.alias("p")).select("row", "p.*").where("value IS NOT NULL")
+    long = average_rank(long, ["v"], "value", "rank")
+    wide = long.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("v", "rank"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(len(ranked) - 1)), lambda v: F.col("m")[v]).alias("x"))
+    place = {v: k for k, v in enumerate(ranked)}
+    sides = [(i, j, *sorted((place[i, pattern[j] if there[i, j] < there[i, i] else None], place[j, pattern[i] if there[i, j] < there[j, j] else None]))) for i, j in both]
+    names = F.broadcast(spark.createDataFrame([(i, j, columns[i], columns[j], v, w) for i, j, v, w in sides], "i int, j int, a string, b string, v int, w int"))  # pairs of columns
+    spearman = gram(wide, [first["all"] / 2] * len(ranked)).select(F.col("i").alias("v"), F.col("j").alias("w"), coefficient().alias("spearman"))
+    out = sums.join(names, ["i", "j"]).join(spearman, ["v", "w"], "left")
+    return out.select("a", "b", coefficient().alias("pearson"), "spearman", (F.col("same") / first["all"]).alias("equal_ratio"))
 
 
 def strong_pairs(pairs: DataFrame, threshold: float = 0.95, duplicate: float = 0.99) -> DataFrame:
@@ -171,7 +234,3 @@ def monthly(df: DataFrame, at: str) -> DataFrame:
 
 def ranked_top(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(by), key).limit(n)
-
-
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

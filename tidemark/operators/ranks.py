@@ -69,3 +69,39 @@ def quantiles(counted: DataFrame, keys: list[str], value: str, n: str, wanted: d
     out = rows.groupBy(*keys).agg(*aggs)
     part = {name: (F.col("_all") - 1) * p - F.floor((F.col("_all") - 1) * p) for name, p in wanted.items()}
     return out.select(*keys, *((F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * part[name]).alias(name) for name in wanted))
+
+
+#: Children of a node of the tree of ranks below: a level is one pass over values and questions.
+RADIX_BITS = 4
+
+
+def prefix_order(values: DataFrame, asked: DataFrame, keys: list[str], at: str, value: str, place: str) -> DataFrame:
+    """asked (keys, at, place) with value: of the values of its keys that stand at a place of order `at` up to its own, the
+    one of 0-based rank `place`, which has to be less than how many there are. value is never null.
+
+    Values get their dense rank in their keys. Questions go down the digits of these ranks: running counts of each digit
+    over `at`, for each node that digits so far name, say which child holds the value asked for. Each level is one pass
+    over values and questions, whatever prefixes overlap."""
+    ranked = running(values.groupBy(*keys, value).agg(F.lit(1).alias("_one")), keys, value, ["_one"])
+    ranked = stored(ranked.select(*keys, value, (F.col("_one_upto") - 1).alias("_rank")))
+    most = ranked.agg(F.max("_rank")).first()[0] or 0
+    levels = max(1, -(-int(most).bit_length() // RADIX_BITS))
+    counted = values.groupBy(*keys, at, value).agg(F.count("*").alias("_n"))
+    counted = stored(joined(counted, ranked, [*keys, value]).select(*keys, at, "_rank", "_n"))
+    digits = [f"_d{k}" for k in range(1 << RADIX_BITS)]
+    (row,) = fresh(asked, "_row")
+    marked = stored(asked.withColumn(row, F.monotonically_increasing_id()))
+    left = marked.select(*keys, at, row, F.col(place).cast("long").alias("_place"), F.lit(0).cast("long").alias("_node"))
+    for level in range(levels - 1, -1, -1):
+        node, digit = F.shiftright("_rank", RADIX_BITS * (level + 1)), F.shiftright("_rank", RADIX_BITS * level).bitwiseAND(F.lit((1 << RADIX_BITS) - 1))
+        held = counted.groupBy(*keys, node.alias("_node"), at).agg(*(F.sum(F.when(digit == k, F.col("_n")).otherwise(0)).alias(d) for k, d in enumerate(digits)))
+        both = held.unionByName(left.withColumns({d: F.lit(0).cast("long") for d in digits}), allowMissingColumns=True)
+        # values before questions of the same place
+        both = both.withColumn("_order", F.struct(F.col(at).alias("at"), F.col(row).isNotNull().alias("asks")))
+        found = running(both, [*keys, "_node"], "_order", digits).where(F.col(row).isNotNull())
+        upto = F.array(*(F.col(f"{d}_upto") for d in digits))
+        walk = F.aggregate(upto, F.struct(F.lit(-1).cast("long").alias("digit"), F.col("_place").alias("place"), F.lit(False).alias("done")), lambda a, n: F.when(a["done"], a).otherwise(F.struct((a["digit"] + 1).alias("digit"), F.when(n > a["place"], a["place"]).otherwise(a["place"] - n).alias("place"), (n > a["place"]).alias("done"))))
+        found = found.withColumn("_walk", walk)
+        left = found.select(*keys, at, row, F.col("_walk.place").alias("_place"), (F.shiftleft("_node", RADIX_BITS) + F.col("_walk.digit")).alias("_node"))
+    ends = joined(left.select(*keys, row, F.col("_node").alias("_rank")), ranked, [*keys, "_rank"])
+    return marked.join(ends.select(row, value), row).drop(row)

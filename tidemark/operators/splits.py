@@ -6,7 +6,7 @@ is known to be valid; members() then spells out the valid ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,14 +48,18 @@ def capped(splits: DataFrame, most: int) -> DataFrame:
     return splits.where("reason IS NULL").orderBy("repository", "test_idx").limit(most)
 
 
+def split_name() -> Column:
+    """A split's name from repository and test_idx."""
+    return F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
+
+
 def members(samples: DataFrame, splits: DataFrame) -> DataFrame:
     """(split_id, partition, and the sample's columns) of all valid splits: a range join on commit position."""
     idx = commit_index(samples).select("repository", "commit", "idx")
     valid = splits.where("reason IS NULL").select("repository", "test_idx", "val_count")
     rows = samples.join(idx, ["repository", "commit"]).join(valid, "repository").where("idx <= test_idx")
     part = F.when(F.col("idx") == F.col("test_idx"), "test").when(F.col("idx") >= F.col("test_idx") - F.col("val_count"), "validation").otherwise("train")
-    split = F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
-    return rows.withColumns({"partition": part, "split_id": split}).drop("idx", "val_count", "test_idx")
+    return rows.withColumns({"partition": part, "split_id": split_name()}).drop("idx", "val_count", "test_idx")
 
 
 def manifest(samples: DataFrame, ratio: float = 0.2) -> DataFrame:
@@ -69,14 +73,13 @@ def manifest(samples: DataFrame, ratio: float = 0.2) -> DataFrame:
     for name in ("t", "v", "w"):
         valid = valid.join(at(f"{name}_", name), ["repository", name])
     valid = valid.join(at("x_", "test_idx"), ["repository", "test_idx"])
-    split = F.concat("repository", F.lit("__wf_"), F.lpad(F.col("test_idx").cast("string"), 4, "0"))
     part = lambda name, n, pos, first, last: F.struct(F.lit(name).alias("partition"), F.expr(n).alias("n"), F.expr(pos).cast("long").alias("positives"), F.expr(first).alias("first_at"), F.expr(last).alias("last_at"))
     parts = F.array(
         part("train", "t_n_upto", "t_pos_upto", "t__first", "t_committed_at"),
         part("validation", "w_n_upto - t_n_upto", "w_pos_upto - t_pos_upto", "v_committed_at", "w_committed_at"),
         part("test", "x_n_upto - w_n_upto", "x_pos_upto - w_pos_upto", "x_committed_at", "x_committed_at"),
     )
-    return valid.select(split.alias("split_id"), F.explode(parts).alias("p")).select("split_id", "p.*")
+    return valid.select(split_name().alias("split_id"), F.explode(parts).alias("p")).select("split_id", "p.*")
 
 
 def require_no_overlap(rows: DataFrame, key: list[str]) -> None:

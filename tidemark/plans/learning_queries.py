@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import evaluate, graph, linear, models, prep, splits, trees
+from tidemark.operators import evaluate, graph, linear, models, prep, selection, splits, trees
 from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
@@ -177,26 +177,51 @@ def m01_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance_counts(spark, sf_dir, "random_oversampling")
 
 
-@query("m02_m04_fitted_features", f"WITH {FITTED} SELECT split_id, feature, median, coalesce(reason, 'used') AS reason FROM fit")
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples, some of whose prices are missing."""
+    return samples(spark, sf_dir).withColumn("price", F.expr("CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE price END"))
+
+
+@query("m02_m04_fitted_features", f"WITH {FITTED} SELECT split_id, feature, round(median, 4) AS median, round(mean * 1.000000001, 4) AS mean, round(CASE WHEN std = 0 THEN 1 ELSE std END * 1.000000001, 4) AS std, coalesce(reason, 'used') AS reason FROM fit")
 def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = prep.long_features(members(spark, sf_dir).where("partition = 'train'"), FEATURES, ["split_id"])
-    return prep.fitted(long).select("split_id", "feature", "median", F.coalesce("reason", F.lit("used")).alias("reason"))
+    out = prep.prefix_fitted(gappy(spark, sf_dir), FEATURES)
+    return out.select("split_id", "feature", F.round("median", 4).alias("median"), *(F.round(F.col(c) * 1.000000001, 4).alias(c) for c in ("mean", "std")), F.coalesce("reason", F.lit("used")).alias("reason"))
 
 
-@query("m03_scaled_tests", f"WITH {FITTED}, te AS ({' UNION ALL '.join(f'SELECT split_id, {chr(39)}{c}{chr(39)} AS feature, {c} AS value FROM mm WHERE partition = {chr(39)}test{chr(39)}' for c in FEATURES)}) SELECT te.split_id, te.feature, count(*) AS n, round(sum((coalesce(value, median) - mean) / std), 4) + 0.0 AS total FROM te JOIN fit ON te.split_id = fit.split_id AND te.feature = fit.feature AND reason IS NULL GROUP BY 1, 2")
-def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = prep.long_features(members(spark, sf_dir), FEATURES, ["split_id", "partition"])
-    out = prep.transformed(long.where("partition = 'test'"), prep.fitted(long.where("partition = 'train'").drop("partition")))
+def scaled_tests(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    rows = gappy(spark, sf_dir)
+    valid = splits.walk_forward(rows).where("reason IS NULL").select("repository", F.col("test_commit").alias("commit"), splits.split_name().alias("split_id"))
+    tests = rows.join(valid, ["repository", "commit"]).select("split_id", *FEATURES)
+    out = prep.transformed(prep.long_features(tests, FEATURES, ["split_id"]), prep.prefix_fitted(rows, FEATURES), how)
     return out.groupBy("split_id", "feature").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
 
 
+SCALED = f"WITH {FITTED}, te AS ({' UNION ALL '.join(f'SELECT split_id, {chr(39)}{c}{chr(39)} AS feature, {c} AS value FROM mm WHERE partition = {chr(39)}test{chr(39)}' for c in FEATURES)}) SELECT te.split_id, te.feature, count(*) AS n, round(sum(SCALED), 4) + 0.0 AS total FROM te JOIN fit ON te.split_id = fit.split_id AND te.feature = fit.feature AND reason IS NULL GROUP BY 1, 2"
+
+
+@query("m03_scaled_tests", SCALED.replace("SCALED", "(coalesce(value, median) - mean) / std"))
+def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_tests(spark, sf_dir, "standard")
+
+
+@query("m03_min_max_tests", SCALED.replace("SCALED", "(coalesce(value, median) - low) / (high - low)"))
+def m03_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_tests(spark, sf_dir, "minmax")
+
+
+@query("m03_unscaled_tests", SCALED.replace("SCALED", "coalesce(value, median)"))
+def m03_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_tests(spark, sf_dir, "none")
+
+
 @query("a23_selection_frequency", f"WITH {FITTED} SELECT feature, count(DISTINCT split_id) FILTER (reason IS NULL) AS used, count(DISTINCT split_id) FILTER (reason IS NOT NULL) AS removed FROM fit GROUP BY 1")
 def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = prep.long_features(members(spark, sf_dir).where("partition = 'train'"), FEATURES, ["split_id"])
-    return prep.fitted(long).groupBy("feature").agg(F.countDistinct(F.when(F.col("reason").isNull(), F.col("split_id"))).alias("used"), F.countDistinct(F.when(F.col("reason").isNotNull(), F.col("split_id"))).alias("removed"))
+    fits = prep.prefix_fitted(gappy(spark, sf_dir), FEATURES)
+    return fits.groupBy("feature").agg(F.count_if(F.col("reason").isNull()).alias("used"), F.count_if(F.col("reason").isNotNull()).alias("removed"))
 
 
-BAYES_FEATURES = ["quantity", "dis", "tx"]
+#: far: small differences a long way from zero.
+BAYES_FEATURES = ["quantity", "dis", "tx", "price", "far", "day"]
 
 
 def _bayes_sql() -> str:
@@ -204,14 +229,14 @@ def _bayes_sql() -> str:
     for f in BAYES_FEATURES:
         stats += f", var_pop({f}) AS w_{f}" + "".join(f", avg({f}) FILTER (label = {k}) AS m{k}_{f}, var_pop({f}) FILTER (label = {k}) AS v{k}_{f}" for k in (0, 1))
     gain = " + ".join(f"0.5 * (ln(v0_{f} + eps) - ln(v1_{f} + eps) + pow(te.{f} - m0_{f}, 2) / (v0_{f} + eps) - pow(te.{f} - m1_{f}, 2) / (v1_{f} + eps))" for f in BAYES_FEATURES)
-    return f"""WITH {MEMBERS}, x AS (SELECT split_id, partition, label, quantity::DOUBLE AS quantity, round(discount * 100)::DOUBLE AS dis, round(tax * 100)::DOUBLE AS tx FROM m), tr AS (SELECT split_id, {stats} FROM x WHERE partition = 'train' GROUP BY 1),
+    return f"""WITH {MEMBERS}, x AS (SELECT split_id, partition, label, quantity::DOUBLE AS quantity, round(discount * 100)::DOUBLE AS dis, round(tax * 100)::DOUBLE AS tx, price::DOUBLE AS price, (1000000000 + round(tax * 100))::DOUBLE AS far, date_diff('day', DATE '1970-01-01', committed_at::DATE)::DOUBLE AS day FROM m), tr AS (SELECT split_id, {stats} FROM x WHERE partition = 'train' GROUP BY 1),
 e AS (SELECT *, greatest({', '.join(f'w_{f}' for f in BAYES_FEATURES)}) * 1e-9 AS eps FROM tr), o AS (SELECT te.split_id, te.label, ln(n1 / n0) + {gain} AS odds FROM x te JOIN e ON te.split_id = e.split_id WHERE te.partition = 'test')
 SELECT split_id, count(*) AS n, sum(label)::BIGINT AS positives, sum(CASE WHEN odds >= 0 THEN 1 ELSE 0 END)::BIGINT AS predicted, round(avg(CASE WHEN odds > 700 THEN 1.0 WHEN odds < -700 THEN 0.0 ELSE 1 / (1 + exp(-odds)) END::DOUBLE), 3) AS mean_score FROM o GROUP BY 1"""
 
 
 @query("m07_naive_bayes_by_prefix_sums", _bayes_sql())
 def m07_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir).withColumns({"dis": F.round(F.col("discount") * 100), "tx": F.round(F.col("tax") * 100)})
+    rows = samples(spark, sf_dir).withColumns({"dis": F.round(F.col("discount") * 100), "tx": F.round(F.col("tax") * 100), "far": 1e9 + F.round(F.col("tax") * 100), "day": F.unix_date(F.col("committed_at").cast("date"))})
     out = prep.prefix_bayes(rows, BAYES_FEATURES)
     return out.groupBy("split_id").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), F.sum("y_pred").cast("long").alias("predicted"), F.round(F.avg("y_score"), 3).alias("mean_score"))
 
@@ -300,6 +325,8 @@ def m08_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(out.withColumn("split_id", split), ["model", "split_id"])
 
 
+#: Trees of the forests that select features on every split.
+FOREST_TREES = 5
 #: Trees, and features each node looks at (0: all), of the models of every split.
 TREES = {"decision_tree": (1, 0), "random_forest": (10, 2)}
 
@@ -322,6 +349,25 @@ def m08_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(out, ["model", "split_id"])
 
 
+def ready_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Balanced training rows, and those of validation and test, of every valid split, as x: imputed and scaled features."""
+    _, part = swept_members(spark, sf_dir, [BASE])
+    train = prep.balanced(part.where("partition = 'train'"), "random_oversampling")
+    fits = stored(prep.ranked_bayes(train, FEATURES, ["split_id"])).select("split_id", "ranked")
+    ready = lambda rows: stored(rows.join(fits, "split_id").select("split_id", "partition", "sample_id", "label", F.slice(linear.scaled(FEATURES), 2, len(FEATURES)).alias("x")))
+    return ready(train), ready(part.where("partition <> 'train'"))
+
+
+@query("m05_m06_selection_on_every_split")
+def m05_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rfe, rfecv and validation_rfe select on every valid split, and how the forest over it scores on the test rows."""
+    used, scored = selection.select_on_splits(*ready_rows(spark, sf_dir), len(FEATURES), count_trees=FOREST_TREES)
+    names = F.array(*map(F.lit, FEATURES))
+    used = used.select("split_id", "selector", F.array_join(F.transform("used", lambda i: F.get(names, i)), ",").alias("used"))
+    found = evaluate.metrics(scored.where("partition = 'test'"), ["selector", "split_id"])
+    return used.join(found, ["selector", "split_id"]).withColumn("split_id", F.substring_index("split_id", "|", -1))
+
+
 @query("a21_v14_feature_family_sweep")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled metrics, rates, valid and skipped splits and feature usage of each run: a configuration column through one job."""
