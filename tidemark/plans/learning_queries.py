@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import evaluate, graph, linear, models, prep, selection, splits, trees
+from tidemark.operators import evaluate, graph, linear, models, prep, search, selection, splits, trees
 from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
 from tidemark.plans.graph_queries import graphs
 from tidemark.plans.profile_queries import rounded
@@ -368,6 +368,18 @@ def m05_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(found, ["selector", "split_id"]).withColumn("split_id", F.substring_index("split_id", "|", -1))
 
 
+#: Part of the trees that forests grow in the search of the query: 2, 4 and 8 for 100, 200 and 400.
+FOREST_SHARE = 0.02
+
+
+@query("m06_m09_search_on_every_split")
+def m09_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test metrics of each model on every valid split, by the best of ten configurations drawn, and which it was."""
+    found = stored(search.search_on_splits(*ready_rows(spark, sf_dir), len(FEATURES), share=FOREST_SHARE))
+    chosen = found.select("model", "split_id", "parameters", "validation_score").distinct()
+    return evaluate.metrics(found, ["model", "split_id"]).join(chosen, ["model", "split_id"]).withColumn("split_id", F.substring_index("split_id", "|", -1))
+
+
 @query("a21_v14_feature_family_sweep")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled metrics, rates, valid and skipped splits and feature usage of each run: a configuration column through one job."""
