@@ -102,3 +102,24 @@ def test_correlations_of_gaps(spark):
             want = data[[a, b]].corr(method=method).iloc[0, 1]
             assert (want != want) if value is None else value == pytest.approx(want, abs=1e-6), (a, b, method)
         assert r.equal_ratio == pytest.approx(((data[a] == data[b]) | (data[a].isna() & data[b].isna())).mean())
+
+
+@pytest.mark.parametrize("bucket", [3, 100_000])
+def test_draws_of_classes(spark, monkeypatch, bucket):
+    """Exact sizes, no row twice without replacement, single classes as they are, nulls as labels, the same draws again, and every row as likely."""
+    monkeypatch.setattr(prep, "DRAWN_FROM", bucket)
+    rows = [(k, y, f"{k}{y}{i}", i) for k, sizes in (("a", (40, 7)), ("b", (5, 5)), ("one", (6, 0)), ("c", (1, 9))) for y, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame([*rows, rows[0]], "split_id string, label int, sample_id string, extra int")
+    under, over = (prep.balanced(df, f"random_{how}sampling") for how in ("under", "over"))
+    count = lambda d: {(r.split_id, r.label): r["count"] for r in d.groupBy("split_id", "label").count().collect()}
+    assert count(under) == {("a", 0): 7, ("a", 1): 7, ("b", 0): 5, ("b", 1): 5, ("one", 0): 6, ("c", 0): 1, ("c", 1): 1}
+    assert count(over) == {("a", 0): 41, ("a", 1): 41, ("b", 0): 5, ("b", 1): 5, ("one", 0): 6, ("c", 0): 9, ("c", 1): 9}
+    assert under.columns == over.columns == df.columns
+    got = sorted(map(tuple, under.collect()))
+    assert len(got) - len(set(got)) <= 1 and set(got) <= set(rows) and got == sorted(map(tuple, prep.balanced(df, "random_undersampling").collect()))
+    assert {r.sample_id for r in over.collect() if r.split_id == "one"} == {f"one0{i}" for i in range(6)}
+    assert prep.balanced(df.limit(0), "random_oversampling").count() == 0
+    many = spark.createDataFrame([(f"s{k}", y, f"{y}{i}", i) for k in range(300) for y, n in ((0, 12), (1, 4)) for i in range(n)], "split_id string, label int, sample_id string, extra int")
+    for how, mean in (("under", 300 / 3), ("over", 300)):
+        drawn = {r.sample_id: r["count"] for r in prep.balanced(many, f"random_{how}sampling").where("label = 0").groupBy("sample_id").count().collect()}
+        assert len(drawn) == 12 and all(abs(n - mean) < 5 * mean**0.5 for n in drawn.values())

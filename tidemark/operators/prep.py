@@ -5,6 +5,8 @@ Everything fitted comes from training rows; long form (split_id, partition, samp
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,27 +14,67 @@ from tidemark.operators import evaluate, moments, ranks, splits
 from tidemark.shared import stored
 
 
+#: Rows of a class that are drawn from in one group, about.
+DRAWN_FROM = 100_000
+
+
+def draws_of_buckets(replace: bool, seed: int):
+    """How many rows each bucket of a class gives, exactly as if they were drawn one by one from the whole class: by a
+    multivariate hypergeometric law without replacement, a multinomial law with it."""
+
+    @F.pandas_udf("array<long>")
+    def drawn(many: pd.Series, wanted: pd.Series, key: pd.Series) -> pd.Series:
+        out = []
+        for n, want, k in zip(many, wanted, key, strict=True):
+            rng, n = np.random.default_rng([seed & 0xFFFFFFFF, k & 0xFFFFFFFFFFFFFFFF]), np.asarray(n, dtype=np.int64)
+            if replace:
+                out.append(rng.multinomial(want, n / n.sum()))
+                continue
+            given, left = np.zeros_like(n), n.sum()
+            for b, size in enumerate(n):
+                left -= size
+                given[b] = want if not left else rng.hypergeometric(size, left, want) if want else 0
+                want -= given[b]
+            out.append(given)
+        return pd.Series(out)
+
+    return drawn
+
+
 def balanced(train: DataFrame, strategy: str, seed: int = 42, *, keys: list[str] | None = None, row_id: str = "sample_id") -> DataFrame:
     """Training rows with each class of a split at the size of the smallest (random_undersampling, without
     replacement) or largest (random_oversampling: every class is drawn with replacement). A split of one
-    class stays as it is. Draws follow from hashes of seed, split, label and row."""
+    class stays as it is. Draws follow from hashes of seed, split, label and row.
+
+    A class is dealt to buckets of about DRAWN_FROM rows by a hash. How many rows each gives is drawn first; then each
+    bucket draws its own, so that no class is put in order in one task."""
     keys = keys or ["split_id"]
     if strategy == "none":
         return train
     if strategy not in ("random_undersampling", "random_oversampling"):
         raise ValueError(f"unknown strategy {strategy}")
-    sizes = train.groupBy(*keys, "label").agg(F.count("*").alias("_n"))
+    replace = strategy == "random_oversampling"
+    sizes = stored(train.groupBy(*keys, "label").agg(F.count("*").alias("_n")))
+    buckets = -(-(sizes.agg(F.max("_n")).first()[0] or 0) // DRAWN_FROM) or 1
     per = Window.partitionBy(*keys)
-    sizes = sizes.withColumns({"_classes": F.count("*").over(per), "_least": F.min("_n").over(per), "_most": F.max("_n").over(per)})
-    order = Window.partitionBy(*keys, "label").orderBy(F.xxhash64(F.lit(seed), *keys, row_id), row_id)
-    rows = train.withColumn("_at", F.row_number().over(order)).join(sizes, [*keys, "label"])
-    extra = ["_n", "_classes", "_least", "_most", "_at"]
-    if strategy == "random_undersampling":
-        return rows.where("_classes < 2 OR _at <= _least").drop(*extra)
-    draws = sizes.select(*keys, "label", "_n", "_classes", F.explode(F.sequence(F.lit(1), F.when(F.col("_classes") < 2, F.col("_n")).otherwise(F.col("_most")))).alias("_i"))
-    pick = F.when(F.col("_classes") < 2, F.col("_i")).otherwise(F.pmod(F.xxhash64(F.lit(seed), *keys, "label", "_i"), F.col("_n")) + 1)
-    draws = draws.select(*keys, "label", pick.alias("_at"))
-    return draws.join(rows.drop("_n", "_classes", "_least", "_most"), [*keys, "label", "_at"]).drop("_at")
+    sizes = sizes.withColumns({"_classes": F.count("*").over(per), "_want": (F.max("_n") if replace else F.min("_n")).over(per)}).where("_classes > 1")
+    rows = train.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), *keys, row_id), F.lit(buckets)).cast("int"))
+    many = rows.groupBy(*keys, "label", "_bucket").agg(F.count("*").alias("_m"))
+    many = many.groupBy(*keys, "label").agg(F.array_sort(F.collect_list(F.struct("_bucket", "_m"))).alias("_each"))
+    given = many.join(sizes, [*keys, "label"]).withColumn("_given", draws_of_buckets(replace, seed)(F.col("_each._m"), "_want", F.xxhash64(*keys, "label")))
+    given = given.select(*keys, "label", F.explode(F.arrays_zip(F.col("_each._bucket").alias("b"), F.col("_each._m").alias("m"), F.col("_given").alias("g"))).alias("_x"))
+    given = stored(given.select(*keys, "label", F.col("_x.b").alias("_bucket"), F.col("_x.m").alias("_m"), F.col("_x.g").alias("_g")))
+    within = [*keys, "label", "_bucket"]
+    order = Window.partitionBy(*within).orderBy(F.xxhash64(F.lit(seed), *keys, row_id), row_id)
+    placed = rows.withColumn("_at", F.row_number().over(order))
+    if replace:
+        picks = given.where("_g > 0").select(*within, "_m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_g"))).alias("_i"))
+        picks = picks.select(*within, (F.pmod(F.xxhash64(F.lit(seed), *within, "_i"), F.col("_m")) + 1).cast("int").alias("_at"))
+        out = placed.join(picks, [*within, "_at"])
+    else:
+        out = placed.join(given, within).where("_at <= _g")
+    alone = rows.join(sizes.select(*keys).distinct(), keys, "left_anti")
+    return out.select(*train.columns).unionByName(alone.select(*train.columns))
 
 
 def long_features(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:

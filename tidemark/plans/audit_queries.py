@@ -11,7 +11,7 @@ from tidemark.operators import audit, decisions, features, splits
 from tidemark.operators.ranks import numbered_rows
 from tidemark.plans.registry import SAMPLES, query, samples, table
 from tidemark.shared import shared_dir
-from tidemark.sources.readers import read_csv, text_rows, union_files, write_table
+from tidemark.sources.readers import read_csv, read_inferred, text_rows, union_files, write_table
 
 KEY = ["repository", "commit", "filepath"]
 FEATURES = ["quantity", "price", "discount", "tax"]
@@ -154,6 +154,18 @@ def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, written(rows, "samples"), rows.schema)
 
 
+@query("s01_inferred_types", f"""WITH {SAMPLES} SELECT repository, commit, filepath, label::BIGINT AS label, quantity, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE price END AS price, committed_at::TIMESTAMP AS committed_at, l_partkey % 2 = 0 AS flag,
+  CASE WHEN l_linenumber = 1 THEN 'x' ELSE CAST(l_partkey AS VARCHAR) END AS mixed, CASE WHEN l_linenumber = 1 THEN l_partkey + 0.5 ELSE l_partkey END::DOUBLE AS wide, NULL::DOUBLE AS empty FROM samples""")
+def s01_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table as CSV without a schema: whole numbers, doubles with gaps, times, mixed and empty columns."""
+    part, first = F.col("l_partkey"), F.col("l_linenumber") == 1
+    rows = samples(spark, sf_dir).select(
+        *KEY, "label", "quantity", F.when(part % 3 != 0, F.col("price")).alias("price"), F.date_format("committed_at", "yyyy-MM-dd HH:mm:ss").alias("committed_at"), (part % 2 == 0).alias("flag"),
+        F.when(first, "x").otherwise(part.cast("string")).alias("mixed"), F.when(first, (part + 0.5).cast("string")).otherwise(part.cast("string")).alias("wide"), F.lit("NA").alias("empty"),
+    )
+    return read_inferred(spark, written(rows, "inferred"))
+
+
 @query("s02_text_rows", "SELECT row_number() OVER (ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS row_index, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS customer FROM orders ORDER BY 1 LIMIT 500")
 def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of a CSV file that starts with a byte-order mark, all columns text."""

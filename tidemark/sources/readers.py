@@ -15,6 +15,43 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructTyp
     return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", enforceSchema=True)
 
 
+#: Texts that stand for a missing value.
+MISSING = ["", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A", "-nan", "-NaN"]
+#: Types a text column may have, narrowest first, by the form of its values; string takes them all.
+FORMS = {
+    "boolean": r"(?i)(true|false)",
+    "bigint": r"[+-]?[0-9]+",
+    "double": r"(?i)[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|[+-]?inf(inity)?",
+    "timestamp": r"[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?",
+}
+
+
+def said(c: str) -> Column:
+    """The text of a column without white space around it, null where it stands for a missing value."""
+    text = F.trim(F.col(f"`{c}`"))
+    return F.when(~text.isin(MISSING), text)
+
+
+def inferred_types(rows: DataFrame) -> dict[str, str]:
+    """For each text column the narrowest of FORMS that all its values have, else string; double for a column without
+    any. One aggregate over all rows and columns, of a count for each column and type; the driver gets one row."""
+    counts = []
+    for i, c in enumerate(rows.columns):
+        counts.append(F.count(said(c)).alias(f"n{i}"))
+        counts += [F.count_if(said(c).rlike(f"^({form})$") & said(c).try_cast(kind).isNotNull()).alias(f"{kind}{i}") for kind, form in FORMS.items()]
+    found = rows.agg(*counts).first()
+    return {c: "double" if not found[f"n{i}"] else next((k for k in FORMS if found[f"{k}{i}"] == found[f"n{i}"]), "string") for i, c in enumerate(rows.columns)}
+
+
+def read_inferred(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Headed CSV whose columns get the types that all their values allow; missing values are null. A column that is whole
+    numbers but for one value is doubles or text throughout; text keeps its white space."""
+    rows = spark.read.csv(path, header=True, encoding="UTF-8", inferSchema=False)
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    types = inferred_types(rows)
+    return rows.select(*(F.when(said(c).isNotNull(), F.col(f"`{c}`")).alias(c) if t == "string" else said(c).try_cast(t).alias(c) for c, t in types.items()))
+
+
 def text_rows(spark: SparkSession, path: str | list[str], order: list[str], *, limit: int | None = None) -> DataFrame:
     """Headed CSV with all columns as text, a byte-order mark taken off the first name, and row_index, the 1-based place
     by order, which has to tell rows apart (files have no order of their own); the first limit rows, if given."""
