@@ -85,7 +85,7 @@ def eliminated(spark, t, fold_rows, judged, size):
     ready = fold_rows.withColumn("drawn", trees.drawn(TREES, SEED, keys, "sample_id")).collect()
     every = spark.createDataFrame([(*k, a, b, c) for k in edges for a in range(TREES) for b in range(1, 1 << DEPTH) for c in range(size)], "split_id string, fold int, tree int, node int, feature int")
     order = defaultdict(dict)
-    for r in every.withColumn("h", F.xxhash64(F.lit(SEED), "split_id", "fold", "tree", "node", "feature")).collect():
+    for r in every.withColumn("h", F.xxhash64(F.xxhash64(F.lit(SEED), "split_id", "fold"), "tree", "node", "feature")).collect():
         order[r.split_id, r.fold][r.tree, r.node, r.feature] = r.h
     cut = lambda x, e: [sum(v > q for q in some) for v, some in zip(x, e)]
     out = {}
