@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import evaluate, graph, linear, models, prep, search, selection, splits, trees
+from tidemark.operators import evaluate, graph, hops, linear, models, prep, search, selection, splits, trees
 from tidemark.plans.audit_queries import FEATURES, MEMBERS, status
-from tidemark.plans.graph_queries import graphs
+from tidemark.plans.graph_queries import DEGREES, graphs
 from tidemark.plans.profile_queries import rounded
 from tidemark.plans.registry import query, samples, table
 from tidemark.shared import fixed, stored
@@ -467,3 +467,40 @@ def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = train.join(F.broadcast(prep.class_weights(train.select("label"))), "label")
     out = models.fit_and_score("logistic_regression", weighted, rows.where("graph_id % 5 = 0"), names, weightCol="weight")
     return out.select("graph_id", F.col("label").cast("int").alias("y_true"), "y_pred", "y_score")
+
+
+GRAPH_COLUMNS = ["degree_in", "label_length"]
+GRAPH_PENALTIES = [0.1, 1.0, 10.0]
+
+
+def graph_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, each with the graph of one conversation, and the nodes' features and edges of the graphs."""
+    nodes, edges = graphs(spark, sf_dir)
+    count = table(spark, sf_dir, "conversations").agg(F.countDistinct("conv_id").alias("_graphs"))
+    rows = samples(spark, sf_dir).crossJoin(F.broadcast(count)).withColumn("graph_id", F.pmod(F.col("o_orderkey") + F.col("l_linenumber"), F.col("_graphs")))
+    rows = rows.withColumn("sample_id", F.concat_ws("::", "commit", "filepath", "l_partkey", "l_suppkey"))
+    known = nodes.select("graph_id").distinct()
+    rows = rows.select("repository", "commit", "committed_at", "label", "sample_id", "graph_id").join(known, "graph_id", "left_semi")
+    return stored(rows), graph.node_features(nodes, edges).select("graph_id", "node_id", *GRAPH_COLUMNS), graph.adjacency(edges)
+
+
+@query("g17_split_scales", f"""WITH {DEGREES}, {MEMBERS}, g AS (SELECT count(DISTINCT conv_id) AS graphs FROM conversations), x AS (SELECT graph_id, degree_in::DOUBLE AS degree_in, length(label)::DOUBLE AS label_length FROM deg),
+tr AS (SELECT split_id, x.* FROM m CROSS JOIN g JOIN x ON x.graph_id = (o_orderkey + l_linenumber) % graphs WHERE partition = 'train')
+SELECT split_id, count(*) AS nodes, {', '.join(f"round(avg({c}), 6) AS m_{c}, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) AS d_{c}" for c in GRAPH_COLUMNS)} FROM tr GROUP BY 1""")
+def g17_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of node features over the training graphs of every valid split."""
+    rows, features, adjacent = graph_samples(spark, sf_dir)
+    found = hops.split_scales(rows, hops.hop_table(features, adjacent, GRAPH_COLUMNS, 0), GRAPH_COLUMNS)
+    names = [f"{p}_{c}" for c in GRAPH_COLUMNS for p in "md"]
+    return rounded(found.select("split_id", "nodes", *names), *names)
+
+
+@query("g17_walk_forward_graphs")
+def g17_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of the test commit of every valid split, by weighted logistic regression over readouts of hops 0 to 2."""
+    rows, features, adjacent = graph_samples(spark, sf_dir)
+    found = stored(hops.hop_table(features, adjacent, GRAPH_COLUMNS))
+    scales = stored(hops.split_scales(rows, found, GRAPH_COLUMNS))
+    each = stored(hops.split_graphs(rows, found, scales, GRAPH_COLUMNS))
+    out = hops.classified(each, 1 + 3 * 2 * len(GRAPH_COLUMNS), GRAPH_PENALTIES)
+    return rounded(out.select("split_id", "sample_id", "y_true", "y_score", "y_pred", "penalty"), "y_score", places=4)
