@@ -125,3 +125,22 @@ def reliability(rows: DataFrame, grid: list[tuple[int, int, int]]) -> DataFrame:
     whole = metrics(rows, ["system"]).select("system", *(F.col(c).alias(f"_{c}") for c in NAMES))
     out = counts.join(metrics(kept, ["system", *names]), ["system", *names], "left").join(whole, "system")
     return out.select(*counts.columns, *NAMES, *((F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in NAMES))
+
+
+LEVELS = ("pooled", "repository", "split")
+
+
+def levels(rows: DataFrame) -> DataFrame:
+    """(system, level, part, counts and metrics) of tagged predictions (system, repository, split_id, y_true, y_score, y_pred): of
+    all of a system's, of each of its repositories and of each split, in one pass over rows that carry all three groups."""
+    part = {"pooled": F.lit(""), "repository": F.col("repository").cast("string"), "split": F.col("split_id").cast("string")}
+    groups = F.array(*(F.struct(F.lit(k).alias("level"), part[k].alias("part")) for k in LEVELS))
+    each = rows.select("system", F.inline(groups), "y_true", "y_score", "y_pred")
+    return metrics(each, ["system", "level", "part"])
+
+
+def comparisons(found: DataFrame) -> DataFrame:
+    """Each pair of systems of levels() on the splits that both have: compare() and wilcoxon() of each metric that is defined in
+    both. Metrics are rounded to nine places, so that equal ones tie."""
+    pairs = paired(long_metrics(found.where("level = 'split'"), ["system", "part"]), "system", "part").withColumns({c: F.round(c, 9) for c in ("x", "y")})
+    return joined(compare(pairs), wilcoxon(pairs).withColumnRenamed("n", "unequal"), ["metric", "a", "b"], "left")

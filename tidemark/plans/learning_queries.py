@@ -308,21 +308,24 @@ def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(test.select(F.substring_index("split_id", "|", -1).alias("split_id"), "sample_id", "y_true", "y_score", "y_pred"), "y_score", places=4)
 
 
-@query("m06_m08_walk_forward_linear")
-def m08_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test metrics of logistic regression and a linear SVM on every valid split: balance, impute, scale and fit, all
-    splits in one keyed job."""
-    _, part = swept_members(spark, sf_dir, [BASE])
+def linear_predictions(part: DataFrame, features: list[str]) -> DataFrame:
+    """Test rows (model, split_id, y_true, y_score, y_pred) of each linear model on every split of part."""
     train = prep.balanced(part.where("partition = 'train'"), "random_oversampling")
-    fits = stored(prep.ranked_bayes(train, FEATURES, ["split_id"])).select("split_id", "ranked")
-    ready = lambda rows: rows.join(fits, "split_id").select("split_id", F.col("label").alias("y_true"), "label", linear.scaled(FEATURES).alias("x"))
+    fits = stored(prep.ranked_bayes(train, features, ["split_id"])).select("split_id", "ranked")
+    ready = lambda rows: rows.join(fits, "split_id").select("split_id", F.col("label").alias("y_true"), "label", linear.scaled(features).alias("x"))
     train, test, out = stored(ready(train)), ready(part.where("partition = 'test'")), None
     for kind in linear.LOSSES:
-        weights = linear.fit_linear(train, ["split_id"], len(FEATURES) + 1, kind)
+        weights = linear.fit_linear(train, ["split_id"], len(features) + 1, kind)
         scored = linear.score_linear(test, weights, ["split_id"]).withColumn("model", F.lit(kind))
         out = scored if out is None else out.unionByName(scored)
-    split = F.substring_index("split_id", "|", -1)
-    return evaluate.metrics(out.withColumn("split_id", split), ["model", "split_id"])
+    return out.withColumn("split_id", F.substring_index("split_id", "|", -1))
+
+
+@query("m06_m08_walk_forward_linear")
+def m08_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test metrics of logistic regression and a linear SVM on every valid split: balance, impute, scale and fit, all
+    splits in one keyed job."""
+    return evaluate.metrics(linear_predictions(swept_members(spark, sf_dir, [BASE])[1], FEATURES), ["model", "split_id"])
 
 
 #: Trees of the forests that select features on every split.
@@ -331,22 +334,27 @@ FOREST_TREES = 5
 TREES = {"decision_tree": (1, 0), "random_forest": (10, 2)}
 
 
-@query("m06_m08_m09_walk_forward_trees")
-def m08_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test metrics of a decision tree and a random forest on every valid split: balance, impute and fit all splits level
-    by level in one keyed job, each cut at the depth of 1 to 5 that scores best on its validation rows."""
-    _, part = swept_members(spark, sf_dir, [BASE])
+def tree_predictions(part: DataFrame, features: list[str], kinds: tuple[str, ...] = tuple(TREES)) -> DataFrame:
+    """Test rows (model, split_id, y_true, y_score, y_pred) of each model of TREES named on every split of part."""
     train = prep.balanced(part.where("partition = 'train'"), "random_oversampling")
-    fits = stored(prep.ranked_bayes(train, FEATURES, ["split_id"])).select("split_id", "ranked")
-    ready = lambda rows: rows.join(fits, "split_id").select("split_id", "partition", "sample_id", "label", F.slice(linear.scaled(FEATURES), 2, len(FEATURES)).alias("x"))
+    fits = stored(prep.ranked_bayes(train, features, ["split_id"])).select("split_id", "ranked")
+    ready = lambda rows: rows.join(fits, "split_id").select("split_id", "partition", "sample_id", "label", F.slice(linear.scaled(features), 2, len(features)).alias("x"))
     train, held, out = stored(ready(train)), stored(ready(part.where("partition <> 'train'"))), None
-    for kind, (count, features) in TREES.items():
-        scored = stored(trees.tree_scores(held, trees.fit_trees(train, ["split_id"], len(FEATURES), count, features=features), ["split_id"]))
+    for kind in kinds:
+        count, looked = TREES[kind]
+        scored = stored(trees.tree_scores(held, trees.fit_trees(train, ["split_id"], len(features), count, features=looked), ["split_id"]))
         best = trees.best_depth(scored.where("partition = 'validation'"), ["split_id"])
         test = scored.where("partition = 'test'").join(best, "split_id").withColumn("y_score", F.col("by_depth")[F.col("depth")])
         test = test.select(F.lit(kind).alias("model"), F.substring_index("split_id", "|", -1).alias("split_id"), F.col("label").alias("y_true"), "y_score", F.when(F.col("y_score") >= 0.5, 1).otherwise(0).alias("y_pred"))
         out = test if out is None else out.unionByName(test)
-    return evaluate.metrics(out, ["model", "split_id"])
+    return out
+
+
+@query("m06_m08_m09_walk_forward_trees")
+def m08_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test metrics of a decision tree and a random forest on every valid split: balance, impute and fit all splits level
+    by level in one keyed job, each cut at the depth of 1 to 5 that scores best on its validation rows."""
+    return evaluate.metrics(tree_predictions(swept_members(spark, sf_dir, [BASE])[1], FEATURES), ["model", "split_id"])
 
 
 def ready_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -497,12 +505,53 @@ def g17_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("split_id", "nodes", *names), *names)
 
 
-@query("g17_walk_forward_graphs")
-def g17_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs of the test commit of every valid split, by weighted logistic regression over readouts of hops 0 to 2."""
+def graph_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features, adjacent = graph_samples(spark, sf_dir)
     found = stored(hops.hop_table(features, adjacent, GRAPH_COLUMNS))
     scales = stored(hops.split_scales(rows, found, GRAPH_COLUMNS))
     each = stored(hops.split_graphs(rows, found, scales, GRAPH_COLUMNS))
-    out = hops.classified(each, 1 + 3 * 2 * len(GRAPH_COLUMNS), GRAPH_PENALTIES)
+    return hops.classified(each, 1 + 3 * 2 * len(GRAPH_COLUMNS), GRAPH_PENALTIES)
+
+
+@query("g17_walk_forward_graphs")
+def g17_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of the test commit of every valid split, by weighted logistic regression over readouts of hops 0 to 2."""
+    out = graph_predictions(spark, sf_dir)
     return rounded(out.select("split_id", "sample_id", "y_true", "y_score", "y_pred", "penalty"), "y_score", places=4)
+
+
+LEVEL_SQL = f"""{PRED}, lv AS (SELECT system, 'pooled' AS level, '' AS part, y_true, y_score, y_pred FROM pred UNION ALL SELECT system, 'repository', repository::VARCHAR, y_true, y_score, y_pred FROM pred UNION ALL SELECT system, 'split', split_id, y_true, y_score, y_pred FROM pred), {metrics_sql('system, level, part', 'lv')}"""
+
+
+@query("v14_benchmark_levels", f"WITH {LEVEL_SQL} SELECT system, level, part, tp, fp, fn, tn, {ROUNDED} FROM met")
+def v14_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of the full benchmark over the two systems that score events."""
+    return rounded(evaluate.levels(predictions(spark, sf_dir)), *evaluate.NAMES)
+
+
+def benchmark_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(system, repository, split_id, y_true, y_score, y_pred) of every model on every valid split, written once: tabular features
+    (e1), those with sizes of graphs (e2) and hops of graphs (e3). The decision tree stands for the trees."""
+    _, _, bayes = sweep(spark, sf_dir, [BASE, next(x for x in RUNS if x[0] == "experiment")])
+    named = {"base:e1": "e1:naive_bayes", "experiment:e2": "e2:naive_bayes"}
+    columns = ["split_id", "y_true", "y_score", "y_pred"]
+    tag = lambda rows, system: rows.select(system.alias("system"), *columns)
+    out = tag(bayes.withColumn("split_id", F.substring_index("split_id", "|", -1)), F.element_at(F.create_map(*(F.lit(v) for kv in named.items() for v in kv)), F.col("run")))
+    _, part = swept_members(spark, sf_dir, [BASE])
+    for experiment, features in (("e1", FEATURES), ("e2", GRAPH_FEATURES)):
+        out = out.unionByName(tag(linear_predictions(part, features), F.concat(F.lit(f"{experiment}:"), "model")))
+    out = out.unionByName(tag(tree_predictions(part, FEATURES, ("decision_tree",)), F.concat(F.lit("e1:"), "model")))
+    out = out.unionByName(tag(graph_predictions(spark, sf_dir), F.lit("e3:graph_hops")))
+    return stored(out.withColumn("repository", F.regexp_extract("split_id", "^(.*)__wf_", 1)))
+
+
+@query("v14_full_benchmark")
+def v14_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(level, system, other, part, metric, value): metrics of each system, pooled, by repository and by split, and for each pair
+    of systems, at level comparison with part naming the figure, how they differ on the splits that both have."""
+    found = stored(evaluate.levels(benchmark_predictions(spark, sf_dir)))
+    own = evaluate.long_metrics(found, ["level", "system", "part"]).withColumn("other", F.lit(None).cast("string"))
+    pairs = evaluate.comparisons(found).withColumnsRenamed({"a": "system", "b": "other"})
+    figures = [c for c in pairs.columns if c not in ("metric", "system", "other")]
+    pairs = pairs.withColumns({c: F.col(c).cast("double") for c in figures}).unpivot(["metric", "system", "other"], figures, "part", "value").withColumn("level", F.lit("comparison"))
+    return rounded(own.unionByName(pairs).select("level", "system", "other", "part", "metric", "value"), "value")
