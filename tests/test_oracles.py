@@ -15,7 +15,7 @@ NAMES = [
     "s01_s11_csv_round_trip", "s02_text_rows", "s08_union_of_files", "s10_path_candidates", "s14_ordered_rebuild", "f05_common_valid_samples", "f07_f08_repository_size_filter", "f10_feature_families", "p14_selection_reason", "p15_p16_row_status", "w08_repositories_without_graph",
     "a02_label_summary", "a05_temporal_summary", "a05_years", "a09_coverage_by_metrics", "a10_usable_graphs_by_file", "a11_leakage", "a12_strong_pairs", "a18_j07_threshold_grid", "j08_threshold_join", "v07_every_score", "v09_wilcoxon_of_few", "m07_naive_bayes_by_prefix_sums",
     "s05_graphml_edges", "g09_g10_node_features", "g12_edge_type_distribution", "g13_graph_sample_reasons", "g15_relation_means", "g15_gin_two_hops", "w03_average_rank",
-    "g04_direct_fans", "g07_lack_of_cohesion", "g15_gcn", "s05_graphml_source", "s06_s07_dot_source",
+    "g04_direct_fans", "g06_global_ends", "g07_lack_of_cohesion", "g17_split_scales", "v14_benchmark_levels", "g15_gcn", "s05_graphml_source", "s06_s07_dot_source",
 ]
 
 
