@@ -132,7 +132,8 @@ LEVELS = ("pooled", "repository", "split")
 
 def levels(rows: DataFrame) -> DataFrame:
     """(system, level, part, counts and metrics) of tagged predictions (system, repository, split_id, y_true, y_score, y_pred): of
-    all of a system's, of each of its repositories and of each split, in one pass over rows that carry all three groups."""
+    all of a system's, of each of its repositories and of each split: rows are tripled and all
+    levels grouped together, counts in one aggregate and ranks in another."""
     part = {"pooled": F.lit(""), "repository": F.col("repository").cast("string"), "split": F.col("split_id").cast("string")}
     groups = F.array(*(F.struct(F.lit(k).alias("level"), part[k].alias("part")) for k in LEVELS))
     each = rows.select("system", F.inline(groups), "y_true", "y_score", "y_pred")
