@@ -80,6 +80,14 @@ def test_balancing(spark):
     assert count("none") == {("s", 0): 5, ("s", 1): 2, ("one", 1): 1}
 
 
+def test_picks_are_not_broadcast(spark):
+    """Picks may be as many as rows, but come from a small table: a join may take them for small and send them all to the driver."""
+    df = spark.range(3_000).select(F.lit("s").alias("split_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id").cast("string").alias("sample_id"))
+    for how in ("random_oversampling", "random_undersampling"):
+        plan = prep.balanced(df, how)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan
+
+
 def test_fit_uses_training_rows_only(spark):
     rows = [("s", "train", 1.0), ("s", "train", None), ("s", "train", 3.0), ("s", "test", 100.0)]
     df = spark.createDataFrame([(a, b, "f", v) for a, b, v in rows], "split_id string, partition string, feature string, value double")
