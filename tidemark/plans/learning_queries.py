@@ -159,7 +159,7 @@ FITTED = f"{TRAIN_LONG}, md AS (SELECT split_id, feature, median(value) AS media
 
 
 def balance_counts(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
-    train = members(spark, sf_dir).where("partition = 'train'").select("split_id", "label", "sample_id")
+    train = stored(members(spark, sf_dir).where("partition = 'train'").select("split_id", "label", "sample_id"))
     after = prep.balanced(train, strategy).groupBy("split_id", "label").agg(F.count("*").alias("after"))
     return train.groupBy("split_id", "label").agg(F.count("*").alias("before")).join(after, ["split_id", "label"])
 
