@@ -123,3 +123,11 @@ def test_draws_of_classes(spark, monkeypatch, bucket):
     for how, mean in (("under", 300 / 3), ("over", 300)):
         drawn = {r.sample_id: r["count"] for r in prep.balanced(many, f"random_{how}sampling").where("label = 0").groupBy("sample_id").count().collect()}
         assert len(drawn) == 12 and all(abs(n - mean) < 5 * mean**0.5 for n in drawn.values())
+
+
+def test_equal_values_over_commits_have_no_deviation(spark):
+    """0.05 three times has a mean of its own beside 0.05; features of one value get the deviation 1."""
+    rows = [("r", f"c{c}", c, (i + c) % 2, 0.05) for c, n in enumerate((3, 1, 2, 2, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "repository string, commit string, committed_at int, label int, x double")
+    got = prep.prefix_fitted(df, ["x"]).collect()
+    assert got and all((f["std"], f["mean"], f.reason) == (1.0, 0.05, "zero_variance") for f in got)
