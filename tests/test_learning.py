@@ -102,3 +102,9 @@ def test_search_tries_the_whole_grid_once(monkeypatch, name):
     best, score = models.search(name, None, None, [])
     grid = math.prod(map(len, models.SPACE[name].values()))
     assert len(tried) == len({str(p) for p in tried}) == min(10, grid) and (best, score) == (tried[2], 1.0)
+
+
+def test_temporal_parts_read_a_stored_table(spark):
+    """Each fit scans its rows several times: the join behind them is made once."""
+    for part in learning.temporal(spark, SF):
+        assert part.inputFiles() and all("/stored-" in f for f in part.inputFiles())
