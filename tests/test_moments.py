@@ -131,3 +131,34 @@ def test_equal_values_over_commits_have_no_deviation(spark):
     df = spark.createDataFrame(rows, "repository string, commit string, committed_at int, label int, x double")
     got = prep.prefix_fitted(df, ["x"]).collect()
     assert got and all((f["std"], f["mean"], f.reason) == (1.0, 0.05, "zero_variance") for f in got)
+
+
+def split_rows(spark):
+    """Repositories of many commits, few and one; equal times, missing commits, values that are missing or not finite."""
+    rng = random.Random(16)
+    rows = []
+    for repo, n in (("r", 30), ("s", 6), ("t", 1), (None, 5)):
+        for c in range(n):
+            for _ in range(rng.randrange(1, 5)):
+                rows.append((repo, None if rng.random() < 0.03 else f"{repo}{c}", c // 2, rng.randrange(2), None if rng.random() < 0.3 else 1e9 + rng.randrange(3), None if repo == "s" else rng.random(), 3.0, float("nan")))
+    return spark.createDataFrame(rows, "repository string, commit string, t int, label int, far double, some double, same double, never double").withColumn("committed_at", F.timestamp_seconds("t"))
+
+
+@pytest.mark.parametrize(("how", "gathered"), [("minmax", 100_000), ("standard", 20)])
+def test_scaled_prefixes_equal_scaled_members(spark, monkeypatch, how, gathered):
+    """Whether a repository is put in one row or not."""
+    monkeypatch.setattr(prep, "GATHERED", gathered)
+    names, df = ["far", "some", "same", "never"], split_rows(spark)
+    members = splits.members(df, splits.walk_forward(df))
+    of = lambda part: prep.long_features(members.where(F.col("partition") == part), names, ["split_id"])
+    want = sorted(map(tuple, prep.transformed(of("test"), prep.fitted(of("train")), how).collect()))
+    got = sorted(map(tuple, prep.prefix_scaled(df, names, how).collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len(got) > 20
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-6)
+
+
+def test_fits_of_gathered_rows_are_shuffled_once(spark):
+    """No level of a tree of ranks, and no row of a feature, is written for repositories that fit in one row."""
+    df = split_rows(spark)
+    plan = prep.prefix_fitted(df, ["far", "some"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(repository") <= 4 and "rangepartitioning" not in plan

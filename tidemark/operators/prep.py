@@ -5,13 +5,16 @@ Everything fitted comes from training rows; long form (split_id, partition, samp
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import evaluate, moments, ranks, splits
-from tidemark.shared import stored
+from tidemark.shared import bounded_batches, measured_broadcasts, stored
 
 
 #: Rows of a class that are drawn from in one group, about.
@@ -123,16 +126,88 @@ def fitted(train: DataFrame) -> DataFrame:
     return held.join(medians, keys, "left").select(*keys, *fitted_columns(F.col("_held"), F.col("_all"), F.col("median")))
 
 
-def prefix_fitted(samples: DataFrame, features: list[str], ratio: float = 0.2) -> DataFrame:
-    """(split_id, feature, median, low, high, mean, std, reason) as fitted() gives them for the training rows of every
-    valid walk-forward split. Those are all rows up to a commit, so what is fitted comes from running states over
-    commits and medians of prefixes: no training row is spelled out."""
-    index = splits.commit_index(samples).select("repository", "commit", "idx")
-    valid = splits.walk_forward(samples, ratio).where("reason IS NULL")
-    valid = valid.select("repository", splits.split_name().alias("split_id"), (F.col("test_idx") - F.col("val_count") - 1).alias("idx"), F.col("train_size").alias("_all"))
-    rows = stored(samples.select("repository", "commit", *(clean(c).alias(c) for c in features)).join(index, ["repository", "commit"]))
+#: Rows of a repository up to which its prefixes are fitted in one row of Spark; others go by running states and digits of ranks.
+GATHERED = 100_000
+
+
+def prefix_states(at: np.ndarray, values: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """n, mean, m2, low, high and median (NaN of none) of the values at places up to each of last; at and last ascend, NaN is
+    no value. A value is put in its place among those before it, and merged with their mean and squares."""
+    at, values, held, out = at.tolist(), values.tolist(), [], []
+    k, mean, m2 = 0, 0.0, 0.0
+    for upto in last.tolist():
+        while k < len(at) and at[k] <= upto:
+            x, k = values[k], k + 1
+            if x == x:
+                bisect.insort(held, x)
+                apart = x - mean
+                mean += apart / len(held)
+                m2 += apart * (x - mean)
+        n = len(held)
+        if n:
+            low, high = held[(n - 1) // 2], held[n // 2]
+            out.append((n, mean, m2, held[0], held[-1], low + (high - low) / 2))
+        else:
+            out.append((0.0, 0.0, 0.0, *[np.nan] * 3))
+    return np.array(out, dtype=float).reshape(len(out), 6)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def states_of_splits(at: pd.Series, values: pd.Series, last: pd.Series, test: pd.Series) -> pd.Series:
+    """For each split of a repository: where its test rows start, how many they are, and prefix_states() of each feature."""
+    out = []
+    for a, v, upto, t in zip(at, values, last, test, strict=True):
+        start, stop = np.searchsorted(a, t, "left"), np.searchsorted(a, t, "right")
+        out.append(list(np.column_stack([start, stop - start, *(prefix_states(a, x, upto) for x in v)])))
+    return pd.Series(out)
+
+
+def _prefixes(samples: DataFrame, features: list[str], ratio: float) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame] | None]:
+    """What is fitted to the training rows of every valid walk-forward split: (split_id, fits: array of what prefix_fitted()
+    has for each feature, tests: array of test rows) and, or None, (rows, fits as prefix_fitted() has them, splits) of
+    repositories of more than GATHERED rows, which are not put in one row."""
+    bounded_batches(samples.sparkSession)
+    measured_broadcasts(samples.sparkSession)
+    rows = stored(samples.select("repository", "commit", "committed_at", "label", *(clean(c).alias(c) for c in features)))
+    commits = stored(splits.commit_index(rows))
+    valid = splits.walk_forward(rows, ratio, commits).where("reason IS NULL").withColumn("idx", F.col("test_idx") - F.col("val_count") - 1)
+    big = stored(commits.groupBy("repository").agg(F.max("n_upto").alias("_n")).where(F.col("_n") > GATHERED).select("repository"))
+    large = None
+    if big.limit(1).count():
+        part = lambda df, how: df.join(F.broadcast(big), "repository", how)  # at most one of GATHERED rows
+        many = part(rows, "left_semi").join(commits.select("repository", "commit", "idx"), ["repository", "commit"])
+        large = (many, *_ranged_fits(many, part(valid, "left_semi"), features))
+        rows, valid = part(rows, "left_anti"), part(valid, "left_anti")
+    # places of commits, as commit_index() numbers them; all by repository, so that rows are shuffled once
+    first = F.min("committed_at").over(Window.partitionBy("repository", "commit"))
+    each = rows.drop("label").repartition("repository").withColumn("_first", first)
+    each = each.withColumn("at", F.dense_rank().over(Window.partitionBy("repository").orderBy("_first", "commit")) - 1)
+    held = each.where("commit IS NOT NULL").groupBy("repository").agg(F.sort_array(F.collect_list(F.struct("at", *features))).alias("rows"))
+    wanted = valid.select("repository", F.struct("idx", "test_idx", "test_commit", F.col("train_size").alias("_all")).alias("w"))
+    wanted = wanted.groupBy("repository").agg(F.sort_array(F.collect_list("w")).alias("wanted"))
+    of = lambda c: F.transform("rows", lambda r: r[c])
+    found = states_of_splits(of("at"), F.array(*map(of, features)), F.transform("wanted", lambda w: w["idx"]), F.transform("wanted", lambda w: w["test_idx"]))
+    found = held.join(wanted, "repository").withColumn("found", found)
+
+    def fit(w: Column, i: int) -> Column:
+        x = lambda k: F.nanvl(w["found"][2 + 6 * i + k], F.lit(None).cast("double"))
+        state = F.struct(*(x(k).alias(name) for k, name in enumerate(("n", "mean", "m2", "low", "high"))))
+        return F.struct(F.lit(features[i]).alias("feature"), state.alias("held"), x(5).alias("median"))
+
+    def one(w: Column) -> Column:
+        tests = F.when(w["wanted"]["test_commit"].isNotNull(), F.slice("rows", w["found"][0].cast("int") + 1, w["found"][1].cast("int")))
+        return F.struct(w["wanted"]["test_idx"].alias("test_idx"), w["wanted"]["_all"].alias("_all"), F.array(*(fit(w, i) for i in range(len(features)))).alias("fits"), tests.alias("tests"))
+
+    small = found.select("repository", F.explode(F.transform(F.arrays_zip("wanted", "found"), one)).alias("s")).select("repository", "s.*")
+    return small.withColumn("split_id", splits.split_name()), large
+
+
+def _ranged_fits(rows: DataFrame, valid: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What prefix_fitted() gives for rows (with idx) and splits of repositories of any size, by running states over commits and
+    medians of prefixes; and the splits."""
+    rows, valid = stored(rows), stored(valid.withColumn("split_id", splits.split_name()))
     held = rows.groupBy("repository", "idx").agg(*(moments.state(F.col(c)).alias(c) for c in features))
-    fits = valid.join(moments.running_states(held, ["repository"], "idx", features), ["repository", "idx"])
+    fits = valid.select("repository", "split_id", "idx", F.col("train_size").alias("_all")).join(moments.running_states(held, ["repository"], "idx", features), ["repository", "idx"])
     fits = fits.select("repository", "split_id", "idx", "_all", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("_held")) for c in features))).alias("f"))
     fits = stored(fits.select("repository", "split_id", "idx", "_all", "f.*"))
     values = rows.select("repository", "idx", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features))).alias("f")).select("repository", "idx", "f.*").where("value IS NOT NULL")
@@ -141,15 +216,43 @@ def prefix_fitted(samples: DataFrame, features: list[str], ratio: float = 0.2) -
     middle = ranks.prefix_order(values, asked, ["repository", "feature"], "idx", "value", "place")
     medians = middle.groupBy("split_id", "feature").agg((F.min("value") + (F.max("value") - F.min("value")) / 2).alias("median"))
     fits = fits.join(medians, ["split_id", "feature"], "left")
-    return fits.select("split_id", "feature", *fitted_columns(F.col("_held"), F.col("_all"), F.col("median")))
+    return fits.select("split_id", "feature", *fitted_columns(F.col("_held"), F.col("_all"), F.col("median"))), valid
+
+
+def prefix_fitted(samples: DataFrame, features: list[str], ratio: float = 0.2) -> DataFrame:
+    """(split_id, feature, median, low, high, mean, std, reason) as fitted() gives them for the training rows of every
+    valid walk-forward split. Those are all rows up to a commit, so each row is read once, whatever splits it trains: by
+    repository, or for repositories of more than GATHERED rows by running states over commits and medians of prefixes."""
+    small, large = _prefixes(samples, features, ratio)
+    out = small.select("split_id", "_all", F.inline("fits")).select("split_id", "feature", *fitted_columns(F.col("held"), F.col("_all"), F.col("median")))
+    return out.unionByName(large[1]) if large else out
+
+
+def prefix_scaled(samples: DataFrame, features: list[str], how: str = "standard", ratio: float = 0.2) -> DataFrame:
+    """(split_id, feature, value) of the test rows of every valid walk-forward split: as transformed() gives them by what
+    prefix_fitted() fits."""
+    small, large = _prefixes(samples, features, ratio)
+    fits = small.where("tests IS NOT NULL").select("split_id", "_all", "tests", F.posexplode("fits").alias("_i", "f"))
+    fits = fits.select("split_id", "f.feature", F.transform("tests", lambda r: F.array(*(r[c] for c in features))[F.col("_i")]).alias("_values"), *fitted_columns(F.col("f.held"), F.col("_all"), F.col("f.median")))
+    out = fits.where("reason IS NULL").select("split_id", "feature", "median", "low", "high", "mean", "std", F.explode("_values").alias("value"))
+    out = out.select("split_id", "feature", scaled_value(how).alias("value"))
+    if large:
+        rows, fitted_to, valid = large
+        tests = rows.join(valid.select("repository", F.col("test_commit").alias("commit"), "split_id"), ["repository", "commit"])
+        out = out.unionByName(transformed(long_features(tests, features, ["split_id"]), fitted_to, how))
+    return out
 
 
 def transformed(rows: DataFrame, fit: DataFrame, how: str = "standard") -> DataFrame:
     """Values imputed and scaled by what was fitted to their split; removed features are left out."""
     out = rows.join(fit.where("reason IS NULL"), ["split_id", "feature"])
+    return out.select(*rows.columns[:-1], scaled_value(how).alias("value"))
+
+
+def scaled_value(how: str) -> Column:
+    """value, imputed and scaled by median, low, high, mean and std."""
     x = F.coalesce("value", "median")
-    scaled = {"standard": (x - F.col("mean")) / F.col("std"), "minmax": (x - F.col("low")) / (F.col("high") - F.col("low")), "none": x}[how]
-    return out.select(*rows.columns[:-1], scaled.alias("value"))
+    return {"standard": (x - F.col("mean")) / F.col("std"), "minmax": (x - F.col("low")) / (F.col("high") - F.col("low")), "none": x}[how]
 
 
 def prefix_bayes(samples: DataFrame, features: list[str], ratio: float = 0.2) -> DataFrame:

@@ -189,10 +189,7 @@ def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled_tests(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    rows = gappy(spark, sf_dir)
-    valid = splits.walk_forward(rows).where("reason IS NULL").select("repository", F.col("test_commit").alias("commit"), splits.split_name().alias("split_id"))
-    tests = rows.join(valid, ["repository", "commit"]).select("split_id", *FEATURES)
-    out = prep.transformed(prep.long_features(tests, FEATURES, ["split_id"]), prep.prefix_fitted(rows, FEATURES), how)
+    out = prep.prefix_scaled(gappy(spark, sf_dir), FEATURES, how)
     return out.groupBy("split_id", "feature").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
 
 
