@@ -162,3 +162,13 @@ def test_fits_of_gathered_rows_are_shuffled_once(spark):
     df = split_rows(spark)
     plan = prep.prefix_fitted(df, ["far", "some"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(repository") <= 4 and "rangepartitioning" not in plan
+
+
+def test_leakage_copies_no_row_and_counts_null_keys(spark):
+    rows = [("r", "f", "a", 1), ("r", "f", "b", 1), ("r", "f", "b", 0), ("r", "f", None, 0), ("r", "g", "a", 0), (None, "f", "x", 0), (None, "f", "y", 0), ("s", None, "z", None)]
+    out = profile.leakage(spark.createDataFrame(rows, "repository string, filepath string, commit string, label int"))
+    r = out.first()
+    assert (r.files_in_several_commits, r.rows_affected, r.positives_affected) == (2, 6, 2)
+    assert (r.files_in_several_commits_label_0, r.files_in_several_commits_label_1) == (1, 1)
+    assert (r.repositories_of_several_commits, r.rows_in_them) == (2, 7)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()

@@ -99,8 +99,11 @@ def coverage(df: DataFrame, valid: Column) -> DataFrame:
 
 def leakage(df: DataFrame) -> DataFrame:
     """Files of a repository in several commits, rows they hold, and repositories of several commits. Null keys are keys."""
-    files = df.groupBy("repository", "filepath").agg(F.countDistinct("commit").alias("commits"), F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("pos"),
-                                                     *(F.countDistinct(F.when(F.col("label") == k, F.col("commit"))).alias(f"c{k}") for k in (0, 1)))
+    # by commit first: distinct counts beside others would copy every row for each of them
+    each = df.groupBy("repository", "filepath", "commit").agg(F.count("*").alias("rows"), *(F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1)))
+    there = F.col("commit").isNotNull()
+    files = each.groupBy("repository", "filepath").agg(F.count("commit").alias("commits"), F.sum("rows").alias("rows"), F.sum("n1").alias("pos"),
+                                                       *(F.count_if(there & (F.col(f"n{k}") > 0)).alias(f"c{k}") for k in (0, 1)))
     repos = df.groupBy("repository").agg(F.countDistinct("commit").alias("c"), F.count("*").alias("r"))
     many = F.col("commits") > 1
     a = files.agg(F.count_if(many).alias("files_in_several_commits"), F.sum(F.when(many, F.col("rows")).otherwise(0)).alias("rows_affected"), F.sum(F.when(many, F.col("pos")).otherwise(0)).alias("positives_affected"),
