@@ -172,3 +172,45 @@ def test_leakage_copies_no_row_and_counts_null_keys(spark):
     assert (r.files_in_several_commits_label_0, r.files_in_several_commits_label_1) == (1, 1)
     assert (r.repositories_of_several_commits, r.rows_in_them) == (2, 7)
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def history(far=0.0):
+    """Repositories of few and of many commits, commits of one time and of several rows, rows without a commit."""
+    rng = random.Random(13)
+    rows = [(r, f"{r}{c:02d}", c // 2, rng.randrange(2), far + rng.randrange(5), rng.random()) for r, n in (("p", 25), ("q", 9), ("r", 2)) for c in range(n) for _ in range(rng.randrange(1, 5))]
+    return rows + [("p", None, 3, 1, far + 400.0, 0.5)]
+
+
+def test_rows_after_their_training_rows(spark, monkeypatch):
+    """A repository is ordered once: no running state is stored, and what is fitted is what members() give."""
+    df = spark.createDataFrame(history(1e9), "repository string, commit string, t int, label int, x double, y double").withColumn("committed_at", F.timestamp_seconds("t"))
+    members = splits.members(df, splits.walk_forward(df)).toPandas()
+    want = []
+    for split, rows in members.groupby("split_id"):
+        train, test = rows[rows.partition == "train"], rows[rows.partition == "test"]
+        by = [train[train.label == k] for k in (0, 1)]
+        eps = 1e-9 * max(train[f].var(ddof=0) for f in "xy")
+        for _, row in test.iterrows():
+            odds = np.log(len(by[1]) / len(by[0]))
+            for f in "xy":
+                m, v = [b[f].mean() for b in by], [b[f].var(ddof=0) + eps for b in by]
+                odds += 0.5 * (np.log(v[0]) - np.log(v[1]) + (row[f] - m[0]) ** 2 / v[0] - (row[f] - m[1]) ** 2 / v[1])
+            want.append((split, int(row.label), odds))
+    score = lambda odds: 0.0 if odds < -700 else 1 / (1 + np.exp(-odds))
+    want = sorted((a, b, score(c)) for a, b, c in want)
+
+    def check(rows):
+        got = sorted((r.split_id, r.label, r.y_score) for r in rows)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) > 20
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-6)
+
+    with monkeypatch.context() as m:
+        m.setattr(moments, "running_states", None)
+        check(prep.prefix_bayes(df, ["x", "y"]).collect())
+    named = df.where("commit IS NOT NULL")  # running states know no row without a commit
+    members = splits.members(named, splits.walk_forward(named))
+    once = sorted((r.split_id, r.label, r.y_score) for r in prep.prefix_bayes(named, ["x", "y"]).collect())
+    monkeypatch.setattr(prep, "GATHERED", 40)  # p has more
+    mixed = sorted((r.split_id, r.label, r.y_score) for r in prep.prefix_bayes(named, ["x", "y"]).collect())
+    assert len(once) == members.where("partition = 'test'").count() and [x[:2] for x in mixed] == [x[:2] for x in once]
+    assert [x[2] for x in mixed] == pytest.approx([x[2] for x in once], abs=1e-6)

@@ -259,9 +259,47 @@ def prefix_bayes(samples: DataFrame, features: list[str], ratio: float = 0.2) ->
     """Test rows of all valid walk-forward splits (split_id, label, y_score, y_pred) by Gaussian naive Bayes.
 
     What the model needs are means and deviations by label, and training rows of a split are all up to a commit: so
-    they are running states over commits, and no training row is spelled out. Rows without a value of some feature
+    they are running aggregates over a repository's rows, which are shuffled once, and no training row is spelled out;
+    repositories of more than GATHERED rows go by running states over commits. Rows without a value of some feature
     are left out. Variances get 1e-9 of the split's largest feature variance added."""
-    rows = samples.where(" AND ".join(f"{f} IS NOT NULL" for f in features)).withColumns({f: F.col(f).cast("double") for f in features})
+    rows = samples.where(" AND ".join(f"{f} IS NOT NULL" for f in features)).select("repository", "commit", "committed_at", "label", *(F.col(f).cast("double").alias(f) for f in features))
+    rows, large = splits.by_size(rows, GATHERED)
+    of = lambda k, c: F.when(F.col("test_idx").isNull() & F.col("commit").isNotNull() & (F.col("label") == k), c)
+    over = lambda c: c.over(splits.training())
+    found = splits.after_training(rows, ratio)
+    # features are taken from a value of the first commit, which all prefixes hold: sums far from zero lose no deviations
+    first = F.min(F.when(F.col("test_idx").isNull() & F.col("commit").isNotNull(), F.struct("_at", *features))).over(Window.partitionBy("repository"))
+    found = found.withColumn("_c", first).withColumns({f: F.col(f) - F.col(f"_c.{f}") for f in features}).drop("_c")
+    found = found.withColumns(
+        {f"n{k}": over(F.count(of(k, F.lit(1)))).cast("double") for k in (0, 1)}
+        | {f"m{k}_{i}": over(F.avg(of(k, F.col(f)))) for i, f in enumerate(features) for k in (0, 1)}
+        | {f"v{k}_{i}": over(F.var_pop(of(k, F.col(f)))) for i, f in enumerate(features) for k in (0, 1)}
+    ).where("test_idx IS NOT NULL AND reason IS NULL AND commit IS NOT NULL")
+    held = lambda k, i: F.struct(F.col(f"n{k}").alias("n"), F.col(f"m{k}_{i}").alias("mean"), (F.col(f"v{k}_{i}") * F.col(f"n{k}")).alias("m2"), F.col(f"m{k}_{i}").alias("low"), F.col(f"m{k}_{i}").alias("high"))
+    whole = [moments.variance(moments.merged(held(0, i), held(1, i))) for i in range(len(features))]
+    found = found.withColumns({"eps": _eps(whole), "prior": F.log(F.col("n1") / F.col("n0"))})
+    found = found.withColumns({f"v{k}_{i}": F.col(f"v{k}_{i}") + F.col("eps") for i in range(len(features)) for k in (0, 1)})
+    out = _bayes_scores(found.withColumn("split_id", splits.split_name()), features)
+    return out.unionByName(_ranged_bayes(large, features, ratio)) if large else out
+
+
+def _eps(variances: list[Column]) -> Column:
+    return (F.greatest(*variances) if len(variances) > 1 else variances[0]) * 1e-9
+
+
+def _bayes_scores(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(split_id, label, y_score, y_pred) of rows with prior and, by label and feature, means m<k>_<i> and variances v<k>_<i>."""
+    odds = F.col("prior")
+    for i, f in enumerate(features):
+        far = [F.pow(F.col(f) - F.col(f"m{k}_{i}"), F.lit(2.0)) / F.col(f"v{k}_{i}") for k in (0, 1)]
+        odds = odds + 0.5 * (F.log(f"v0_{i}") - F.log(f"v1_{i}") + far[0] - far[1])
+    out = rows.select("split_id", "label", (1 / (1 + F.exp(-odds))).alias("y_score"))
+    return out.withColumn("y_pred", F.when(F.col("y_score") >= 0.5, 1).otherwise(0))
+
+
+def _ranged_bayes(rows: DataFrame, features: list[str], ratio: float) -> DataFrame:
+    """What prefix_bayes() gives for rows of repositories of any size, by running states over commits."""
+    rows = stored(rows)
     found = splits.walk_forward(rows, ratio).where("reason IS NULL")
     found = found.select("repository", splits.split_name().alias("split_id"), F.col("test_commit").alias("commit"), (F.col("test_idx") - F.col("val_count") - 1).alias("idx"))
     index = splits.commit_index(rows).select("repository", "commit", "idx")
@@ -269,15 +307,10 @@ def prefix_bayes(samples: DataFrame, features: list[str], ratio: float = 0.2) ->
     commits = rows.groupBy("repository", "commit").agg(*(c.alias(n) for n, c in states.items())).join(index, ["repository", "commit"])
     fits = found.join(moments.running_states(commits.drop("commit"), ["repository"], "idx", list(states)), ["repository", "idx"])
     whole = [moments.variance(moments.merged(F.col(f"s0_{i}"), F.col(f"s1_{i}"))) for i in range(len(features))]
-    eps = (F.greatest(*whole) if len(whole) > 1 else whole[0]) * 1e-9
-    fits = fits.withColumns({"eps": eps, "prior": F.log(F.col("s1_0.n") / F.col("s0_0.n"))})
-    fits = fits.select("repository", "split_id", "commit", "prior", *(c for n in states for c in (F.col(f"{n}.mean").alias(f"m{n}"), (moments.variance(F.col(n)) + F.col("eps")).alias(f"v{n}"))))
-    odds = F.col("prior")
-    for i, f in enumerate(features):
-        far = [F.pow(F.col(f) - F.col(f"ms{k}_{i}"), F.lit(2.0)) / F.col(f"vs{k}_{i}") for k in (0, 1)]
-        odds = odds + 0.5 * (F.log(f"vs0_{i}") - F.log(f"vs1_{i}") + far[0] - far[1])
-    out = rows.join(fits, ["repository", "commit"]).select("split_id", "label", (1 / (1 + F.exp(-odds))).alias("y_score"))
-    return out.withColumn("y_pred", F.when(F.col("y_score") >= 0.5, 1).otherwise(0))
+    fits = fits.withColumns({"eps": _eps(whole), "prior": F.log(F.col("s1_0.n") / F.col("s0_0.n"))})
+    each = [(f"s{k}_{i}", f"{k}_{i}") for i in range(len(features)) for k in (0, 1)]
+    fits = fits.select("repository", "split_id", "commit", "prior", *(c for s, n in each for c in (F.col(f"{s}.mean").alias(f"m{n}"), (moments.variance(F.col(s)) + F.col("eps")).alias(f"v{n}"))))
+    return _bayes_scores(rows.join(fits, ["repository", "commit"]), features)
 
 
 def ranked_bayes(train: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
