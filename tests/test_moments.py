@@ -214,3 +214,18 @@ def test_rows_after_their_training_rows(spark, monkeypatch):
     mixed = sorted((r.split_id, r.label, r.y_score) for r in prep.prefix_bayes(named, ["x", "y"]).collect())
     assert len(once) == members.where("partition = 'test'").count() and [x[:2] for x in mixed] == [x[:2] for x in once]
     assert [x[2] for x in mixed] == pytest.approx([x[2] for x in once], abs=1e-6)
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_ranks_are_looked_up_by_value(spark, monkeypatch, few):
+    """Columns are ranked by their distinct values, not in a row for each row and column, by broadcast or by shuffle."""
+    rng = random.Random(8)
+    data = pd.DataFrame([(float(rng.randrange(4)), rng.choice([None, 0.5, -0.0, 0.0, 2.5]), rng.random() if rng.random() < 0.7 else None) for _ in range(300)], columns=list("abc"))
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in data.itertuples(index=False)], "a double, b double, c double")
+    monkeypatch.setattr(profile, "FEW", few)
+    monkeypatch.setattr(profile, "average_rank", None, raising=False)
+    got = {(r.a, r.b): r for r in profile.correlations(df, list("abc")).collect()}
+    assert len(got) == 3
+    for (a, b), r in got.items():
+        for method in ("pearson", "spearman"):
+            assert r[method] == pytest.approx(data[[a, b]].corr(method=method).iloc[0, 1], abs=1e-9), (a, b, method)

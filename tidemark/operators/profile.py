@@ -6,12 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label01
-from tidemark.operators.ranks import average_rank, quantiles
+from tidemark.operators.ranks import quantiles, running
 from tidemark.shared import stored
 
 
@@ -113,30 +113,35 @@ def leakage(df: DataFrame) -> DataFrame:
 
 
 def gram(rows: DataFrame, centre: list[float]) -> DataFrame:
-    """(i, j, n, sx, sy, sxx, syy, sxy, same) for places i < j of the arrays x of rows: over rows where both are there how
-    many, and sums of values less centre, their squares and products; same counts equal values, two missing ones too.
-    One pass: a partition adds up its own batches, so that what is shuffled is one row for each pair and partition."""
+    """(i, j, n, sx, sy, sxx, syy, sxy, same) for places i < j of the columns of rows, all doubles: over rows where both are
+    there how many, and sums of values less centre, their squares and products; same counts equal values, two missing ones
+    too. One pass: a partition adds up its own batches, so that what is shuffled is one row for each pair and partition."""
     size = len(centre)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x = np.stack(list(batch["x"])).astype(float)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
             there = ~np.isnan(x)
-            held, z = there.astype(float), np.where(there, x - centre, 0.0)
-            same = np.stack([((x == x[:, [i]]) | ~(there | there[:, [i]])).sum(axis=0) for i in range(size)]).astype(float)
+            held, z, gone = there.astype(float), np.where(there, x - centre, 0.0), (~there).astype(float)
+            same = np.stack([(x == x[:, [i]]).sum(axis=0) for i in range(size)]) + gone.T @ gone
             now = np.stack([held.T @ held, z.T @ held, held.T @ z, (z * z).T @ held, held.T @ (z * z), z.T @ z, same])
             total = now if total is None else total + now
         if total is not None:
             i, j = np.triu_indices(size, 1)
-            yield pd.DataFrame({"i": i, "j": j} | {name: total[k][i, j] for k, name in enumerate(GRAM)})
+            ints = [pa.array(k, type=pa.int32()) for k in (i, j)]
+            yield pa.RecordBatch.from_arrays([*ints, *(pa.array(part[i, j]) for part in total)], names=["i", "j", *GRAM])
 
-    sums = rows.select("x").mapInPandas(add, "i int, j int, " + ", ".join(f"{c} double" for c in GRAM))
+    sums = rows.mapInArrow(add, "i int, j int, " + ", ".join(f"{c} double" for c in GRAM))
     return sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in GRAM))
 
 
+#: Distinct values of a column up to which its ranks are broadcast.
+FEW = 50_000
+
+
 GRAM = ["n", "sx", "sy", "sxx", "syy", "sxy", "same"]
 
 
@@ -151,29 +156,29 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, pearson, spearman, equal_ratio) of all pairs of columns: the coefficients over rows where both are
     there, the ratio of equal values over all rows, in which two missing values are equal.
 
-    Sums of all pairs come from one pass over the rows. A column is ranked once, and once more for each pattern of
-    missing values of other columns that takes rows from it: rows shuffled grow with columns and patterns, not with
-    pairs. The driver holds counts of pairs of columns."""
-    spark = df.sparkSession
-    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
-    rows = stored(df.select(F.array(*clean).alias("x")).withColumn("row", F.monotonically_increasing_id()))
-    at = lambda i: F.col("x")[i]
-    first = rows.agg(F.count("*").alias("all"), *(f(at(i)).alias(f"{k}{i}") for i in range(len(columns)) for k, f in (("n", F.count), ("m", F.avg)))).first()
-    centre = [first[f"m{i}"] if first[f"m{i}"] is not None and math.isfinite(first[f"m{i}"]) else 0.0 for i in range(len(columns))]
+    Sums of all pairs come from one pass over the rows. A column's values are counted once, beside each pattern of missing
+    values of other columns that takes rows from it, and their ranks looked up: by broadcast for up to FEW distinct values,
+    else the rows are shuffled once by it. The driver holds counts of columns and of pairs of them."""
+    spark, xs = df.sparkSession, [f"x{i}" for i in range(len(columns))]
+    rows = stored(df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(x) for c, x in zip(columns, xs, strict=True))))
+    first = rows.agg(F.count("*").alias("all"), *(f(x).alias(f"{k}{x}") for x in xs for k, f in (("n", F.count), ("m", F.avg)))).first()
+    centre = [first[f"m{x}"] if first[f"m{x}"] is not None and math.isfinite(first[f"m{x}"]) else 0.0 for x in xs]
     sums = stored(gram(rows, centre))
     both = {(r["i"], r["j"]): r["n"] for r in sums.select("i", "j", "n").collect()}
-    there = {(i, i): first[f"n{i}"] for i in range(len(columns))} | both | {(j, i): n for (i, j), n in both.items()}
+    there = {(i, i): first[f"n{x}"] for i, x in enumerate(xs)} | both | {(j, i): n for (i, j), n in both.items()}
     # columns that are missing in the same rows share a pattern, named by the first of them
     pattern = [min(k for k in range(i + 1) if there[k, i] == there[i, i] == there[k, k]) for i in range(len(columns))]
     # a column, among the rows that a pattern leaves it; None where it takes none
-    needed = {(i, pattern[j] if there[i, j] < there[i, i] else None) for i in range(len(columns)) for j in range(len(columns)) if i != j}
+    needed = {(i, pattern[j] if there[i, j] < there[i, i] else None) for i, j in there if i != j}
     ranked = sorted(needed, key=lambda v: (v[0], -1 if v[1] is None else v[1]))
     if not ranked:
         return spark.createDataFrame([], "a string, b string, pearson double, spearman double, equal_ratio double")
-    values = F.explode(F.array(*(F.struct(F.lit(v).alias("v"), (at(i) if k is None else F.when(at(k).isNotNull(), at(i))).alias("value")) for v, (i, k) in enumerate(ranked))))
-    long = rows.select("row", values.alias("p")).select("row", "p.*").where("value IS NOT NULL")
-    long = average_rank(long, ["v"], "value", "rank")
-    wide = long.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("v", "rank"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(len(ranked) - 1)), lambda v: F.col("m")[v]).alias("x"))
+    found = rows
+    for i, among in value_ranks(rows, xs, ranked).items():
+        # missing values are spread, as none finds a rank
+        found = found.withColumn("_salt", F.when(F.col(xs[i]).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1).otherwise(0))
+        found = found.join(among, [xs[i], "_salt"], "left").drop("_salt")
+    wide = found.select(*((F.col(f"r{i}") if k is None else F.when(F.col(xs[k]).isNotNull(), F.col(f"r{i}_{k}"))).alias(f"v{v}") for v, (i, k) in enumerate(ranked)))
     place = {v: k for k, v in enumerate(ranked)}
     sides = [(i, j, *sorted((place[i, pattern[j] if there[i, j] < there[i, i] else None], place[j, pattern[i] if there[i, j] < there[j, j] else None]))) for i, j in both]
     names = F.broadcast(spark.createDataFrame([(i, j, columns[i], columns[j], v, w) for i, j, v, w in sides], "i int, j int, a string, b string, v int, w int"))  # pairs of columns
@@ -182,6 +187,24 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("a", "b", coefficient().alias("pearson"), "spearman", (F.col("same") / first["all"]).alias("equal_ratio"))
 
 
+def value_ranks(rows: DataFrame, xs: list[str], ranked: list[tuple[int, int | None]]) -> dict[int, DataFrame]:
+    """For each column i of ranked, by its distinct values: (x<i>, _salt of 0, r<i>: average rank among all rows, r<i>_<k>:
+    among those where column k is there, for each k that is ranked with i)."""
+    there = sorted({k for _, k in ranked if k is not None})
+    flags, sums = [f"_t{k}" for k in there], ["_n", *(f"_n{k}" for k in there)]
+    long = rows.select(*xs, *(F.col(xs[k]).isNotNull().alias(f) for k, f in zip(there, flags, strict=True))).unpivot(flags, xs, "c", "value").where("value IS NOT NULL")
+    counted = stored(long.groupBy("c", "value").agg(F.count("*").alias("_n"), *(F.count_if(f).alias(n) for f, n in zip(flags, sums[1:], strict=True))))
+    distinct = {r["c"]: r["count"] for r in counted.groupBy("c").count().collect()}
+    rank = lambda n: F.when(F.col(n) > 0, F.col(f"{n}_upto") - F.col(n) + (F.col(n) + 1) / 2.0)
+    ranks = stored(running(counted, ["c"], "value", sums).select("c", "value", *(rank(n).alias(f"_r{n[2:]}") for n in sums)))
+    out = {}
+    for i in sorted({i for i, _ in ranked}):
+        wanted = [F.col("_r" if k is None else f"_r{k}").alias(f"r{i}" if k is None else f"r{i}_{k}") for j, k in ranked if j == i]
+        each = ranks.where(F.col("c") == xs[i]).select(F.col("value").alias(xs[i]), F.lit(0).cast("long").alias("_salt"), *wanted)
+        out[i] = F.broadcast(each) if distinct.get(xs[i], 0) <= FEW else each.hint("merge")
+    return out
+
+
 def strong_pairs(pairs: DataFrame, threshold: float = 0.95, duplicate: float = 0.99) -> DataFrame:
     """Of correlations() those whose larger coefficient is above threshold, with it and whether they are near duplicates."""
     size = F.greatest(*(F.coalesce(F.abs(F.nanvl(c, F.lit(0.0))), F.lit(0.0)) for c in ("pearson", "spearman")))
