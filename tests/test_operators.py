@@ -187,3 +187,20 @@ def test_candidates_after_an_accepted_one(spark):
     df = spark.createDataFrame(rows, "id int, full_name string, archived boolean").selectExpr("*", "false AS disabled", "900 AS stars", "'u' AS url", "'main' AS default_branch", "false AS tutorial", "true AS signal")
     got = {r.id: r.outcome for r in decisions.candidate_outcomes(df, "id", 500).collect()}
     assert got == {1: "archived repository", 2: "accepted", 3: "duplicate repository", 4: "missing or invalid metadata", 5: "duplicate repository"}
+
+
+def test_types_take_one_aggregate_a_column(spark, monkeypatch):
+    """The narrowest type of all values, missing ones aside; a form that fits ends the search."""
+    from tidemark.sources import readers
+
+    columns = {
+        "whole": ["1", " +2 ", "-3"], "wide": ["1", "99999999999999999999", "2"], "num": ["1", ".5", "1e3"], "inf": ["-Inf", "1.", "infinity"], "flag": ["TRUE", "false", "NA"],
+        "at": ["2020-01-02", "2020-01-02T03:04:05.5Z", "2020-01-02 03:04"], "mixed": ["1", "x", "2"], "both": ["true", "1", "0"], "none": ["NA", "", None], "bad_day": ["2020-02-31", "2020-01-01", "2020-01-01"], "day_or_number": ["2020-01-01", "2020", "1"],
+    }
+    want = ["bigint", "double", "double", "double", "boolean", "timestamp", "string", "string", "double", "string", "string"]
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} string" for c in columns))
+    assert readers.inferred_types(df) == dict(zip(columns, want, strict=True))
+    counted, count = [], readers.F.bit_and
+    monkeypatch.setattr(readers.F, "bit_and", lambda c: counted.append(c) or count(c))
+    readers.inferred_types(df)
+    assert len(counted) == len(columns)

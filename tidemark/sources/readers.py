@@ -32,15 +32,24 @@ def said(c: str) -> Column:
     return F.when(~text.isin(MISSING), text)
 
 
+def fitting(c: str) -> Column:
+    """The bits of the types of FORMS, in their order, that a text has the form of; null where it is null. Forms are tried one
+    after the other, those of most values first, until one fits: none fits two but whole numbers, which are doubles too."""
+    text, bit = F.col(f"`{c}`"), {kind: 1 << k for k, kind in enumerate(FORMS)}
+    has = lambda kind: text.rlike(f"^({FORMS[kind]})$") & text.try_cast(kind).isNotNull()
+    out = F.when(text.isNull(), F.lit(None).cast("int")).when(has("bigint"), bit["bigint"] | bit["double"])
+    for kind in ("double", "timestamp", "boolean"):
+        out = out.when(has(kind), bit[kind])
+    return out.otherwise(0)
+
+
 def inferred_types(rows: DataFrame) -> dict[str, str]:
     """For each text column the narrowest of FORMS that all its values have, else string; double for a column without
-    any. One aggregate over all rows and columns, of a count for each column and type; the driver gets one row."""
-    counts = []
-    for i, c in enumerate(rows.columns):
-        counts.append(F.count(said(c)).alias(f"n{i}"))
-        counts += [F.count_if(said(c).rlike(f"^({form})$") & said(c).try_cast(kind).isNotNull()).alias(f"{kind}{i}") for kind, form in FORMS.items()]
-    found = rows.agg(*counts).first()
-    return {c: "double" if not found[f"n{i}"] else next((k for k in FORMS if found[f"{k}{i}"] == found[f"n{i}"]), "string") for i, c in enumerate(rows.columns)}
+    any. One aggregate over all rows and columns, of the types that fit all values of a column; the driver gets one row."""
+    texts = rows.select(*(said(c).alias(c) for c in rows.columns))
+    bits = texts.select(*(fitting(c).alias(f"b{i}") for i, c in enumerate(rows.columns)))
+    found = bits.agg(*(F.bit_and(b).alias(b) for b in bits.columns)).first()
+    return {c: "double" if found[i] is None else next((kind for k, kind in enumerate(FORMS) if found[i] >> k & 1), "string") for i, c in enumerate(rows.columns)}
 
 
 def read_inferred(spark: SparkSession, path: str | list[str]) -> DataFrame:
