@@ -333,7 +333,7 @@ def swept_keyed(part: DataFrame, runs: list[tuple]) -> tuple[DataFrame, DataFram
 
 @query("m06_m07_walk_forward_bayes")
 def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = sweep(spark, sf_dir, [BASE])[2]
+    test = swept(swept_rows(spark, sf_dir, [BASE])[1], [BASE]).where("used IS NULL")
     return rounded(test.select(F.substring_index("split_id", "|", -1).alias("split_id"), "sample_id", "y_true", "y_score", "y_pred"), "y_score", places=4)
 
 
